@@ -129,6 +129,8 @@ def decode_events(raw: DataFrame, payload: str = "payload") -> DataFrame:
     the input (offsets, arrival order) are kept.
     """
     extra = [c for c in raw.columns if c != payload]
+    # The typed row leaves through `inline`, so a filter on the reason is applied to its value.
+    # Pushed below instead, it would repeat the whole decoding inside its condition.
     parsed = raw.select(
         *extra,
         F.col(payload).alias("payload"),
@@ -154,12 +156,10 @@ def decode_events(raw: DataFrame, payload: str = "payload") -> DataFrame:
     reason = F.when(F.col("_broken"), F.lit("payload: not JSON")).otherwise(
         F.coalesce(*[_problem(f) for f in WIRE_FIELDS])
     )
-    return typed.select(
-        *extra,
-        "payload",
-        reason.alias("reject_reason"),
-        *[_filled(f).alias(f.name) for f in WIRE_FIELDS],
+    row = F.struct(
+        reason.alias("reject_reason"), *[_filled(f).alias(f.name) for f in WIRE_FIELDS]
     )
+    return typed.select(*extra, "payload", F.inline(F.array(row)))
 
 
 def fit_to_log(decoded: DataFrame) -> DataFrame:

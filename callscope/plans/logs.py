@@ -12,7 +12,7 @@ from callscope.schemas import DEFAULT_USER, RECENT_BUFFER, RECENT_LOG_COLUMNS
 
 # Bounds of the recent-logs report.
 DEFAULT_LIMIT, MIN_LIMIT, MAX_LIMIT = 50, 1, 500
-_ISO = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
+_ISO_SECONDS, _ISO_MICROS = "yyyy-MM-dd'T'HH:mm:ssxxx", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSxxx"
 
 
 def filter_logs(
@@ -43,7 +43,11 @@ def serialise_logs(rows: DataFrame) -> DataFrame:
     def shown(field):
         kind = field.dataType.typeName()
         if kind == "timestamp":
-            return F.date_format(field.name, _ISO).alias(field.name)
+            whole = F.unix_micros(field.name) % 1_000_000 == 0
+            shown_time = F.when(whole, F.date_format(field.name, _ISO_SECONDS)).otherwise(
+                F.date_format(field.name, _ISO_MICROS)
+            )
+            return shown_time.alias(field.name)
         if kind == "decimal":
             return F.col(field.name).cast("double").alias(field.name)
         if field.name.endswith("_id"):
