@@ -30,7 +30,7 @@ def uuid_of(prefix: str, number: Column) -> Column:
 
 
 def plus_seconds(ts: Column, seconds: Column) -> Column:
-    return F.timestamp_micros(F.unix_micros(ts) + F.round(seconds * 1_000_000).cast("long"))
+    return F.timestamp_micros(F.unix_micros(ts) + F.round(seconds * F.lit(1e6)).cast("long"))
 
 
 def inference_events(spark: SparkSession, sf_dir: str, previews: bool = False) -> DataFrame:

@@ -1,8 +1,8 @@
 """JSON payloads to typed events, with a reason for every rejected one.
 
-Values are read from a parsed variant instead of `from_json`, because the wire contract is
-lenient about some spellings ("12" is an int) and strict about others (12 is not a string, an
-explicit null is not an absent field), and a schema-driven parse cannot tell these apart.
+Each field is parsed to a variant first and typed afterwards, because the wire contract is lenient
+about some spellings ("12" is an int) and strict about others (12 is not a string, an explicit
+null is not an absent field), and a parse straight to the final types cannot tell these apart.
 """
 
 from __future__ import annotations
@@ -131,17 +131,17 @@ def decode_events(raw: DataFrame, payload: str = "payload") -> DataFrame:
     extra = [c for c in raw.columns if c != payload]
     # The typed row leaves through `inline`, so a filter on the reason is applied to its value.
     # Pushed below instead, it would repeat the whole decoding inside its condition.
+    shape = ", ".join(f"{f.name} variant" for f in WIRE_FIELDS) + ", _broken string"
     parsed = raw.select(
         *extra,
         F.col(payload).alias("payload"),
-        F.try_parse_json(F.col(payload)).alias("_doc"),
+        F.from_json(payload, shape, {"columnNameOfCorruptRecord": "_broken"}).alias("_doc"),
     )
     opened = parsed.select(
-        "*",
-        *[
-            F.try_variant_get("_doc", f"$.{f.name}", "variant").alias(f"_raw_{f.name}")
-            for f in WIRE_FIELDS
-        ],
+        *extra,
+        "payload",
+        (F.col("_doc").isNull() | F.col("_doc._broken").isNotNull()).alias("_broken"),
+        *[F.col(f"_doc.{f.name}").alias(f"_raw_{f.name}") for f in WIRE_FIELDS],
     )
     named = opened.select(
         "*", *[F.schema_of_variant(f"_raw_{f.name}").alias(f"_kind_{f.name}") for f in WIRE_FIELDS]
@@ -149,7 +149,7 @@ def decode_events(raw: DataFrame, payload: str = "payload") -> DataFrame:
     typed = named.select(
         *extra,
         "payload",
-        F.col("_doc").isNull().alias("_broken"),
+        "_broken",
         *[_kind(f.name) for f in WIRE_FIELDS],
         *[_read(f).alias(f.name) for f in WIRE_FIELDS],
     )
