@@ -7,32 +7,40 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-# A 32-bit value splits into a bucket and an offset of 16 bits each, so neither the list of
-# buckets of a group nor the values inside one bucket can exceed this many rows.
-_BUCKET = 65_536
+# Width of a histogram bucket.  An int has at most 65 536 buckets of 65 536 values each.
+_BUCKET_BITS = 16
 
 
-def exact_percentiles(
-    df: DataFrame, value: str, fractions: Sequence[float], groups: Sequence[str]
+def value_histogram(df: DataFrame, value: str, groups: Sequence[str]) -> DataFrame:
+    """Rows per distinct whole value of every group: groups, v, n.
+
+    Counts combine before they move.  The bucket column `b` is kept non-null, so that consumers'
+    joins add no filter of their own and all of them read one shuffled histogram.
+    """
+    bucket = F.coalesce(F.shiftright("v", _BUCKET_BITS), F.lit(0).cast("long"))
+    return (
+        df.where(F.col(value).isNotNull())
+        .groupBy(*groups, F.col(value).cast("long").alias("v"))
+        .agg(F.count(F.lit(1)).alias("n"))
+        .withColumn("b", bucket)
+    )
+
+
+def histogram_percentiles(
+    hist: DataFrame, fractions: Sequence[float], groups: Sequence[str]
 ) -> DataFrame:
-    """Interpolated percentiles of an int column: one row per group and fraction.
+    """Interpolated percentiles of a histogram: one row per group and fraction.
 
-    Counts per distinct value are combined before they move.  A coarse histogram finds the
-    bucket holding each wanted rank and only that bucket's values are walked; so however many
-    rows a group has, a task sees at most 65 536 histogram rows of it.
+    A coarse histogram finds the bucket holding each wanted rank and only that bucket's values
+    are walked; so however many rows a group has, a task sees at most one histogram row per
+    bucket, or per value of one bucket.
     Output: groups, fraction, value (double), n.
     """
     groups = list(groups)
-    hist = (
-        df.where(F.col(value).isNotNull())
-        .groupBy(*groups, F.col(value).cast("int").alias("_v"))
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_b", F.shiftright("_v", 16))
-    )
-    in_order = Window.partitionBy(*groups).orderBy("_b")
+    in_order = Window.partitionBy(*groups).orderBy("b")
     coarse = (
-        hist.groupBy(*groups, "_b")
-        .agg(F.sum("_n").alias("_bn"))
+        hist.groupBy(*groups, "b")
+        .agg(F.sum("n").alias("_bn"))
         .withColumn("_upto", F.sum("_bn").over(in_order.rowsBetween(Window.unboundedPreceding, 0)))
         .withColumn("_total", F.sum("_bn").over(Window.partitionBy(*groups)))
         .withColumn("_before", F.col("_upto") - F.col("_bn"))
@@ -49,24 +57,32 @@ def exact_percentiles(
             F.col("_lo").between(F.col("_before"), F.col("_upto") - 1)
             | F.col("_hi").between(F.col("_before"), F.col("_upto") - 1)
         )
-        .select(*groups, "_b", "fraction", "_lo", "_hi", "_rest", "_before", "_total")
+        .select(*groups, "b", "fraction", "_lo", "_hi", "_rest", "_before", "_total")
     )
     walk = (
-        Window.partitionBy(*groups, "fraction", "_b")
-        .orderBy("_v")
+        Window.partitionBy(*groups, "fraction", "b")
+        .orderBy("v")
         .rowsBetween(Window.unboundedPreceding, 0)
     )
-    walked = hist.join(wanted, [*groups, "_b"]).withColumn(
-        "_seen", F.col("_before") + F.sum("_n").over(walk)
+    walked = hist.join(wanted, [*groups, "b"]).withColumn(
+        "_seen", F.col("_before") + F.sum("n").over(walk)
     )
-    low = F.min(F.when(F.col("_seen") > F.col("_lo"), F.col("_v")))
-    high = F.min(F.when(F.col("_seen") > F.col("_hi"), F.col("_v")))
+    low = F.min(F.when(F.col("_seen") > F.col("_lo"), F.col("v")))
+    high = F.min(F.when(F.col("_seen") > F.col("_hi"), F.col("v")))
     return walked.groupBy(*groups, "fraction").agg(
         (low + (high - low) * F.max("_rest")).alias("value"),
         F.max("_total").alias("n"),
     )
 
 
+def exact_percentiles(
+    df: DataFrame, value: str, fractions: Sequence[float], groups: Sequence[str]
+) -> DataFrame:
+    """Exact interpolated percentiles of a whole-number column per group.  Group columns are
+    not null."""
+    return histogram_percentiles(value_histogram(df, value, groups), fractions, groups)
+
+
 def latency_sketches(logs: DataFrame, keys: Sequence[str], k: int = 200) -> DataFrame:
     """One mergeable quantile sketch of the latency per key: a few KB whatever the row count."""
     return (

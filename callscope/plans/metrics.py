@@ -9,7 +9,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from callscope.functions.timing import in_window
-from callscope.operators.percentiles import exact_percentiles
+from callscope.operators.percentiles import (
+    exact_percentiles,
+    histogram_percentiles,
+    value_histogram,
+)
 
 PERCENTILES = {"p50": 0.50, "p95": 0.95, "p99": 0.99}
 
@@ -149,46 +153,48 @@ def by_provider(rollup: DataFrame, window: str, as_of=None) -> DataFrame:
 def percentiles(logs: DataFrame, window: str, as_of=None) -> DataFrame:
     """One row: latency and first-token percentiles, mean output rate, sample size.
 
-    The population is successful calls with a duration that arrived in the window.  Both
-    measures and the totals come out of one histogram pass; an empty population gives nulls.
+    The population is successful calls with a duration that arrived in the window.  All figures
+    come from one histogram: output rates enter it in hundredths, so their mean is exact.  An
+    empty population gives nulls.
     """
     sample = log_window(logs, window, as_of).where(
         (F.col("status") == "success") & F.col("duration_ms").isNotNull()
     )
+    stacked = {
+        "dur": F.col("duration_ms"),
+        "ttft": F.col("ttft_ms"),
+        "rate": F.col("tokens_per_second") * 100,
+    }
     measures = sample.select(
         F.explode(
             F.array(
-                F.struct(F.lit("dur").alias("measure"), F.col("duration_ms").alias("ms")),
-                F.struct(F.lit("ttft").alias("measure"), F.col("ttft_ms").alias("ms")),
+                *[
+                    F.struct(F.lit(name).alias("measure"), value.cast("long").alias("x"))
+                    for name, value in stacked.items()
+                ]
             )
-        ).alias("m"),
-    ).select("m.measure", "m.ms")
-    cells = exact_percentiles(measures, "ms", list(PERCENTILES.values()), ["measure"])
-    rates = sample.agg(
-        F.sum("tokens_per_second").cast("double").alias("rate_sum"),
-        F.count("tokens_per_second").alias("rate_n"),
-        F.count(F.lit(1)).alias("sample_size"),
-    ).select(
-        F.lit("rate").alias("measure"),
-        F.lit(None).cast("double").alias("fraction"),
-        (F.col("rate_sum") / F.when(F.col("rate_n") != 0, F.col("rate_n"))).alias("value"),
-        F.col("sample_size").alias("n"),
+        ).alias("m")
+    ).select("m.measure", "m.x")
+    hist = value_histogram(measures, "x", ["measure"])
+    cells = histogram_percentiles(hist, list(PERCENTILES.values()), ["measure"])
+    totals = hist.groupBy("measure").agg(
+        (F.sum(F.col("v") * F.col("n")) / 100 / F.sum("n")).alias("value"),
+        F.sum("n").alias("n"),
     )
-    merged = cells.unionByName(rates)
+    merged = cells.unionByName(totals.withColumn("fraction", F.lit(-1.0)))
 
-    def cell(measure: str, fraction: float) -> Column:
+    def cell(measure: str, fraction: float, name: str = "value") -> Column:
         hit = (F.col("measure") == measure) & (F.col("fraction") == fraction)
-        return F.bround(F.max(F.when(hit, F.col("value"))), 2)
+        return F.max(F.when(hit, F.col(name)))
 
-    is_rate = F.col("measure") == "rate"
     return merged.agg(
         *[
-            cell(m, p).alias(f"{m}_{name}")
+            F.bround(cell(m, p), 2).alias(f"{m}_{name}")
             for m in ("dur", "ttft")
             for name, p in PERCENTILES.items()
         ],
-        F.bround(F.max(F.when(is_rate, F.col("value"))), 2).alias("avg_tps"),
-        F.max(F.when(is_rate, F.col("n"))).alias("sample_size"),
+        F.bround(cell("rate", -1.0), 2).alias("avg_tps"),
+        F.coalesce(cell("dur", -1.0, "n"), F.lit(0)).alias("sample_size"),
     )
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from importlib import resources
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +15,12 @@ def _packaged(name: str) -> str:
     return resources.files("callscope").joinpath("data", name).read_text(encoding="utf-8")
 
 
+def _local(spark: SparkSession, **columns) -> DataFrame:
+    """A literal table.  Made from Arrow it has a known size, so that Spark decides for itself,
+    before anything is shuffled, that joining it means broadcasting it."""
+    return spark.createDataFrame(pa.table({name: list(cells) for name, cells in columns.items()}))
+
+
 def load_registry(spark: SparkSession, path: str | None = None) -> DataFrame:
     """Nested provider config to one row per (provider, model), in file order.
 
@@ -22,7 +29,7 @@ def load_registry(spark: SparkSession, path: str | None = None) -> DataFrame:
     if path:
         doc = spark.read.schema(REGISTRY_JSON_SCHEMA).json(path, multiLine=True)
     else:
-        text = spark.createDataFrame([(_packaged("registry.json"),)], "text string")
+        text = _local(spark, text=[_packaged("registry.json")])
         doc = text.select(F.from_json("text", REGISTRY_JSON_SCHEMA).alias("d")).select("d.*")
     providers = doc.select(F.posexplode("providers").alias("provider_pos", "p"))
     models = providers.select(
@@ -44,8 +51,8 @@ def load_prices(spark: SparkSession, path: str | None = None) -> DataFrame:
     """Price table: model, USD per million input and output tokens."""
     if path:
         return spark.read.schema(PRICE_SCHEMA).csv(path, header=True)
-    lines = [line.split(",") for line in _packaged("prices.csv").split()[1:]]
-    text = spark.createDataFrame(lines, "model string, input_rate string, output_rate string")
+    header, *lines = [line.split(",") for line in _packaged("prices.csv").split()]
+    text = _local(spark, **dict(zip(header, zip(*lines))))
     return text.select(*[F.col(f.name).cast(f.dataType) for f in PRICE_SCHEMA.fields])
 
 
