@@ -514,6 +514,30 @@ WHERE started_at <= TIMESTAMP '{AS_OF}' AND started_at > TIMESTAMP '{AS_OF}' - I
 FROM calls c JOIN spans s ON s.request_id = c.event_id
 WHERE c.event_id % 10 <> 9
   AND c.started_at + (c.event_id % 7) * INTERVAL 1 SECOND <= s.ended_at""",
+    "streamed_ingest": """SELECT date_trunc('hour', completed_at) AS hour_bucket, provider, model,
+  count(*) AS request_count, CAST(sum(coalesce(duration_ms, 0)) AS BIGINT) AS total_latency_ms,
+  count(*) FILTER (WHERE status = 'error') AS error_count,
+  count(*) FILTER (WHERE status = 'cancelled') AS cancelled_count,
+  count(*) FILTER (WHERE blocked) AS blocked_count,
+  CAST(sum(coalesce(tokens_in, 0)) AS BIGINT) AS total_tokens_in,
+  CAST(sum(coalesce(tokens_out, 0)) AS BIGINT) AS total_tokens_out,
+  CAST(sum(coalesce(estimated_cost_usd, 0)) AS DECIMAL(14,8)) AS total_cost_usd
+FROM logs WHERE event_id IN (SELECT event_id FROM odd WHERE reject_reason IS NULL)
+GROUP BY ALL""",
+    "streamed_dedup": "SELECT event_id, status FROM calls",
+    "tracked_streams": """SELECT CAST(request_id AS VARCHAR) AS request_id, 'registered' AS change
+FROM spans UNION ALL SELECT CAST(request_id AS VARCHAR),
+  CASE WHEN epoch_ms(ended_at) - epoch_ms(started_at) > 3600000 THEN 'expired' ELSE 'ended' END
+FROM spans""",
+    "streamed_rate_limit": """SELECT CAST(user_id AS VARCHAR) AS conversation_id, rate_bucket,
+  over_rate, count(*) AS n FROM (
+  SELECT user_id, epoch_us(started_at) // 86400000000 AS rate_bucket, row_number() OVER (
+    PARTITION BY user_id, epoch_us(started_at) // 86400000000 ORDER BY started_at) > 2 AS over_rate
+  FROM calls) GROUP BY ALL""",
+    "streamed_cancels": """SELECT c.event_id AS request_id,
+  c.started_at + (c.event_id % 7) * INTERVAL 1 SECOND AS cancel_ts
+FROM calls c JOIN spans s ON s.request_id = c.event_id
+WHERE c.started_at + (c.event_id % 7) * INTERVAL 1 SECOND <= s.ended_at""",
     "malformed_cancels": """SELECT event_id, 'garbage-' || status AS payload FROM calls
 WHERE event_id % 10 = 9""",
 }

@@ -43,9 +43,15 @@ class _LiveStream(StatefulProcessor):
             yield self._row(key[0], "registered", started)
         if ends and self._open.exists():
             started = self._open.get()[0]
-            self._handle.deleteTimer(started + self._ttl_ms)
+            expiry = started + self._ttl_ms
+            self._handle.deleteTimer(expiry)
             self._open.clear()
-            yield self._row(key[0], "ended", int(min(ends)))
+            ended = int(min(ends))
+            # An end that comes after the time to live finds the stream already gone.
+            if ended > expiry:
+                yield self._row(key[0], "expired", expiry)
+            else:
+                yield self._row(key[0], "ended", ended)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         if self._open.exists():
