@@ -6,9 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _HYPHENATED = "[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}"
-_UUID_TEXT = (
-    rf"^(?:[0-9a-f]{{32}}|{_HYPHENATED}|\{{{_HYPHENATED}\}}|urn:uuid:{_HYPHENATED})$"
-)
+_CANONICAL = f"^{_HYPHENATED}$"
+_OTHER_SPELLING = rf"^(?:[0-9a-f]{{32}}|\{{{_HYPHENATED}\}}|urn:uuid:{_HYPHENATED})$"
 
 
 def dashed(hex32: Column) -> Column:
@@ -20,7 +19,9 @@ def canonical_uuid(text: Column) -> Column:
     """Lower-case dashed form of any accepted spelling, null for anything else."""
     lowered = F.lower(text)
     digits = F.regexp_replace(lowered, r"^urn:uuid:|[{}-]", "")
-    return F.when(F.rlike(lowered, F.lit(_UUID_TEXT)), dashed(digits))
+    return F.when(F.rlike(lowered, F.lit(_CANONICAL)), lowered).when(
+        F.rlike(lowered, F.lit(_OTHER_SPELLING)), dashed(digits)
+    )
 
 
 def payload_uuid(payload: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from callscope.functions.identity import canonical_uuid
@@ -13,13 +13,11 @@ from callscope.schemas import STREAM_TTL_SECONDS
 def first_arrivals(events: DataFrame, arrival: str) -> DataFrame:
     """One row per event id: the copy that arrived first.
 
-    Copies combine map-side, so an id with very many copies reaches its task as few rows.
+    `row_number = 1` lets every task drop all but its own first copy before the shuffle, so an
+    id with very many copies moves one row per task.
     """
-    payload = [c for c in events.columns if c != "event_id"]
-    kept = events.groupBy("event_id").agg(F.min_by(F.struct(*payload), arrival).alias("_first"))
-    return kept.select("event_id", *[F.col(f"_first.{c}").alias(c) for c in payload]).select(
-        *events.columns
-    )
+    in_order = Window.partitionBy("event_id").orderBy(arrival)
+    return events.withColumn("_rn", F.row_number().over(in_order)).where(F.col("_rn") == 1).drop("_rn")
 
 
 def unseen(batch: DataFrame, stored: DataFrame) -> DataFrame:
