@@ -489,15 +489,17 @@ def latency_sketch(spark, sf):
     hourly = percentiles.latency_sketches(logs, ["hour", "provider"], k=400)
     merged = percentiles.merge_sketches(hourly, ["provider"])
     reads = percentiles.sketch_quantiles(merged, metrics.PERCENTILES)
-    sample = logs.where(F.col("status") == "success").select("provider", "duration_ms")
+    sample = logs.where(F.col("status") == "success")
+    hist = percentiles.value_histogram(sample, "duration_ms", ["provider"])
     below = {
-        name: F.sum(F.when(F.col("duration_ms") <= F.col(name), 1).otherwise(0)) / F.max("n")
+        name: F.sum(F.when(F.col("v") <= F.col(name), F.col("h.n")).otherwise(0)) / F.max("r.n")
         for name in metrics.PERCENTILES
     }
     ranks = (
-        sample.join(reads, "provider")
+        hist.alias("h")
+        .join(reads.alias("r"), "provider")
         .groupBy("provider")
-        .agg(F.max("n").alias("n"), *[b.alias(name) for name, b in below.items()])
+        .agg(F.max("r.n").alias("n"), *[b.alias(name) for name, b in below.items()])
     )
     close = [
         (F.abs(F.col(name) - p) < 0.02).alias(f"{name}_close")

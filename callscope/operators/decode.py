@@ -84,9 +84,8 @@ def _read(f: Field) -> Column:
     if f.kind == "int":
         readable = (kind != "STRING") | F.rlike(text, F.lit(_INTEGER_TEXT))
         whole = readable & (number == F.rint(number))
-        return F.when(
-            whole, F.coalesce(F.try_variant_get(raw, path, "bigint"), number.try_cast("bigint"))
-        )
+        # Exact up to 2^53, far beyond the 32 bits a count may have.
+        return F.when(whole, number.try_cast("bigint"))
     if f.kind == "bool":
         word = F.lower(text)
         return (

@@ -7,9 +7,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from callscope.functions.timing import window_start
+from callscope.functions.timing import hour_bucket, window_start
+from callscope.operators.percentiles import latency_sketches, merge_sketches
 from callscope.operators.rollup import hourly_rollup, merge_rollups
-from callscope.schemas import INFERENCE_LOG_SCHEMA, ROLLUP_SCHEMA, struct_of
+from callscope.schemas import INFERENCE_LOG_SCHEMA, ROLLUP_KEYS, ROLLUP_SCHEMA, struct_of
 
 _BATCH = T.StructField("batch", T.StringType())
 
@@ -95,6 +96,20 @@ class Warehouse:
             )
         return merge_rollups(table.select(*ROLLUP_SCHEMA.names))
 
+    def sketches(self, window: str | None = None, as_of=None) -> DataFrame:
+        """Latency sketches per hour, provider and model, batches merged; windowed like the
+        rollup.  Merge them further for percentiles over wide windows without raw rows."""
+        schema = struct_of("hour_bucket timestamp, provider string, model string, n long").add(
+            "sketch", T.BinaryType()
+        )
+        table = _stored(self.spark, self.path("latency_sketches"), schema, "bucket_date")
+        if window is not None:
+            start = window_start(window, as_of)
+            table = table.where(
+                (F.col("bucket_date") >= F.to_date(start)) & (F.col("hour_bucket") > start)
+            )
+        return merge_sketches(table, ROLLUP_KEYS)
+
     def dead_letters(self) -> DataFrame:
         schema = struct_of("payload string, reject_reason string")
         return _stored(self.spark, self.path("dead_letters"), schema)
@@ -119,6 +134,15 @@ class Warehouse:
         dated = share.withColumn("bucket_date", F.to_date("hour_bucket"))
         self.write("aggregated_metrics", dated, batch_id, "bucket_date")
 
+    def add_sketches(self, stored_rows: DataFrame, batch_id: int) -> None:
+        """Store the batch's latency sketches next to its rollup share."""
+        hourly = stored_rows.where(F.col("completed_at").isNotNull()).withColumn(
+            "hour_bucket", hour_bucket(F.col("completed_at"))
+        )
+        share = latency_sketches(hourly, ROLLUP_KEYS)
+        dated = share.withColumn("bucket_date", F.to_date("hour_bucket"))
+        self.write("latency_sketches", dated, batch_id, "bucket_date")
+
     def compact_into(self, root: str, batch_id: int = 0) -> Warehouse:
         """Rewrite all batches as one under a new root, for many small batches.
 
@@ -130,6 +154,8 @@ class Warehouse:
         target.write("inference_logs", logs, batch_id, "ingest_date")
         rollup = self.rollup().withColumn("bucket_date", F.to_date("hour_bucket"))
         target.write("aggregated_metrics", rollup, batch_id, "bucket_date")
+        sketches = self.sketches().withColumn("bucket_date", F.to_date("hour_bucket"))
+        target.write("latency_sketches", sketches, batch_id, "bucket_date")
         letters = self.dead_letters().select("payload", "reject_reason")
         target.write("dead_letters", letters, batch_id)
         return target

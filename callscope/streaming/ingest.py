@@ -52,12 +52,14 @@ def ingest_batch(
     conversations: DataFrame | None = None,
     created_at: Column | None = None,
     horizon: str | None = None,
+    sketches: bool = False,
 ) -> None:
     """Write one batch of payloads (`payload`, optionally `arrival`) to the warehouse.
 
     An event counts once however often it is delivered: copies inside the batch collapse to the
     first arrival, and ids stored by other batches are left out.  `horizon` bounds how far back
-    stored ids are looked up, by ingest date; None means the whole log.  The rollup's share is
+    stored ids are looked up, by ingest date; None means the whole log.  `sketches` also keeps
+    latency sketches per hour, provider and model.  The rollup's share is
     computed from the rows as stored, so both tables always hold the same events, and since
     every table's batch folder is replaced whole, a repeated batch changes nothing.
     """
@@ -78,6 +80,8 @@ def ingest_batch(
         rows = to_log_rows(enrich(new.select(*LOG_EVENT_SCHEMA.names), chain), created_at)
         stored = warehouse.append_logs(rows, batch_id)
         warehouse.add_to_rollup(stored, batch_id)
+        if sketches:
+            warehouse.add_sketches(stored, batch_id)
 
         kept = stored.agg(F.count(F.lit(1))).scalar()
         counts = checked.agg(
@@ -103,6 +107,7 @@ def run_ingest(
     after_batch: Callable[[Warehouse, int], None] | None = None,
     horizon: str | None = None,
     created_at: Column | None = None,
+    sketches: bool = False,
 ):
     """Start the ingest query.
 
@@ -115,7 +120,7 @@ def run_ingest(
     def write(batch: DataFrame, batch_id: int) -> None:
         known = conversations() if conversations else None
         ingest_batch(
-            batch, batch_id, warehouse, stages, known, horizon=horizon, created_at=created_at
+            batch, batch_id, warehouse, stages, known, created_at, horizon, sketches
         )
         if after_batch:
             after_batch(warehouse, batch_id)

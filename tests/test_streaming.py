@@ -8,6 +8,7 @@ from uuid import UUID
 
 from pyspark.sql import functions as F
 
+from callscope.operators.percentiles import sketch_quantiles
 from callscope.operators.rollup import hourly_rollup
 from callscope.plans import metrics
 from callscope.sources import streams
@@ -95,8 +96,12 @@ def test_repeated_batch_changes_nothing(spark, tmp_path):
     before = rows(warehouse.rollup())
     ingest_batch(raw, 0, warehouse)
     assert rows(warehouse.rollup()) == before
-    ingest_batch(raw, 1, warehouse)
+    ingest_batch(raw, 1, warehouse, sketches=True)
     assert rows(warehouse.rollup()) == before
+    assert warehouse.sketches().count() == 0  # batch 1 brought nothing new
+    ingest_batch(raw, 0, warehouse, sketches=True)
+    read = sketch_quantiles(warehouse.sketches(), {"p50": 0.5}).collect()[0]
+    assert (read.n, read.p50) == (7, 1500.0)
     assert warehouse.logs().count() == 7
 
 
