@@ -1,8 +1,9 @@
 """JSON payloads to typed events, with a reason for every rejected one.
 
-Each field is parsed to a variant first and typed afterwards, because the wire contract is lenient
-about some spellings ("12" is an int) and strict about others (12 is not a string, an explicit
-null is not an absent field), and a parse straight to the final types cannot tell these apart.
+Each field is parsed to a variant first and typed afterwards, because the wire contract is
+lenient about some spellings ("12" is an int) and strict about others (12 is not a string, an
+explicit null is not an absent field); a parse straight to the final types cannot tell these
+apart.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from callscope.schemas import INFERENCE_LOG_SCHEMA, LOG_EVENT_SCHEMA, STATUSES
 _TRUE_WORDS = ("1", "true", "t", "yes", "y", "on")
 _FALSE_WORDS = ("0", "false", "f", "no", "n", "off")
 
+_FLOAT_TEXT = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 _INTEGER_TEXT = r"^\s*[+-]?\d+(\.0*)?\s*$"
 # Epochs of years 1 and 9999, the range a timestamp may have.
 _EPOCH_MIN, _EPOCH_MAX = -62135596800.0, 253402300799.0
@@ -80,7 +82,7 @@ def _read(f: Field) -> Column:
     if f.kind == "uuid":
         return canonical_uuid(text)
     if f.kind == "float":
-        return number
+        return F.when((kind != "STRING") | F.rlike(text, F.lit(_FLOAT_TEXT)), number)
     if f.kind == "int":
         readable = (kind != "STRING") | F.rlike(text, F.lit(_INTEGER_TEXT))
         whole = readable & (number == F.rint(number))

@@ -63,6 +63,7 @@ BAD = [
     (with_(request_id="zz"), "request_id: invalid"),
     (with_(event_id=None), "event_id: invalid"),
     (with_(started_at="soon"), "started_at: invalid"),
+    (with_(started_at="1.5d"), "started_at: invalid"),
     (with_(started_at=1e13), "started_at: out of range"),
     (with_(tokens_in=1.5), "tokens_in: invalid"),
     (with_(tokens_in="1e3"), "tokens_in: invalid"),
