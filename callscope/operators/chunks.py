@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from callscope.functions.text import preview
 from callscope.operators.enrich import derive_timings
+from callscope.operators.keyed import SALTS
 from callscope.schemas import CHUNK_TYPES, PREVIEW_CHARS
 
 _PREFIX = "data: "
@@ -229,14 +230,19 @@ def _has_text() -> Column:
 def response_previews(chunks: DataFrame, chars: int = PREVIEW_CHARS) -> DataFrame:
     """First characters of every response.
 
-    Each kept token adds a character or more, so the first `chars` tokens suffice; ranking
-    stops there and no request contributes more than that to a list.
+    Each kept token adds a character or more, so the first `chars` tokens suffice.  Ranking
+    stops there, within salted shares of a request first, so even one endless stream brings no
+    task more than SALTS times that many rows.
     """
-    in_order = Window.partitionBy("request_id").orderBy("seq", "part")
+    share = Window.partitionBy("request_id", "_salt").orderBy("seq", "part")
+    whole = Window.partitionBy("request_id").orderBy("seq", "part")
     heads = (
         chunks.where(_has_text())
         .select("request_id", "seq", "part", preview(F.col("content"), chars).alias("content"))
-        .withColumn("_rn", F.row_number().over(in_order))
+        .withColumn("_salt", F.pmod(F.xxhash64("seq", "part"), F.lit(SALTS)))
+        .withColumn("_rn", F.row_number().over(share))
+        .where(F.col("_rn") <= chars)
+        .withColumn("_rn", F.row_number().over(whole))
         .where(F.col("_rn") <= chars)
     )
     pieces = F.array_sort(F.collect_list(F.struct("_rn", "content")))

@@ -54,15 +54,16 @@ def prompt_sources(messages: DataFrame) -> DataFrame:
     )
 
 
-def number_messages(messages: DataFrame) -> DataFrame:
+def number_messages(messages: DataFrame, slot: str = "HOUR") -> DataFrame:
     """Message order: by creation time, then by append order (`seq`), numbered from 0.
 
-    Replies carry their stream's start time, so this is the order a reader sees.
+    Replies carry their stream's start time, so this is the order a reader sees.  Rows are
+    numbered per `slot` of time; a finer one spreads a busier conversation.
     """
     return position_in_key(
         messages,
         "conversation_id",
-        F.date_trunc("HOUR", F.col("created_at")),
+        F.date_trunc(slot, F.col("created_at")),
         ["created_at", "seq"],
     )
 

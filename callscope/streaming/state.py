@@ -177,7 +177,8 @@ class _TokenBucket(StatefulProcessor):
 def token_bucket(requests: DataFrame, capacity: int, per_minute: float) -> DataFrame:
     """Smooth alternative to fixed buckets: bursts up to `capacity`, then `per_minute` steadily.
 
-    Decisions follow arrival order, as with any live limiter.
+    Decisions follow arrival order, as with any live limiter.  Each depends on the one before,
+    so a conversation is one sequence; its rows stream through, and only the level is kept.
     """
     timed = requests.withColumn("at_ms", F.unix_millis("started_at")).select(
         "conversation_id", "request_id", "at_ms"
