@@ -15,7 +15,7 @@ from callscope.operators import decode, enrich, governance, matching, percentile
 from callscope.plans import logs as log_reports
 from callscope.plans import metrics
 from callscope.session import use_utc
-from callscope.sources.reference import load_prices, load_registry, unpriced_models
+from callscope.sources.lookups import load_prices, load_registry, unpriced_models
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from callscope.functions.identity import dashed
 from callscope.functions.timing import tokens_per_second
 from callscope.operators.enrich import price_events
-from callscope.sources.reference import load_prices, load_registry
+from callscope.sources.lookups import load_prices, load_registry
 from callscope.sources.tables import scan
 
 AS_OF = "2024-01-30 12:30:00"

@@ -23,7 +23,7 @@ from callscope.operators.enrich import (
 )
 from callscope.operators.matching import first_arrivals, unseen
 from callscope.schemas import LOG_EVENT_SCHEMA
-from callscope.sources.reference import load_prices
+from callscope.sources.lookups import load_prices
 from callscope.sources.tables import Warehouse
 
 Tables = Callable[[], DataFrame]

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from callscope.functions import cost, identity, pii, text, timing
 from callscope.operators.enrich import enrich, pii_stage, price_events, redact_previews
-from callscope.sources.reference import load_prices, load_registry, unpriced_models
+from callscope.sources.lookups import load_prices, load_registry, unpriced_models
 
 PII_CASES = [
     (

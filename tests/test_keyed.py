@@ -15,8 +15,21 @@ from callscope.operators.matching import first_arrivals, unseen
 from callscope.operators.percentiles import exact_percentiles
 
 
+@pytest.fixture(scope="module", params=["adaptive", "shuffled"], autouse=True)
+def joins(spark, request):
+    """Run everything twice: as planned for small data, and with plain shuffle joins only."""
+    names = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")
+    before = {n: spark.conf.get(n) for n in names}
+    if request.param == "shuffled":
+        spark.conf.set(names[0], "-1")
+        spark.conf.set(names[1], "false")
+    yield
+    for n, value in before.items():
+        spark.conf.set(n, value)
+
+
 @pytest.fixture(scope="module")
-def skewed(spark):
+def skewed(spark, joins):
     rng = random.Random(7)
     rows = []
     for key in range(40):
@@ -107,6 +120,31 @@ def test_first_arrivals_with_many_copies(spark):
     assert left == {n for n in range(1, 50) if n % 2 or n >= 40}
 
 
+def test_skew_join_splits_a_hot_key(spark, joins):
+    """With tiny thresholds the adaptive skew join takes part, and results stay the same."""
+    conf = {
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1KB",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1KB",
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+    }
+    before = {n: spark.conf.get(n) for n in conf}
+    for n, value in conf.items():
+        spark.conf.set(n, value)
+    try:
+        rows = [(i, "hot" if i % 3 else f"c{i}") for i in range(3000)]
+        df = spark.createDataFrame(rows, "seq long, k string").repartition(12)
+        got = keyed.last_n_per_key(df, ["k"], ["seq"], 700)
+        kept = got.collect()
+        assert len(kept) == 1000 + 700
+        assert min(r.seq for r in kept if r.k == "hot") == sorted(
+            i for i, k in rows if k == "hot"
+        )[-700]
+    finally:
+        for n, value in before.items():
+            spark.conf.set(n, value)
+
+
 def test_percentiles_against_numpy(spark):
     rng = np.random.default_rng(1)
     groups = {
