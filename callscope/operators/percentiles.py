@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,12 +15,14 @@ _BUCKET_BITS = 16
 def value_histogram(df: DataFrame, value: str, groups: Sequence[str]) -> DataFrame:
     """Rows per distinct whole value of every group: groups, v, n.
 
-    Counts combine before they move.  The bucket column `b` is kept non-null, so that consumers'
-    joins add no filter of their own and all of them read one shuffled histogram.
+    Counts combine before they move.  Rows without a value or a group are left out and the bucket
+    column `b` is never null, so that consumers' joins add no filter of their own and all of them
+    read one shuffled histogram.
     """
     bucket = F.coalesce(F.shiftright("v", _BUCKET_BITS), F.lit(0).cast("long"))
+    present = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in (value, *groups)])
     return (
-        df.where(F.col(value).isNotNull())
+        df.where(present)
         .groupBy(*groups, F.col(value).cast("long").alias("v"))
         .agg(F.count(F.lit(1)).alias("n"))
         .withColumn("b", bucket)
@@ -78,8 +81,7 @@ def histogram_percentiles(
 def exact_percentiles(
     df: DataFrame, value: str, fractions: Sequence[float], groups: Sequence[str]
 ) -> DataFrame:
-    """Exact interpolated percentiles of a whole-number column per group.  Group columns are
-    not null."""
+    """Exact interpolated percentiles of a whole-number column per (non-null) group."""
     return histogram_percentiles(value_histogram(df, value, groups), fractions, groups)
 
 

@@ -9,11 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from callscope.functions.timing import in_window
-from callscope.operators.percentiles import (
-    exact_percentiles,
-    histogram_percentiles,
-    value_histogram,
-)
+from callscope.operators.percentiles import histogram_percentiles, value_histogram
 
 PERCENTILES = {"p50": 0.50, "p95": 0.95, "p99": 0.99}
 
@@ -199,19 +195,41 @@ def percentiles(logs: DataFrame, window: str, as_of=None) -> DataFrame:
 
 
 def provider_latency(logs: DataFrame) -> DataFrame:
-    """Mean first-token and completion latency and the p95 per provider."""
-    means = logs.groupBy("provider").agg(
-        F.sum("ttft_ms").alias("_ttft"),
-        F.count("ttft_ms").alias("_ttft_n"),
-        F.sum("duration_ms").alias("_dur"),
-        F.count("duration_ms").alias("_dur_n"),
-    )
-    p95 = exact_percentiles(logs, "duration_ms", [0.95], ["provider"]).select("provider", "value")
-    return means.join(p95, "provider", "left").select(
+    """Mean first-token and completion latency and the p95 per provider, from one histogram."""
+    keys = ["provider", "measure"]
+    stacked = logs.select(
         "provider",
-        ratio(F.col("_ttft"), F.col("_ttft_n"), 2).alias("avg_first_token_latency_ms"),
-        ratio(F.col("_dur"), F.col("_dur_n"), 2).alias("avg_completion_latency_ms"),
-        F.bround("value", 2).alias("p95_latency_ms"),
+        F.explode(
+            F.array(
+                F.struct(F.lit("ttft").alias("measure"), F.col("ttft_ms").alias("x")),
+                F.struct(F.lit("dur").alias("measure"), F.col("duration_ms").alias("x")),
+            )
+        ).alias("m"),
+    ).select("provider", "m.measure", "m.x")
+    hist = value_histogram(stacked, "x", keys)
+    p95 = histogram_percentiles(hist, [0.95], keys).select(
+        *keys, F.col("value").alias("p95"), F.lit(None).cast("double").alias("mean")
+    )
+    means = hist.groupBy(*keys).agg(
+        F.lit(None).cast("double").alias("p95"),
+        (F.sum(F.col("v") * F.col("n")) / F.sum("n")).alias("mean"),
+    )
+
+    def cell(measure: str, name: str) -> Column:
+        return F.max(F.when(F.col("measure") == measure, F.col(name)))
+
+    return (
+        p95.unionByName(means)
+        .groupBy("provider")
+        .agg(
+            F.coalesce(F.bround(cell("ttft", "mean"), 2), F.lit(0.0)).alias(
+                "avg_first_token_latency_ms"
+            ),
+            F.coalesce(F.bround(cell("dur", "mean"), 2), F.lit(0.0)).alias(
+                "avg_completion_latency_ms"
+            ),
+            F.bround(cell("dur", "p95"), 2).alias("p95_latency_ms"),
+        )
     )
 
 

@@ -36,22 +36,26 @@ class _LiveStream(StatefulProcessor):
         for batch in rows:
             starts += batch.loc[batch["kind"] == "start", "at_ms"].tolist()[:1]
             ends += batch.loc[batch["kind"] == "end", "at_ms"].tolist()[:1]
-        if starts and not self._open.exists():
+        started = self._open.get()[0] if self._open.exists() else None
+        fresh = started is None and bool(starts)
+        if fresh:
             started = int(min(starts))
-            self._open.update((started,))
-            self._handle.registerTimer(started + self._ttl_ms)
             yield self._row(key[0], "registered", started)
-        if ends and self._open.exists():
-            started = self._open.get()[0]
-            expiry = started + self._ttl_ms
-            self._handle.deleteTimer(expiry)
-            self._open.clear()
-            ended = int(min(ends))
+        if started is None:
+            return
+        expiry = started + self._ttl_ms
+        if ends:
+            # A stream that opens and closes in one batch never enters the state store.
+            if not fresh:
+                self._handle.deleteTimer(expiry)
+                self._open.clear()
             # An end that comes after the time to live finds the stream already gone.
-            if ended > expiry:
-                yield self._row(key[0], "expired", expiry)
-            else:
-                yield self._row(key[0], "ended", ended)
+            ended = int(min(ends))
+            gone = ended > expiry
+            yield self._row(key[0], "expired" if gone else "ended", min(ended, expiry))
+        elif fresh:
+            self._open.update((started,))
+            self._handle.registerTimer(expiry)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         if self._open.exists():
