@@ -163,10 +163,9 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     store = _Store(docs.sparkSession)
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     signed = store.keep(source.mapInArrow(_sign, _SIGNED))
-    classes = (
-        signed.where("doc_id is not null and n_shingles > 0")
-        .groupBy("low", "high", "n_shingles")
-        .agg(F.min("doc_id").alias("class_id"))
+    # Stored before the join, so that a set with very many copies is split there.
+    classes = store.keep(
+        signed.where("doc_id is not null and n_shingles > 0").groupBy("low", "high", "n_shingles").agg(F.min("doc_id").alias("class_id"))
     )
     with_class = store.keep(
         signed.where("doc_id is not null and n_shingles > 0")

@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from callscope.llm.counts import SCHEMA, in_parts, summed
 from callscope.llm.words import U64, Words, as_bytes, grams, mix, sized, span_hashes
 
 BUCKET_BITS = 16
@@ -25,7 +26,6 @@ TRUSTED_MAX = 20_000
 #: Counts added to each bucket, as a share of the bucket's raw probability times this many n-grams.
 PRIOR = 200_000.0
 THRESHOLD = -0.15
-_PARTS = 64  # rows in which a task hands over its bucket counts
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
 MIN_WORDS = 10
@@ -93,23 +93,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             counts[0] += np.bincount(keys, minlength=counts.shape[1])
             counts[1] += np.bincount(keys[trusted[low:high][doc]], minlength=counts.shape[1])
     if counts[0].any():
-        raw, target = (list(np.split(x, _PARTS)) for x in counts)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(range(_PARTS), pa.int32()), pa.array(raw, pa.list_(pa.int64())), pa.array(target, pa.list_(pa.int64()))],
-            ["part", "raw", "target"],
-        )
-
-
-def _add_up(key, batches):
-    """One part's counts over all tasks."""
-    raw = target = None
-    for batch in batches:
-        for a, b in zip(batch["raw"], batch["target"], strict=True):
-            raw = a.astype(np.int64) if raw is None else raw + a
-            target = b.astype(np.int64) if target is None else target + b
-    import pandas as pd
-
-    yield pd.DataFrame({"part": [key[0]], "raw": [raw], "target": [target]})
+        yield in_parts(counts)
 
 
 def log_ratios(docs: DataFrame, trusted: DataFrame, text: str = "text", doc_id: str = "doc_id") -> np.ndarray:
@@ -122,23 +106,8 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, text: str = "text", doc_id:
     marked = docs.select(F.col(text).alias("text"), F.col(doc_id).alias("id")).join(
         F.broadcast(ids.select(F.col(doc_id).alias("id"), F.lit(True).alias("trusted"))), "id", "left"
     )
-    parts = marked.select("text", F.coalesce("trusted", F.lit(False)).alias("trusted")).mapInArrow(
-        _count, "part int, raw array<long>, target array<long>"
-    )
-    # Two levels: many tasks' parts meet in a few hundred sums before the last one.
-    near = (
-        parts.withColumn("lane", F.pmod(F.hash(F.spark_partition_id()), F.lit(32)))
-        .groupBy("part", "lane")
-        .applyInPandas(lambda key, frame: next(_add_up(key, [frame])), "part int, raw array<long>, target array<long>")
-    )
-    summed = near.groupBy("part").applyInPandas(
-        lambda key, frame: next(_add_up(key, [frame])), "part int, raw array<long>, target array<long>"
-    )
-    raw = np.zeros((_PARTS, (1 << BUCKET_BITS) // _PARTS))
-    target = np.zeros_like(raw)
-    for row in summed.collect():
-        raw[row["part"]], target[row["part"]] = row["raw"], row["target"]
-    return ratios(raw.ravel(), target.ravel())
+    parts = marked.select("text", F.coalesce("trusted", F.lit(False)).alias("trusted")).mapInArrow(_count, SCHEMA)
+    return ratios(*summed(parts, 2, 1 << BUCKET_BITS).astype(float))
 
 
 def ratios(raw: np.ndarray, target: np.ndarray) -> np.ndarray:

@@ -25,7 +25,7 @@ from callscope.session import scratch_dir
 VOCABULARY = "piece_bpe_32k.model"
 LIMIT = 4096
 WHOLE_BYTES = 32_768
-CHUNK = 16_384  # characters
+CHUNK = 16_384  # bytes
 OVERLAP = 256
 WIDEN = 16
 _MARK = "▁"
@@ -52,31 +52,39 @@ def processor(vocabulary: str = VOCABULARY) -> tuple:
     return _loaded[vocabulary]
 
 
-def is_stable(text: str, at: int) -> bool:
+def is_stable(text: bytes, at: int) -> bool:
     """Whether no merge can cross this place."""
-    return text[at] == " " and text[at - 1] not in (" ", _MARK)
+    return text[at] == 0x20 and text[at - 1] != 0x20 and text[max(0, at - 3) : at] != _MARK.encode()
 
 
-def chunks(text: str, overlap: int, chunk: int = CHUNK) -> Iterator[tuple[int, str]]:
-    """Start and text of each chunk; the last one reaches the end."""
-    for start in range(0, max(len(text), 1), chunk):
-        part = text[start : start + chunk + overlap]
-        yield start, part
-        if start + len(part) >= len(text):
-            break
+def chunks(text: bytes, overlap: int, chunk: int = CHUNK) -> Iterator[tuple[int, bytes, int, int]]:
+    """Start and text of each chunk, the end of the one before and the start of the one after."""
 
+    def character(at: int) -> int:
+        while at < len(text) and text[at] & 0xC0 == 0x80:
+            at += 1
+        return min(at, len(text))
 
-def boundaries(text: str, start: int, overlap: int, vocabulary: str = VOCABULARY, chunk: int = CHUNK) -> tuple[int, list[tuple[int, int]], list[tuple[int, int]]]:
+    start = before = 0
+    while True:
+        following, end = character(start + chunk), character(start + chunk + overlap)
+        yield start, text[start:end], before, following
+        if end == len(text):
+            return
+        start, before = following, end
+
+
+def boundaries(text: bytes, start: int, before: int, following: int, vocabulary: str = VOCABULARY) -> tuple[int, list[tuple[int, int]], list[tuple[int, int]]]:
     """Number of tokens of a chunk; stable token starts in its first and in its last overlap, as
-    (offset in the text, tokens of the chunk before it)."""
-    found = processor(vocabulary)[0].encode(text, out_type="immutable_proto").pieces
+    (offset in the whole text, tokens of the chunk before it)."""
+    found = processor(vocabulary)[0].encode(text.decode(), return_type="proto").pieces
     head, tail = [], []
     for n, piece in enumerate(found):
         at = piece.begin
-        if 0 < at < len(text) and (at < overlap or at >= chunk) and is_stable(text, at):
-            if start and at < overlap:
+        if 0 < at < len(text) and (start + at < before or start + at >= following) and is_stable(text, at):
+            if start + at < before:
                 head.append((start + at, n))
-            if at >= chunk:
+            if start + at >= following:
                 tail.append((start + at, n))
     return len(found), head, tail
 
@@ -91,29 +99,28 @@ def _count_chunked(long: DataFrame, vocabulary: str, overlap: int) -> DataFrame:
     def cut(batches):
         for batch in batches:
             for row, text in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), strict=True):
-                for n, (start, part) in enumerate(chunks(text.decode(), overlap)):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([row]), pa.array([n], pa.int32()), pa.array([start], pa.int64()), pa.array([part])], ["row", "chunk", "start", "part"]
-                    )
+                for n, (start, part, before, following) in enumerate(chunks(text, overlap)):
+                    yield pa.RecordBatch.from_pydict({"row": [row], "chunk": pa.array([n], pa.int32()), "start": [start], "before": [before], "following": [following], "part": [part]})
 
     def encode(batches):
         ends = pa.list_(pa.struct([("at", pa.int64()), ("n", pa.int64())]))
         pairs = lambda x: [{"at": at, "n": n} for at, n in x]
         for batch in batches:
-            got = [boundaries(part, start, overlap, vocabulary) for start, part in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            places = zip(as_bytes(batch.column(5)), *(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True)
+            got = [boundaries(*place, vocabulary) for place in places]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array([g[0] for g in got], pa.int64()), pa.array([pairs(g[1]) for g in got], ends), pa.array([pairs(g[2]) for g in got], ends)],
                 ["row", "chunk", "n", "head", "tail"],
             )
 
-    parts = long.select("row", "text").mapInArrow(cut, "row string, chunk int, start long, part string")
+    parts = long.select("row", "text").mapInArrow(cut, "row string, chunk int, start long, before long, following long, part binary")
     parts = parts.repartition("row", "chunk")
     path = scratch_dir(spark, "token-chunks")
     parts.mapInArrow(encode, _ENDS).write.parquet(path)
     ends = spark.read.parquet(path)
     after = ends.select("row", (F.col("chunk") - 1).alias("chunk"), F.col("head").alias("next"), F.lit(True).alias("more"))
     at = F.array_min(F.array_intersect("tail.at", "next.at"))
-    tokens = lambda side: F.element_at(F.filter(side, lambda x: x["at"] == at), 1)["n"]
+    tokens = lambda side: F.get(F.filter(side, lambda x: x["at"] == at), 0)["n"]
     own = F.when(F.col("more").isNull(), F.col("n")).otherwise(tokens("tail") - tokens("next"))
     return (
         ends.join(after, ["row", "chunk"], "left")

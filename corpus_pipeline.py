@@ -11,6 +11,10 @@ from callscope.session import scratch_dir
 #: Name and function of each stage; a function takes (spark, docs, sf_dir).
 STAGES = [
     ("quality rules", stages.quality),
+    ("language identification", stages.language),
+    ("near-duplicates", stages.near_duplicates),
+    ("source mixing", stages.mix),
+    ("packing", stages.pack),
 ]
 
 #: The log-likelihood ratio over hash buckets and the packing can't be stated in SQL.
