@@ -4,8 +4,8 @@ The posterior of a language is the product of
 * the text's likelihood under hashed byte trigrams, counted over every document that declares a language;
 * the declared markup language and the address suffix, by how often each goes with a language;
 * the host's prior, smoothed towards its domain's, and that towards the whole corpus's.
-The last three come from grouped aggregation over all documents' text votes; a document's own vote is
-left out of its host's counts.  A uniform distribution stands for languages that are not known.
+The last three come from grouped aggregation over all documents' text votes, a document's own vote
+left out.  A uniform distribution stands for languages that are not known.
 
 Null or missing evidence says nothing.  Texts without a trigram vote for nothing and are judged by the
 rest.  A document is rejected if the unknown language is the most probable one, if no language reaches
@@ -149,20 +149,23 @@ def fuse(rows: DataFrame, seen: DataFrame, min_posterior: float = MIN_POSTERIOR)
     rows = _attach(rows, _votes(seen, domain(F.col("_host")).alias("key")), domain(F.col("_host")), "by_domain")
     rows = rows.withColumns({f"_by_{x}": F.coalesce(f"_by_{x}", zeros) for x in ("declared", "suffix", "host", "domain")})
 
-    def prior(level: str, i: int, above: Column) -> Column:
-        votes = F.col(f"_by_{level}")
-        own = F.coalesce((F.col("_vote") == i).cast("double"), F.lit(0.0))
-        voted = F.when(F.col("_vote").isNotNull() & F.col("_host").isNotNull(), 1.0).otherwise(0.0)
-        own = F.when(F.col("_host").isNotNull(), own).otherwise(0.0)
+    def others(level: str, i: int, value: str) -> tuple[Column, Column]:
+        """Votes for a language, and all votes, of a group without the row's own."""
+        votes, has = F.col(f"_by_{level}"), F.col(value).isNotNull()
+        own = F.when(has & (F.col("_vote") == i), 1.0).otherwise(0.0)
+        voted = F.when(has & F.col("_vote").isNotNull(), 1.0).otherwise(0.0)
         everyone = F.aggregate(votes, F.lit(0.0), lambda a, x: a + x)
-        return (F.greatest(votes[i] - own, F.lit(0.0)) + above * HOST_STRENGTH) / (F.greatest(everyone - voted, F.lit(0.0)) + HOST_STRENGTH)
+        return F.greatest(votes[i] - own, F.lit(0.0)), F.greatest(everyone - voted, F.lit(0.0))
+
+    def prior(level: str, i: int, above: Column) -> Column:
+        mine, everyone = others(level, i, "_host")
+        return (mine + above * HOST_STRENGTH) / (everyone + HOST_STRENGTH)
 
     def field(name: str, i: int) -> Column:
         """log P(value | language) up to a term that is equal for all languages; 0 without a value."""
-        votes = F.col(f"_by_{name}")
-        everyone = F.aggregate(votes, F.lit(0.0), lambda a, x: a + x)
+        mine, everyone = others(name, i, f"_{name}")
         share = (everyone + FIELD_STRENGTH) / (total + FIELD_STRENGTH * n)
-        return F.when(everyone == 0, F.lit(0.0)).otherwise(F.log((votes[i] + share * FIELD_STRENGTH) / (overall[i] + FIELD_STRENGTH) / share))
+        return F.when(everyone == 0, F.lit(0.0)).otherwise(F.log((mine + share * FIELD_STRENGTH) / (overall[i] + FIELD_STRENGTH) / share))
 
     scores = [
         F.col("_likelihoods")[i] + field("declared", i) + field("suffix", i) + F.log(prior("host", i, prior("domain", i, F.lit(base[i]))) * (1 - UNKNOWN_PRIOR))
