@@ -64,7 +64,7 @@ logs AS (
     END AS tokens_per_second,
     CASE WHEN priced THEN CAST((nano // 10 + CASE
         WHEN nano % 10 > 5 OR (nano % 10 = 5 AND (nano // 10) % 2 = 1) THEN 1 ELSE 0 END
-      ) * 0.00000001::DECIMAL(9,8) AS DECIMAL(12,8)) END AS estimated_cost_usd
+      ) * 0.00000001::DECIMAL(9,8) AS DECIMAL(20,8)) END AS estimated_cost_usd
   FROM nano),
 rollup AS (
   SELECT date_trunc('hour', completed_at) AS hour_bucket, provider, model,
@@ -75,7 +75,7 @@ rollup AS (
     count(*) FILTER (WHERE blocked) AS blocked_count,
     CAST(sum(coalesce(tokens_in, 0)) AS BIGINT) AS total_tokens_in,
     CAST(sum(coalesce(tokens_out, 0)) AS BIGINT) AS total_tokens_out,
-    CAST(sum(coalesce(estimated_cost_usd, 0)) AS DECIMAL(14,8)) AS total_cost_usd
+    CAST(sum(coalesce(estimated_cost_usd, 0)) AS DECIMAL(30,8)) AS total_cost_usd
   FROM logs WHERE completed_at IS NOT NULL GROUP BY ALL),
 messages AS (
   SELECT conv_id AS conversation_id, turn AS seq, role, text AS content,
@@ -521,7 +521,7 @@ WHERE c.event_id % 10 <> 9
   count(*) FILTER (WHERE blocked) AS blocked_count,
   CAST(sum(coalesce(tokens_in, 0)) AS BIGINT) AS total_tokens_in,
   CAST(sum(coalesce(tokens_out, 0)) AS BIGINT) AS total_tokens_out,
-  CAST(sum(coalesce(estimated_cost_usd, 0)) AS DECIMAL(14,8)) AS total_cost_usd
+  CAST(sum(coalesce(estimated_cost_usd, 0)) AS DECIMAL(30,8)) AS total_cost_usd
 FROM logs WHERE event_id IN (SELECT event_id FROM odd WHERE reject_reason IS NULL)
 GROUP BY ALL""",
     "streamed_dedup": "SELECT event_id, status FROM calls",
@@ -534,14 +534,32 @@ FROM spans""",
   SELECT user_id, epoch_us(started_at) // 86400000000 AS rate_bucket, row_number() OVER (
     PARTITION BY user_id, epoch_us(started_at) // 86400000000 ORDER BY started_at) > 2 AS over_rate
   FROM calls) GROUP BY ALL""",
-    "streamed_cancels": """SELECT c.event_id AS request_id,
-  c.started_at + (c.event_id % 7) * INTERVAL 1 SECOND AS cancel_ts
-FROM calls c JOIN spans s ON s.request_id = c.event_id
-WHERE c.started_at + (c.event_id % 7) * INTERVAL 1 SECOND <= s.ended_at""",
+    "streamed_token_bucket": """SELECT request_id, conversation_id, over_rate FROM bucket WHERE n > 0""",
+    "streamed_cancels": """SELECT CAST(c.event_id AS VARCHAR) AS request_id,
+  min(c.started_at + (c.event_id % 7) * INTERVAL 1 SECOND + again * INTERVAL 2 HOUR) AS cancel_ts
+FROM calls c JOIN spans s ON s.request_id = c.event_id, (VALUES (0), (1)) r(again)
+WHERE c.started_at + (c.event_id % 7) * INTERVAL 1 SECOND + again * INTERVAL 2 HOUR <= s.ended_at
+  AND (again = 0 OR c.event_id % 3 = 0) GROUP BY c.event_id""",
     "malformed_cancels": """SELECT event_id, 'garbage-' || status AS payload FROM calls
 WHERE event_id % 10 = 9""",
 }
 
 
+# A token bucket decides one call after the other: a step of the recursion takes every user's next one.
+_BUCKET = """,
+turn AS (SELECT CAST(event_id AS VARCHAR) AS request_id, CAST(user_id AS VARCHAR) AS conversation_id,
+    epoch_us(started_at) // 1000 AS at_ms, row_number() OVER (
+      PARTITION BY user_id ORDER BY epoch_us(started_at) // 1000, CAST(event_id AS VARCHAR)) AS n FROM calls),
+bucket(n, request_id, conversation_id, at_ms, tokens, over_rate) AS (
+  SELECT 0, '', conversation_id, min(at_ms), 2.0::DOUBLE, false FROM turn GROUP BY conversation_id
+  UNION ALL
+  SELECT t.n, t.request_id, t.conversation_id, t.at_ms,
+    least(2.0::DOUBLE, b.tokens + (t.at_ms - b.at_ms) / 1000.0::DOUBLE * (1 / 256.0::DOUBLE / 60.0::DOUBLE))
+      - CASE WHEN least(2.0::DOUBLE, b.tokens + (t.at_ms - b.at_ms) / 1000.0::DOUBLE * (1 / 256.0::DOUBLE / 60.0::DOUBLE)) < 1 THEN 0 ELSE 1 END,
+    least(2.0::DOUBLE, b.tokens + (t.at_ms - b.at_ms) / 1000.0::DOUBLE * (1 / 256.0::DOUBLE / 60.0::DOUBLE)) < 1
+  FROM bucket b JOIN turn t ON t.conversation_id = b.conversation_id AND t.n = b.n + 1)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {name: f"WITH {_BASE}\n{sql}" for name, sql in _QUERIES.items()}
+    extra = {"streamed_token_bucket": _BUCKET}
+    return {name: f"WITH RECURSIVE {_BASE}{extra.get(name, '')}\n{sql}" for name, sql in _QUERIES.items()}

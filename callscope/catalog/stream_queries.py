@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable, Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from callscope.catalog import views as v
@@ -12,29 +14,47 @@ from callscope.sources.streams import read_json_files
 from callscope.sources.tables import Warehouse
 from callscope.streaming.cancel import match_cancels_live
 from callscope.streaming.ingest import run_ingest, within_horizon
-from callscope.streaming.state import limit_rate, track_streams
+from callscope.streaming.state import limit_rate, token_bucket, track_streams
 
-# Stored test tables arrive in no particular order, so nothing may count as late.
+# Arrival times of the triggers; the last one is past every timer.
+_ARRIVALS = ("2023-12-30 00:00:00", "2023-12-30 00:00:10", "2030-01-01 00:00:00")
+# The stored events span a month, in no particular order.
 _ANY_ORDER = "60 days"
 
 
-def _stream_of(spark: SparkSession, df: DataFrame, folder: str) -> DataFrame:
-    df.write.parquet(folder)
-    return spark.readStream.schema(spark.read.parquet(folder).schema).parquet(folder)
+def _job(spark: SparkSession, df: DataFrame, folder: str) -> None:
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider, None)
+    spark.conf.set(provider, STATE_STORE)
+    try:
+        df.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.unset(provider) if before is None else spark.conf.set(provider, before)
 
 
-def _run(df: DataFrame, folder: str) -> DataFrame:
-    spark = df.sparkSession
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
-    job = (
-        df.writeStream.format("parquet")
-        .option("path", f"{folder}/out")
-        .option("checkpointLocation", f"{folder}/checkpoint")
-        .trigger(availableNow=True)
-        .start()
-    )
-    job.awaitTermination()
-    return spark.read.schema(df.schema).parquet(f"{folder}/out")
+def _in_triggers(spark: SparkSession, parts: Sequence[DataFrame], label: str, job: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What a job writes when each part arrives after the one before has been processed."""
+    folder = scratch_dir(spark, label)
+    for part in parts:
+        part.write.mode("append").parquet(f"{folder}/in")
+        schema = spark.read.parquet(f"{folder}/in").schema
+        out = job(spark.readStream.schema(schema).parquet(f"{folder}/in"))
+        _job(spark, out, folder)
+    return spark.read.schema(out.schema).parquet(f"{folder}/out")
+
+
+def _dealt(rows: DataFrame, trigger: Column, repeated: Column) -> list[DataFrame]:
+    """Rows by trigger number (0 or 1) with their arrival; repeated ones come in both."""
+    dealt = rows.withColumn("_trigger", trigger).withColumn("_again", repeated)
+    parts = []
+    for n, at in enumerate(_ARRIVALS[:2]):
+        own = (F.col("_trigger") == n) | (F.col("_again"))
+        parts.append(dealt.where(own).drop("_trigger", "_again").withColumn("arrived_at", F.lit(at).cast("timestamp")))
+    return parts
+
+
+def _last(row: DataFrame) -> DataFrame:
+    return row.withColumn("arrived_at", F.lit(_ARRIVALS[2]).cast("timestamp"))
 
 
 @query
@@ -55,63 +75,72 @@ def streamed_ingest(spark, sf):
 
 @query
 def streamed_dedup(spark, sf):
-    """A replayed stream with repeats dropped in state."""
-    folder = scratch_dir(spark, "dedup")
-    calls = v.replayed(v.inference_events(spark, sf)).select("event_id", "status", "started_at")
-    stream = _stream_of(spark, calls, f"{folder}/in")
-    once = within_horizon(stream, "started_at", _ANY_ORDER)
-    return _run(once, folder).select("event_id", "status")
+    """A replayed stream with repeats dropped in state, in two triggers."""
+    calls = v.inference_events(spark, sf).select("event_id", "status", "started_at")
+    parts = _dealt(calls, F.col("event_id") % 2, F.col("event_id") % 5 == 0)
+    once = _in_triggers(spark, parts, "dedup", lambda s: within_horizon(s.drop("arrived_at"), "started_at", _ANY_ORDER))
+    return once.select("event_id", "status")
 
 
 @query
 def tracked_streams(spark, sf):
-    """Registry changes of every stream."""
-    folder = scratch_dir(spark, "registry")
+    """Registry changes of every stream: repeats, ends before their starts, and streams that never end."""
     starts, ends = _stream_spans(spark, sf)
-    changes = starts.select(
-        F.col("request_id").cast("string").alias("request_id"),
-        F.lit("start").alias("kind"),
-        F.col("started_at").alias("at"),
-    ).unionByName(
-        ends.select(
-            F.col("request_id").cast("string").alias("request_id"),
-            F.lit("end").alias("kind"),
-            F.col("ended_at").alias("at"),
-        )
+    name = F.col("request_id").cast("string").alias("request_id")
+    begun = starts.select(name, F.lit("start").alias("kind"), F.col("started_at").alias("at"), F.col("request_id").alias("_n"))
+    # Ends a day later are never sent: those streams expire.
+    done = ends.where(F.col("request_id") % 3 != 0).select(name, F.lit("end").alias("kind"), F.col("ended_at").alias("at"), F.col("request_id").alias("_n"))
+    ahead = (F.col("_n") % 5 == 1) == (F.col("kind") == "end")
+    trigger = F.when(ahead | (F.col("_n") % 7 == 0), 0).otherwise(1)
+    parts = [p.drop("_n") for p in _dealt(begun.unionByName(done), trigger, F.col("_n") % 4 == 0)]
+    flush = begun.limit(0).drop("_n").unionByName(spark.range(1).select(F.lit("flush").alias("request_id"), F.lit("start").alias("kind"), F.lit("2030-01-01").cast("timestamp").alias("at")))
+    changes = _in_triggers(spark, [*parts, _last(flush)], "registry", track_streams)
+    return changes.where("request_id <> 'flush'").select("request_id", "change")
+
+
+def _requests(spark, sf) -> DataFrame:
+    return v.inference_events(spark, sf).select(
+        F.col("event_id").cast("string").alias("request_id"),
+        F.col("user_id").cast("string").alias("conversation_id"),
+        "started_at",
+        (F.col("event_id") % 2).alias("_n"),
     )
-    stream = _stream_of(spark, changes, f"{folder}/in")
-    return _run(track_streams(stream, _ANY_ORDER), folder).select("request_id", "change")
 
 
 @query
 def streamed_rate_limit(spark, sf):
-    """Admitted and refused calls per user and day, two being the limit."""
-    folder = scratch_dir(spark, "rate")
-    calls = v.inference_events(spark, sf).select(
-        F.col("event_id").cast("string").alias("request_id"),
-        F.col("user_id").cast("string").alias("conversation_id"),
-        "started_at",
-    )
-    stream = _stream_of(spark, calls, f"{folder}/in")
-    decided = _run(limit_rate(stream, 2, 86_400, _ANY_ORDER), folder)
+    """Admitted and refused calls per user and day, two being the limit; most arrive out of order."""
+    parts = [p.drop("_n") for p in _dealt(_requests(spark, sf), F.col("_n"), F.lit(False))]
+    decided = _in_triggers(spark, parts, "rate", lambda s: limit_rate(s, 2, 86_400))
     return decided.groupBy("conversation_id", "rate_bucket", "over_rate").agg(
         F.count(F.lit(1)).alias("n")
     )
 
 
+@query
+def streamed_token_bucket(spark, sf):
+    """Every call's decision by a bucket of two tokens that refills once in four hours."""
+    parts = [p.drop("_n") for p in _dealt(_requests(spark, sf), F.col("_n"), F.lit(False))]
+    flush = spark.range(1).select(F.lit("flush").alias("request_id"), F.lit("flush").alias("conversation_id"), F.lit("2031-01-01").cast("timestamp").alias("started_at"))
+    decided = _in_triggers(spark, [*parts, _last(flush)], "bucket", lambda s: token_bucket(s, 2, 1 / 256))
+    return decided.select("request_id", "conversation_id", "over_rate")
+
+
 @query
 def streamed_cancels(spark, sf):
-    """Cancel requests joined with stream lifecycles while both arrive."""
-    folder = scratch_dir(spark, "cancels")
+    """The first cancel in time of each stream: repeats, later ones, and streams open for a day."""
     starts, ends = _stream_spans(spark, sf)
-    spans = starts.join(ends, "request_id")
-    cancels = v.inference_events(spark, sf).select(
-        F.col("event_id").alias("request_id"),
+    asked = v.inference_events(spark, sf).select(
+        F.col("event_id").cast("string").alias("request_id"),
         v.plus_seconds(F.col("started_at"), F.col("event_id") % 7).alias("cancel_ts"),
+        (F.col("event_id") % 3).alias("_n"),
     )
-    joined = match_cancels_live(
-        _stream_of(spark, cancels, f"{folder}/cancels"),
-        _stream_of(spark, spans, f"{folder}/spans"),
-        _ANY_ORDER,
-    )
-    return _run(joined, folder).select("request_id", "cancel_ts")
+    later = asked.where("_n = 0").withColumn("cancel_ts", v.plus_seconds(F.col("cancel_ts"), F.lit(7200)))
+    spans = starts.join(ends, "request_id").select(F.col("request_id").cast("string").alias("request_id"), "started_at", "ended_at", (F.col("request_id") % 3).alias("_n"))
+    rows = later.unionByName(asked).unionByName(spans, allowMissingColumns=True)
+    parts = _dealt(rows, F.when(F.col("cancel_ts").isNull(), (F.col("_n") + 1) % 2).otherwise(F.col("_n") % 2), F.col("_n") == 2)
+    flush = spark.range(1).select(F.lit("flush").alias("request_id"), F.lit("2030-01-01").cast("timestamp").alias("cancel_ts"))
+    empty = rows.drop("_n").limit(0)
+    split = lambda s: match_cancels_live(s.where("cancel_ts is not null"), s.where("cancel_ts is null"))
+    found = _in_triggers(spark, [*(p.drop("_n") for p in parts), _last(empty.unionByName(flush, allowMissingColumns=True))], "cancels", split)
+    return found.select("request_id", "cancel_ts")

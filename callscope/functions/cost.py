@@ -13,7 +13,8 @@ def token_cost(
 ) -> Column:
     """USD for a call, rates per million tokens, half-even at eight places.
 
-    A missing count costs nothing; a missing rate gives null.
+    A missing count costs nothing; a missing rate gives null.  Counts are 32 bits wide, so the
+    result always fits.
     """
 
     def part(tokens: Column, rate: Column) -> Column:
@@ -21,4 +22,4 @@ def token_cost(
         return count * rate.cast("decimal(9,3)")
 
     total = part(tokens_in, input_rate) + part(tokens_out, output_rate)
-    return F.bround(total * F.lit(Decimal("0.000001")), 8).try_cast("decimal(12,8)")
+    return F.bround(total * F.lit(Decimal("0.000001")), 8).cast("decimal(20,8)")

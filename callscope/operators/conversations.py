@@ -162,10 +162,12 @@ def detach_deleted(logs: DataFrame, deleted: DataFrame) -> DataFrame:
     gone = deleted.select(
         F.col("conversation_id").alias("_gone_id"), F.lit(True).alias("_gone")
     ).distinct()
-    joined = logs.join(gone, F.col("conversation_id") == F.col("_gone_id"), "left")
-    return joined.withColumn(
+    named = logs.where(F.col("conversation_id").isNotNull())
+    joined = named.join(gone, F.col("conversation_id") == F.col("_gone_id"), "left").withColumn(
         "conversation_id", F.when(F.col("_gone").isNull(), F.col("conversation_id"))
-    ).drop("_gone_id", "_gone")
+    )
+    # Rows without an id have nothing to lose and stay out of the join.
+    return joined.select(*logs.columns).union(logs.where(F.col("conversation_id").isNull()))
 
 
 def with_defaults(table: DataFrame, defaults: dict[str, object]) -> DataFrame:

@@ -208,19 +208,23 @@ def split_rejects(checked: DataFrame) -> tuple[DataFrame, DataFrame]:
 def check_conversations(checked: DataFrame, conversations: DataFrame) -> DataFrame:
     """Reject events whose conversation does not exist; events without one pass.
 
-    One left join marks known ids, so accepted and rejected rows come from a single pass.  The
-    conversation side has one row per id, and a hot id on the event side is split by the
-    adaptive skew join.
+    The conversations are first cut down to the ids that the events name, once each, so what
+    meets the events grows with the batch and not with the table.  Events without an id stay
+    out of the join, and a hot id is split by the adaptive skew join.
     """
-    known = conversations.select(
-        F.col("conversation_id").alias("_known_id"), F.lit(True).alias("_known")
+    named = checked.where(F.col("conversation_id").isNotNull())
+    ids = named.select("conversation_id").distinct()
+    known = (
+        conversations.select("conversation_id")
+        .join(ids, "conversation_id", "left_semi")
+        .distinct()
+        .select(F.col("conversation_id").alias("_known_id"))
     )
-    joined = checked.join(known, F.col("conversation_id") == F.col("_known_id"), "left")
-    orphan = F.col("conversation_id").isNotNull() & F.col("_known").isNull()
-    return joined.withColumn(
-        "reject_reason",
-        F.coalesce("reject_reason", F.when(orphan, F.lit("conversation_id: unknown"))),
-    ).drop("_known_id", "_known")
+    orphan = F.when(F.col("_known_id").isNull(), F.lit("conversation_id: unknown"))
+    joined = named.join(known, F.col("conversation_id") == F.col("_known_id"), "left").withColumn(
+        "reject_reason", F.coalesce("reject_reason", orphan)
+    )
+    return joined.select(*checked.columns).union(checked.where(F.col("conversation_id").isNull()))
 
 
 def to_log_rows(accepted: DataFrame, created_at: Column | None = None) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from callscope.functions import pii, timing
 from callscope.functions.cost import token_cost
+from callscope.schemas import LOG_EVENT_SCHEMA
 
 Stage = Callable[[DataFrame], DataFrame]
 
@@ -96,14 +97,27 @@ def price_events(events: DataFrame, prices: DataFrame) -> DataFrame:
     incoming = (
         F.col("estimated_cost_usd")
         if "estimated_cost_usd" in events.columns
-        else F.lit(None).cast("decimal(12,8)")
-    )
+        else F.lit(None)
+    ).cast("decimal(20,8)")
     priced = events.join(rates, "model", "left").withColumn(
         "estimated_cost_usd", F.when(F.col("input_rate").isNotNull(), cost).otherwise(incoming)
     )
     return priced.drop("input_rate", "output_rate")
 
 
+def check_costs(checked: DataFrame, prices: DataFrame) -> DataFrame:
+    """Reject events whose price exceeds what the log's cost column may hold (wire type)."""
+    wide = price_events(checked.select("*", F.col("estimated_cost_usd").alias("_given")), prices)
+    limit = LOG_EVENT_SCHEMA["estimated_cost_usd"].dataType
+    misfit = F.col("estimated_cost_usd").isNotNull() & F.col("estimated_cost_usd").try_cast(limit).isNull()
+    reason = F.when(misfit, F.lit("estimated_cost_usd: out of range"))
+    return (
+        wide.withColumn("reject_reason", F.coalesce("reject_reason", reason))
+        .withColumn("estimated_cost_usd", F.col("_given"))
+        .select(*checked.columns)
+    )
+
+
 def derive_timings(events: DataFrame) -> DataFrame:
     """Fill duration, time to first token and output rate from the epoch columns."""
     return (

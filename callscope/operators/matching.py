@@ -38,7 +38,8 @@ def active_streams(
     now = as_timestamp(as_of)
     oldest = now - F.make_dt_interval(secs=F.lit(float(ttl_seconds)))
     live = starts.where((F.col("started_at") > oldest) & (F.col("started_at") <= now))
-    ended = ends.where(F.col("ended_at") <= now).select("request_id")
+    # A live stream's end is no older than its start, so older ends need not be read.
+    ended = ends.where((F.col("ended_at") > oldest) & (F.col("ended_at") <= now)).select("request_id")
     return live.join(ended, "request_id", "left_anti")
 
 

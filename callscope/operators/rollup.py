@@ -29,7 +29,7 @@ def with_deltas(logs: DataFrame) -> DataFrame:
         _flag(F.col("blocked")).alias("blocked_count"),
         F.coalesce("tokens_in", zero).alias("total_tokens_in"),
         F.coalesce("tokens_out", zero).alias("total_tokens_out"),
-        F.coalesce("estimated_cost_usd", zero.cast("decimal(12,8)")).alias("total_cost_usd"),
+        F.coalesce("estimated_cost_usd", zero.cast("decimal(20,8)")).alias("total_cost_usd"),
     )
 
 

@@ -33,7 +33,9 @@ _TYPES = {
     "boolean": T.BooleanType(),
     "timestamp": T.TimestampType(),
     "usd": T.DecimalType(12, 8),
-    "usd_sum": T.DecimalType(14, 8),
+    # What 32-bit token counts can cost at any rate, and sums of it, always fit these.
+    "usd_wide": T.DecimalType(20, 8),
+    "usd_sum": T.DecimalType(30, 8),
     "usd_rate": T.DecimalType(9, 3),
     "per_second": T.DecimalType(10, 2),
 }
@@ -63,7 +65,7 @@ INFERENCE_LOG_SCHEMA = struct_of(
     "started_at timestamp, first_token_at timestamp, completed_at timestamp, "
     "duration_ms int, ttft_ms int, tokens_per_second per_second, "
     "streamed boolean, stream_chunks int, tokens_in int, tokens_out int, "
-    "estimated_cost_usd usd, status string, error_code string, error_message string, "
+    "estimated_cost_usd usd_wide, status string, error_code string, error_message string, "
     "prompt_preview string, response_preview string, pii_detected boolean, "
     "blocked boolean, block_reason string, metadata string, created_at timestamp"
 )

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import SparkSession
 
@@ -39,11 +41,19 @@ def use_utc(spark: SparkSession) -> SparkSession:
 
 
 def scratch_dir(spark: SparkSession, label: str) -> str:
-    """A fresh folder under the cluster's `spark.checkpoint.dir`.
+    """A fresh folder under the cluster's `spark.checkpoint.dir`, or the context's checkpoint folder.
 
-    Only where the cluster names none (tests, a laptop) is a local temporary folder used.
+    Where neither is set, a local master gets a temporary folder that goes when the process
+    ends; on a cluster executors could not share one, so there it is an error.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        base = tempfile.mkdtemp(prefix="callscope-")
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        base = _local_scratch().name
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+@cache
+def _local_scratch() -> tempfile.TemporaryDirectory:
+    return tempfile.TemporaryDirectory(prefix="callscope-", ignore_cleanup_errors=True)

@@ -1,28 +1,28 @@
-"""Cancel requests joined with stream lifecycles, both as streams."""
+"""Cancel requests met with stream lifecycles, both as streams."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from callscope.streaming.state import LATENESS_SECONDS, first_cancels
+
 
 def match_cancels_live(
-    cancels: DataFrame, streams: DataFrame, lateness: str = "10 minutes"
+    cancels: DataFrame, streams: DataFrame, lateness_seconds: int = LATENESS_SECONDS
 ) -> DataFrame:
-    """Cancels (request_id, cancel_ts) that fall into their stream's open time.
+    """request_id and cancel_ts of the first cancel in each stream's open time.
 
-    `streams` has request_id, started_at, ended_at.  A stream lives one hour at most; that bound
-    and the watermarks let the join forget both sides.
+    The rule of the batch form `match_cancels`: however long the stream is open, its first cancel takes
+    effect and the stream is gone afterwards.  `streams` has request_id, started_at, ended_at.
     """
-    asked = cancels.withWatermark("cancel_ts", lateness)
+    extra = ["arrived_at"] if "arrived_at" in cancels.columns else []
+    none = F.lit(None).cast("long")
+    asked = cancels.select(
+        "request_id", F.lit("cancel").alias("kind"), none.alias("started_us"), none.alias("ended_us"), F.unix_micros("cancel_ts").alias("at_us"), *extra
+    )
     spans = streams.select(
-        F.col("request_id").alias("_stream_id"), "started_at", "ended_at"
-    ).withWatermark("started_at", lateness)
-    hour = F.expr("INTERVAL 1 HOUR")
-    in_time = (
-        (F.col("request_id") == F.col("_stream_id"))
-        & (F.col("cancel_ts") >= F.col("started_at"))
-        & (F.col("cancel_ts") <= F.col("started_at") + hour)
-        & (F.col("cancel_ts") <= F.col("ended_at"))
+        "request_id", F.lit("span").alias("kind"), F.unix_micros("started_at").alias("started_us"), F.unix_micros("ended_at").alias("ended_us"), none.alias("at_us"), *extra
     )
-    return asked.join(spans, in_time).drop("_stream_id")
+    found = first_cancels(asked.unionByName(spans), lateness_seconds)
+    return found.select("request_id", F.timestamp_micros("cancel_us").alias("cancel_ts"))

@@ -17,6 +17,7 @@ from callscope.operators.decode import (
 from callscope.operators.enrich import (
     Stage,
     business_rules,
+    check_costs,
     enrich,
     price_stage,
     redact_previews,
@@ -29,9 +30,13 @@ from callscope.sources.tables import Warehouse
 Tables = Callable[[], DataFrame]
 
 
-def check_payloads(raw: DataFrame, conversations: DataFrame | None = None) -> DataFrame:
-    """Decode, range check and, given conversations, check references."""
+def check_payloads(
+    raw: DataFrame, conversations: DataFrame | None = None, prices: DataFrame | None = None
+) -> DataFrame:
+    """Decode and range check; given prices also the cost, given conversations also references."""
     checked = fit_to_log(decode_events(raw))
+    if prices is not None:
+        checked = check_costs(checked, prices)
     return checked if conversations is None else check_conversations(checked, conversations)
 
 
@@ -67,7 +72,8 @@ def ingest_batch(
     # The payload's hash settles ties, so a repeated batch keeps the same copies.
     order = [F.col("arrival")] if "arrival" in raw.columns else []
     raw = raw.withColumn("arrival", F.struct(*order, F.xxhash64("payload").alias("tie")))
-    checked = check_payloads(raw, conversations).persist()
+    decoded = check_payloads(raw, prices=load_prices(spark) if stages is None else None).persist()
+    checked = decoded if conversations is None else check_conversations(decoded, conversations)
     try:
         accepted, rejected = split_rejects(checked)
         warehouse.write("dead_letters", rejected.select("payload", "reject_reason"), batch_id)
@@ -94,7 +100,7 @@ def ingest_batch(
         )
         warehouse.write("ingest_batches", counts, batch_id)
     finally:
-        checked.unpersist()
+        decoded.unpersist()
 
 
 def run_ingest(

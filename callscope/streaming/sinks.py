@@ -27,7 +27,7 @@ def fan_out(sinks: Mapping[str, Sink], report_path: str | None = None) -> Sink:
                     sink(batch, batch_id)
                     outcomes.append((batch_id, name, True, None))
                 except Exception as failure:  # noqa: BLE001 - any sink failure is only reported
-                    outcomes.append((batch_id, name, False, str(failure)[:500]))
+                    outcomes.append((batch_id, name, False, str(failure)))
         finally:
             batch.unpersist()
         if report_path:

@@ -1,12 +1,18 @@
-"""Keyed state: live streams, per-conversation rate counters, token buckets.
+"""Keyed state: live streams, cancels, per-conversation rate counters, token buckets.
 
-State is kept per key in the state store and expires by event time, so a run over stored data
-gives the same result as a run over live data.  A key's rows reach the processor as an iterator
-of Arrow batches; none of them collects its input.
+State lives per key in the state store.  What happened when is told by the events' own times; the
+clock of the timers is the arrival (`arrived_at`, or the time of the micro-batch).  Arrival never
+runs late, so no row is dropped before it reaches its processor, however old its event is.  An
+own `arrived_at` must not decrease from one micro-batch to the next.
+
+A key's rows of a micro-batch reach the processor as an iterator of Arrow batches.  Results don't
+depend on where these are cut.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,79 +21,163 @@ from pyspark.sql.streaming import StatefulProcessor
 from callscope.operators.governance import rate_bucket
 from callscope.schemas import REQUESTS_PER_MINUTE, STREAM_TTL_SECONDS
 
+LATENESS_SECONDS = 600
+_NEVER = -1
+
+
+def arriving(events: DataFrame) -> DataFrame:
+    """Rows with `arrived_at` as the watermark column."""
+    if "arrived_at" not in events.columns:
+        events = events.withColumn("arrived_at", F.current_timestamp())
+    return events.withWatermark("arrived_at", "1 second")
+
+
+def _timers(rows: DataFrame, processor: StatefulProcessor, output: str) -> DataFrame:
+    return rows.transformWithStateInPandas(
+        statefulProcessor=processor, outputStructType=output, outputMode="Append", timeMode="EventTime"
+    )
+
 
 class _LiveStream(StatefulProcessor):
-    """Opens on `start`, closes on `end`, expires after the time to live."""
+    """Opens on the first `start`, closes on the earliest `end`, expires after the time to live.
+
+    An end that arrives before its start is remembered, and so is a closed stream, until the time
+    to live and the lateness have passed.
+    """
 
-    def __init__(self, ttl_seconds: int):
+    def __init__(self, ttl_seconds: int, lateness_seconds: int):
         self._ttl_ms = ttl_seconds * 1000
+        self._keep_ms = self._ttl_ms + lateness_seconds * 1000
 
     def init(self, handle) -> None:
         self._handle = handle
-        self._open = handle.getValueState("open", "started_ms long")
+        self._state = handle.getValueState("stream", "started_ms long, ended_ms long, open boolean")
 
     def _row(self, request_id, change, ms) -> pd.DataFrame:
-        return pd.DataFrame(
-            {"request_id": [request_id], "change": [change], "at_ms": [ms]}
-        )
+        return pd.DataFrame({"request_id": [request_id], "change": [change], "at_ms": [ms]})
 
     def handleInputRows(self, key, rows, timerValues):
-        ends, starts = [], []
+        started, ended, is_open = self._state.get() if self._state.exists() else (_NEVER, _NEVER, False)
+        starts, ends = [], [] if ended == _NEVER else [ended]
         for batch in rows:
-            starts += batch.loc[batch["kind"] == "start", "at_ms"].tolist()[:1]
-            ends += batch.loc[batch["kind"] == "end", "at_ms"].tolist()[:1]
-        started = self._open.get()[0] if self._open.exists() else None
-        fresh = started is None and bool(starts)
-        if fresh:
-            started = int(min(starts))
+            starts += batch.loc[batch["kind"] == "start", "at_ms"].nsmallest(1).tolist()
+            ends += batch.loc[batch["kind"] == "end", "at_ms"].nsmallest(1).tolist()
+        if started == _NEVER and starts:
+            started, is_open = int(min(starts)), True
+            self._handle.registerTimer(started + self._keep_ms)
             yield self._row(key[0], "registered", started)
-        if started is None:
-            return
-        expiry = started + self._ttl_ms
-        if ends:
-            # A stream that opens and closes in one batch never enters the state store.
-            if not fresh:
-                self._handle.deleteTimer(expiry)
-                self._open.clear()
+        if ends and ended == _NEVER and started == _NEVER:
+            self._handle.registerTimer(int(min(ends)) + self._keep_ms)
+        ended = int(min(ends)) if ends else _NEVER
+        if is_open and ended != _NEVER:
             # An end that comes after the time to live finds the stream already gone.
-            ended = int(min(ends))
-            gone = ended > expiry
-            yield self._row(key[0], "expired" if gone else "ended", min(ended, expiry))
-        elif fresh:
-            self._open.update((started,))
-            self._handle.registerTimer(expiry)
+            expiry = started + self._ttl_ms
+            is_open = False
+            yield self._row(key[0], "expired" if ended > expiry else "ended", min(ended, expiry))
+        self._state.update((started, ended, is_open))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        if self._open.exists():
-            self._open.clear()
-            yield self._row(key[0], "expired", int(expiredTimerInfo.getExpiryTimeInMs()))
+        if not self._state.exists():
+            return
+        started, ended, is_open = self._state.get()
+        fired = int(expiredTimerInfo.getExpiryTimeInMs())
+        if fired < (ended if started == _NEVER else started) + self._keep_ms:
+            return
+        self._state.clear()
+        if is_open:
+            yield self._row(key[0], "expired", started + self._ttl_ms)
 
     def close(self) -> None:
         pass
 
 
 def track_streams(
-    changes: DataFrame, lateness: str = "10 minutes", ttl_seconds: int = STREAM_TTL_SECONDS
+    changes: DataFrame,
+    ttl_seconds: int = STREAM_TTL_SECONDS,
+    lateness_seconds: int = LATENESS_SECONDS,
 ) -> DataFrame:
     """Stream lifecycle (request_id, kind start|end, at) to registry changes.
 
-    Emits registered, ended and expired rows; registered minus the other two is what is live.
+    Emits registered, ended and expired rows; registered minus the other two is what is live.  A
+    stream without an end expires once arrival is `lateness_seconds` past its time to live.
     """
-    timed = changes.withWatermark("at", lateness).withColumn("at_ms", F.unix_millis("at"))
-    return timed.groupBy("request_id").transformWithStateInPandas(
-        statefulProcessor=_LiveStream(ttl_seconds),
-        outputStructType="request_id string, change string, at_ms long",
-        outputMode="Append",
-        timeMode="EventTime",
+    timed = arriving(changes).withColumn("at_ms", F.unix_millis("at"))
+    return _timers(
+        timed.groupBy("request_id"),
+        _LiveStream(ttl_seconds, lateness_seconds),
+        "request_id string, change string, at_ms long",
+    )
+
+
+class _FirstCancel(StatefulProcessor):
+    """Keeps a stream's cancels until its end is past, then gives the earliest one in time."""
+
+    def __init__(self, lateness_seconds: int, wait_seconds: int):
+        self._lateness_ms = lateness_seconds * 1000
+        self._wait_ms = wait_seconds * 1000
+
+    def init(self, handle) -> None:
+        self._handle = handle
+        self._span = handle.getValueState("span", "started_us long, ended_us long")
+        self._asked = handle.getListState("asked", "at_us long")
+
+    def handleInputRows(self, key, rows, timerValues):
+        asked = {row[0] for row in self._asked.get()} if self._asked.exists() else set()
+        span = self._span.get() if self._span.exists() else None
+        for batch in rows:
+            spans = batch[batch["kind"] == "span"]
+            if span is None and len(spans):
+                span = int(spans["started_us"].min()), int(spans["ended_us"].min())
+                self._span.update(span)
+                self._handle.registerTimer(span[1] // 1000 + self._lateness_ms)
+            asked |= {int(x) for x in batch.loc[batch["kind"] == "cancel", "at_us"].unique()}
+        if span is not None:
+            asked = set(sorted(x for x in asked if span[0] <= x <= span[1])[:1])
+        elif asked:
+            self._handle.registerTimer(max(asked) // 1000 + self._wait_ms)
+        self._asked.put([(x,) for x in asked]) if asked else self._asked.clear()
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        fired = int(expiredTimerInfo.getExpiryTimeInMs())
+        asked = [row[0] for row in self._asked.get()] if self._asked.exists() else []
+        if self._span.exists():
+            if fired >= self._span.get()[1] // 1000 + self._lateness_ms:
+                self._span.clear()
+                self._asked.clear()
+                if asked:
+                    yield pd.DataFrame({"request_id": [key[0]], "cancel_us": [min(asked)]})
+        elif asked and fired >= max(asked) // 1000 + self._wait_ms:
+            self._asked.clear()
+
+    def close(self) -> None:
+        pass
+
+
+def first_cancels(
+    changes: DataFrame, lateness_seconds: int = LATENESS_SECONDS, wait_seconds: int = 7 * 86_400
+) -> DataFrame:
+    """request_id and cancel_us from rows (request_id, kind span|cancel, started_us, ended_us, at_us).
+
+    A cancel waits for its stream for `wait_seconds`; what names no stream by then has no effect.
+    """
+    return _timers(
+        arriving(changes).groupBy("request_id"),
+        _FirstCancel(lateness_seconds, wait_seconds),
+        "request_id string, cancel_us long",
     )
 
 
 class _RateCounter(StatefulProcessor):
-    """Counts a (conversation, bucket) in arrival order and forgets it once the bucket is over."""
+    """Counts a (conversation, bucket): micro-batches in their order, and requests by time in each.
+
+    Holds no more than the requests that can still be admitted; the rest is refused as it comes.
+    """
 
-    def __init__(self, limit: int, bucket_seconds: int):
+    def __init__(self, limit: int, bucket_seconds: int, lateness_seconds: int):
         self._limit = limit
         self._bucket_ms = bucket_seconds * 1000
+        self._lateness_ms = lateness_seconds * 1000
 
     def init(self, handle) -> None:
         self._handle = handle
@@ -96,20 +186,24 @@ class _RateCounter(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues):
         fresh = not self._seen.exists()
         seen = 0 if fresh else self._seen.get()[0]
+        free = max(self._limit - seen, 0)
+        held = None
         for batch in rows:
-            number = range(seen + 1, seen + len(batch) + 1)
             seen += len(batch)
-            yield pd.DataFrame(
-                {
-                    "request_id": batch["request_id"],
-                    "conversation_id": key[0],
-                    "rate_bucket": key[1],
-                    "over_rate": [n > self._limit for n in number],
-                }
-            )
+            batch = batch[["request_id", "at_us"]]
+            held = (batch if held is None else pd.concat([held, batch])).sort_values(["at_us", "request_id"])
+            yield self._decided(key, held.iloc[free:], True)
+            held = held.iloc[:free]
+        if held is not None:
+            yield self._decided(key, held, False)
         self._seen.update((seen,))
         if fresh:
-            self._handle.registerTimer((int(key[1]) + 1) * self._bucket_ms)
+            self._handle.registerTimer((int(key[1]) + 1) * self._bucket_ms + self._lateness_ms)
+
+    def _decided(self, key, rows, over: bool) -> pd.DataFrame:
+        return pd.DataFrame(
+            {"request_id": rows["request_id"], "conversation_id": key[0], "rate_bucket": key[1], "over_rate": over}
+        )
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         self._seen.clear()
@@ -123,73 +217,101 @@ def limit_rate(
     requests: DataFrame,
     limit: int = REQUESTS_PER_MINUTE,
     bucket_seconds: int = 60,
-    lateness: str = "1 minute",
+    lateness_seconds: int = LATENESS_SECONDS,
 ) -> DataFrame:
-    """Live form of the rate check: request_id, conversation_id, started_at in, decisions out.
+    """Live form of the rate check: request_id, conversation_id, started_at in, one decision each out.
 
-    Keyed by conversation and bucket, so one busy conversation spreads over its buckets.
+    Keyed by conversation and bucket, so one busy conversation spreads over its buckets.  A
+    request that comes after its bucket is forgotten starts a new count.
     """
-    timed = requests.withWatermark("started_at", lateness).withColumn(
-        "rate_bucket", rate_bucket(F.col("started_at"), bucket_seconds)
+    timed = arriving(requests).withColumns(
+        {
+            "rate_bucket": rate_bucket(F.col("started_at"), bucket_seconds),
+            "at_us": F.unix_micros("started_at"),
+        }
     )
-    return timed.groupBy("conversation_id", "rate_bucket").transformWithStateInPandas(
-        statefulProcessor=_RateCounter(limit, bucket_seconds),
-        outputStructType=(
-            "request_id string, conversation_id string, rate_bucket long, over_rate boolean"
-        ),
-        outputMode="Append",
-        timeMode="EventTime",
+    return _timers(
+        timed.groupBy("conversation_id", "rate_bucket"),
+        _RateCounter(limit, bucket_seconds, lateness_seconds),
+        "request_id string, conversation_id string, rate_bucket long, over_rate boolean",
     )
 
 
 class _TokenBucket(StatefulProcessor):
-    """A bucket that refills steadily; an admitted request takes one token."""
+    """A bucket that refills steadily; an admitted request takes one token.
 
-    def __init__(self, capacity: float, per_second: float):
+    Requests wait until arrival is past their time by the lateness, and are then decided in the order
+    of their times.  One that comes later still is decided at once, at the bucket's present level.
+    """
+
+    def __init__(self, capacity: float, per_second: float, lateness_seconds: int):
         self._capacity = capacity
         self._rate = per_second
+        self._lateness_ms = lateness_seconds * 1000
+        self._refill_ms = int(capacity / per_second * 1000) + 1
 
     def init(self, handle) -> None:
+        self._handle = handle
         self._level = handle.getValueState("level", "tokens double, at_ms long")
+        self._waiting = handle.getListState("waiting", "at_ms long, request_id string")
 
-    def handleInputRows(self, key, rows, timerValues):
+    def _due(self, at: int) -> int:
+        """When a request is decided, in whole seconds, so that many share a timer."""
+        return -(-(at + self._lateness_ms) // 1000) * 1000
+
+    def _decide(self, key, requests: list[tuple[int, str]]) -> Iterator[pd.DataFrame]:
         tokens, last = self._level.get() if self._level.exists() else (self._capacity, None)
-        for batch in rows:
-            batch = batch.sort_values(["at_ms", "request_id"])
-            blocked = []
-            for at in batch["at_ms"].tolist():
-                gained = 0.0 if last is None else max(at - last, 0) / 1000 * self._rate
-                tokens = min(self._capacity, tokens + gained)
-                last = at if last is None else max(at, last)
-                admitted = tokens >= 1.0
-                tokens -= 1.0 if admitted else 0.0
-                blocked.append(not admitted)
-            yield pd.DataFrame(
-                {
-                    "request_id": batch["request_id"],
-                    "conversation_id": key[0],
-                    "over_rate": blocked,
-                }
-            )
-        if last is not None:
+        over = []
+        for at, _ in requests:
+            gained = 0.0 if last is None else max(at - last, 0) / 1000 * self._rate
+            tokens = min(self._capacity, tokens + gained)
+            last = at if last is None else max(at, last)
+            over.append(tokens < 1.0)
+            tokens -= 0.0 if over[-1] else 1.0
+        if requests:
             self._level.update((float(tokens), int(last)))
+            self._handle.registerTimer(self._due(int(last) + self._refill_ms))
+            yield pd.DataFrame({"request_id": [r for _, r in requests], "conversation_id": key[0], "over_rate": over})
+
+    def handleInputRows(self, key, rows, timerValues):
+        now = int(timerValues.getCurrentWatermarkInMs())
+        late: list[tuple[int, str]] = []
+        for batch in rows:
+            here = list(zip(batch["at_ms"].tolist(), batch["request_id"].tolist(), strict=True))
+            late += [r for r in here if self._due(r[0]) <= now]
+            wait = [r for r in here if self._due(r[0]) > now]
+            for due in {self._due(at) for at, _ in wait}:
+                self._handle.registerTimer(due)
+            if wait:
+                self._waiting.appendList(wait)
+        yield from self._decide(key, sorted(late))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        fired = int(expiredTimerInfo.getExpiryTimeInMs())
+        waiting = [tuple(row) for row in self._waiting.get()] if self._waiting.exists() else []
+        ready = sorted(r for r in waiting if self._due(r[0]) <= fired)
+        if ready:
+            rest = [r for r in waiting if self._due(r[0]) > fired]
+            self._waiting.put(rest) if rest else self._waiting.clear()
+            yield from self._decide(key, ready)
+        elif self._level.exists() and not waiting and fired >= self._due(self._level.get()[1] + self._refill_ms):
+            self._level.clear()  # full again, which is how a new key starts
 
     def close(self) -> None:
         pass
 
 
-def token_bucket(requests: DataFrame, capacity: int, per_minute: float) -> DataFrame:
+def token_bucket(
+    requests: DataFrame, capacity: int, per_minute: float, lateness_seconds: int = LATENESS_SECONDS
+) -> DataFrame:
     """Smooth alternative to fixed buckets: bursts up to `capacity`, then `per_minute` steadily.
 
-    Decisions follow arrival order, as with any live limiter.  Each depends on the one before,
-    so a conversation is one sequence; its rows stream through, and only the level is kept.
+    Each decision depends on the one before, so a conversation is one sequence; only the
+    requests of the last `lateness_seconds` and the level are kept.
     """
-    timed = requests.withColumn("at_ms", F.unix_millis("started_at")).select(
-        "conversation_id", "request_id", "at_ms"
-    )
-    return timed.groupBy("conversation_id").transformWithStateInPandas(
-        statefulProcessor=_TokenBucket(float(capacity), per_minute / 60.0),
-        outputStructType="request_id string, conversation_id string, over_rate boolean",
-        outputMode="Append",
-        timeMode="None",
+    timed = arriving(requests).withColumn("at_ms", F.unix_millis("started_at"))
+    return _timers(
+        timed.groupBy("conversation_id"),
+        _TokenBucket(float(capacity), per_minute / 60.0, lateness_seconds),
+        "request_id string, conversation_id string, over_rate boolean",
     )

@@ -58,7 +58,7 @@ def compare(spark, con, name, query, sql, sf_dir):
 
 
 def _too_slow(*_):
-    raise TimeoutError("query took over a minute")
+    raise TimeoutError("query took over three minutes")
 
 
 def main():
@@ -83,7 +83,7 @@ def main():
             continue
         t = time.time()
         signal.signal(signal.SIGALRM, _too_slow)
-        signal.alarm(60)
+        signal.alarm(180)
         try:
             if name in sqls:
                 problem = compare(spark, con, name, query, sqls[name], sf_dir)

@@ -6,6 +6,7 @@ import json
 from datetime import datetime, timedelta, timezone
 from uuid import UUID
 
+import pytest
 from pyspark.sql import functions as F
 
 from callscope.operators.percentiles import sketch_quantiles
@@ -198,58 +199,90 @@ def test_publish_and_console_documents(spark, tmp_path):
     assert doc["conversation_id"] is None
 
 
-def test_track_streams_matches_batch(spark, tmp_path):
-    changes = [("a", "start", _at(0)), ("b", "start", _at(10)), ("a", "end", _at(60))]
-    later = [("d", "start", _at(9000)), ("e", "start", _at(20000))]
-    schema = "request_id string, kind string, at timestamp"
-    path = tmp_path / "in"
-    spark.createDataFrame(changes, schema).coalesce(1).write.parquet(str(path))
-    spark.createDataFrame(later, schema).coalesce(1).write.mode("append").parquet(str(path))
-    source = (
-        spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(path))
-    )
-    out = rows(_finish(track_streams(source), tmp_path).select("request_id", "change"))
-    assert ("a", "ended") in out and ("b", "expired") in out
-    live = {r for r, c in out if c == "registered"} - {r for r, c in out if c != "registered"}
-    assert live == {"e"} or live == {"d", "e"}
-
-
-def test_live_rate_limit_counts_like_the_batch_form(spark, tmp_path):
-    requests = [(f"r{i:03d}", "c1" if i % 3 else "c2", _at(i * 4)) for i in range(60)]
-    schema = "request_id string, conversation_id string, started_at timestamp"
-    df = spark.createDataFrame(requests, schema).coalesce(1)
-    out = _finish(limit_rate(_replay(spark, tmp_path / "in", df), limit=3), tmp_path)
+def _triggers(spark, path, parts, schema, job):
+    """What a job writes when each (arrival second, rows) comes in a trigger of its own."""
+    for n, (arrived, part) in enumerate(parts):
+        frame = spark.createDataFrame(part, schema).withColumn("arrived_at", F.lit(_at(arrived)))
+        frame.coalesce(1).write.mode("append").parquet(f"{path}/in")
+        source = spark.readStream.schema(frame.schema).parquet(f"{path}/in")
+        out = _finish(job(source), path)
+    return out
+
+
+_CHANGE = "request_id string, kind string, at timestamp"
+
+
+@pytest.mark.parametrize("size", ["10000", "1"])
+def test_track_streams(spark, tmp_path, size):
+    """Earliest start and end count, an early end is kept, and silence expires; batch cuts don't matter."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    try:
+        parts = [
+            (0, [("a", "start", _at(500)), ("a", "start", _at(0)), ("a", "end", _at(5000)), ("a", "end", _at(600)), ("early", "end", _at(60))]),
+            (100, [("early", "start", _at(50)), ("a", "start", _at(0)), ("a", "end", _at(600)), ("slow", "start", _at(100)), ("open", "start", _at(90_000))]),
+            (4000, [("slow", "end", _at(3800))]),
+            (20_000, [("z", "start", _at(20_000))]),
+        ]
+        out = _triggers(spark, tmp_path, parts, _CHANGE, track_streams)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    ms = lambda s: int(_at(s).timestamp() * 1000)
+    got = sorted((r.request_id, r.change, r.at_ms) for r in out.collect())
+    start = got[1][2]  # the zone of the test machine doesn't matter
+    assert [(r, c, at - start) for r, c, at in got] == sorted([
+        ("a", "registered", 0), ("a", "ended", 600_000), ("early", "registered", 50_000), ("early", "ended", 60_000), ("slow", "registered", 100_000),
+        ("slow", "expired", 3_700_000), ("open", "registered", 90_000_000), ("z", "registered", 20_000_000),
+    ]) and ms(0)
+
+
+_REQUEST = "request_id string, conversation_id string, started_at timestamp"
+
+
+@pytest.mark.parametrize("size", ["10000", "7"])
+def test_live_rate_limit(spark, tmp_path, size):
+    """Within a trigger the earliest requests are admitted, and a late one gets its decision too."""
     from callscope.operators.governance import flag_rate_limited
 
-    batch = flag_rate_limited(df, limit=3)
-    assert rows(out.groupBy("conversation_id", "rate_bucket", "over_rate").count()) == rows(
-        batch.groupBy("conversation_id", "rate_bucket", "over_rate").count()
-    )
-
-
-def test_token_bucket(spark, tmp_path):
+    requests = [(f"r{i:03d}", "c1" if i % 3 else "c2", _at(i * 4)) for i in range(60)]
+    df = spark.createDataFrame(requests, _REQUEST)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    try:
+        parts = [(0, requests[::-1]), (50_000, [("late", "c1", _at(1)), ("new", "c3", _at(50_000))]), (60_000, [("later", "c1", _at(2))])]
+        out = _triggers(spark, tmp_path, parts, _REQUEST, lambda s: limit_rate(s, limit=3))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    got = {r.request_id: r.over_rate for r in out.collect()}
+    assert len(got) == 63 and {"late", "later"} <= got.keys()
+    assert {k: v for k, v in got.items() if k[0] == "r"} == {r.request_id: r.over_rate for r in flag_rate_limited(df, limit=3).collect()}
+
+
+@pytest.mark.parametrize("size", ["10000", "2"])
+def test_token_bucket(spark, tmp_path, size):
+    """Decided by time across triggers, in whatever order requests arrive."""
     times = [0, 1, 2, 3, 63, 64]
-    df = spark.createDataFrame(
-        [(f"r{i}", "c", _at(t)) for i, t in enumerate(times)],
-        "request_id string, conversation_id string, started_at timestamp",
-    ).coalesce(1)
-    out = _finish(token_bucket(_replay(spark, tmp_path / "in", df), 2, 1.0), tmp_path)
-    got = [r.over_rate for r in out.orderBy("request_id").collect()]
-    assert got == [False, False, True, True, False, True]
-
-
-def test_cancels_join_live_streams(spark, tmp_path):
-    cancels = spark.createDataFrame(
-        [("a", _at(5)), ("b", _at(500)), ("c", _at(1))], "request_id string, cancel_ts timestamp"
-    )
-    spans = spark.createDataFrame(
-        [("a", _at(0), _at(10)), ("b", _at(0), _at(10))],
-        "request_id string, started_at timestamp, ended_at timestamp",
-    )
-    joined = match_cancels_live(
-        _replay(spark, tmp_path / "c", cancels), _replay(spark, tmp_path / "s", spans)
-    )
-    assert [r.request_id for r in _finish(joined, tmp_path).collect()] == ["a"]
+    rows = [(f"r{i}", "c", _at(t)) for i, t in enumerate(times)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    try:
+        parts = [(0, rows[3:][::-1]), (10, rows[:3]), (5000, [("x", "d", _at(5000))]), (6000, [("late", "c", _at(2)), ("y", "d", _at(9000))])]
+        out = _triggers(spark, tmp_path, parts, _REQUEST, lambda s: token_bucket(s, 2, 1.0))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    got = {r.request_id: r.over_rate for r in out.collect()}
+    assert [got[f"r{i}"] for i in range(6)] == [False, False, True, True, False, True]
+    assert "late" in got and got["x"] is False
+
+
+def test_cancels_meet_live_streams(spark, tmp_path):
+    """The first cancel in time takes effect, however long the stream has been open."""
+    schema = "request_id string, cancel_ts timestamp, started_at timestamp, ended_at timestamp"
+    parts = [
+        (0, [("a", _at(7), None, None), ("b", _at(500), None, None), ("c", _at(1), None, None), ("long", _at(9000), None, None)]),
+        (20, [("a", None, _at(0), _at(10)), ("b", None, _at(0), _at(10)), ("a", _at(5), None, None), ("a", _at(5), None, None), ("long", None, _at(0), _at(10_000))]),
+        (30_000, [("z", _at(30_000), None, None)]),
+    ]
+    split = lambda s: match_cancels_live(s.where("cancel_ts is not null"), s.where("cancel_ts is null"))
+    out = _triggers(spark, tmp_path, parts, schema, split)
+    assert sorted((r.request_id, r.cancel_ts) for r in out.collect()) == [("a", _at(5)), ("long", _at(9000))]
 
 
 def test_watermarked_variants(spark, tmp_path):
@@ -267,7 +300,7 @@ def test_watermarked_variants(spark, tmp_path):
     expected = hourly_rollup(
         df.withColumn("tokens_in", F.lit(0))
         .withColumn("tokens_out", F.lit(0))
-        .withColumn("estimated_cost_usd", F.lit(None).cast("decimal(12,8)"))
+        .withColumn("estimated_cost_usd", F.lit(None).cast("decimal(20,8)"))
     )
     closed = expected.where(F.col("hour_bucket") < F.lit(_at(6 * 3600)))
     assert rows(out.select("hour_bucket", "request_count")) == rows(
