@@ -83,6 +83,9 @@ messages AS (
       AS status,
     TIMESTAMP '2024-01-01' + (conv_id * 3600 + turn * 30) * INTERVAL 1 SECOND AS created_at
   FROM conversations),
+told AS (
+  SELECT * REPLACE (created_at - CASE WHEN role = 'assistant' THEN INTERVAL 40 SECOND
+    ELSE INTERVAL 0 SECOND END AS created_at) FROM messages),
 opening AS (
   SELECT conversation_id, role, content FROM messages
   QUALIFY row_number() OVER (PARTITION BY conversation_id ORDER BY created_at, seq) = 1),
@@ -438,7 +441,25 @@ FROM (SELECT *, CAST(floor((epoch_us(TIMESTAMP '2024-01-02 06:00:00') - epoch_us
     "rate_limited": """SELECT event_id, epoch_us(started_at) // 86400000000 AS rate_bucket,
   row_number() OVER (PARTITION BY user_id, epoch_us(started_at) // 86400000000
     ORDER BY started_at, event_id) > 2 AS over_rate FROM calls""",
-    "token_budget": "SELECT * FROM budget",
+    "token_budget": """SELECT conversation_id, seq, context_chars, context_chars // 4 AS context_tokens,
+  context_chars // 4 > 200 AS over_budget FROM (
+  SELECT conversation_id, seq, role, CAST(sum(length(coalesce(content, ''))) OVER (
+    PARTITION BY conversation_id ORDER BY created_at, seq
+    ROWS BETWEEN 20 PRECEDING AND CURRENT ROW) AS BIGINT) AS context_chars FROM told)
+WHERE role = 'user'""",
+    "budget_by_words": """SELECT request_id, context_tokens, CASE WHEN over_rate THEN 'rate_limit_exceeded'
+  WHEN context_tokens > 200 THEN 'token_budget_exceeded' END AS block_reason
+FROM (SELECT conversation_id, seq, CAST(sum(length(coalesce(content, ''))) OVER (
+    PARTITION BY conversation_id ORDER BY created_at, seq
+    ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS BIGINT) // 3 AS context_tokens FROM messages)
+JOIN (SELECT request_id, conversation_id, seq, over_rate FROM decisions) USING (conversation_id, seq)""",
+    "one_conversation": """SELECT conversation_id, seq, role, content, status FROM told
+WHERE conversation_id = 3 QUALIFY row_number() OVER (ORDER BY created_at DESC, seq DESC) <= 4""",
+    "readmitted_events": f"""SELECT event_id AS "offset",
+  CASE WHEN reject_reason IS NULL
+    AND substr({_uuid('conversation-', 'conversation_id')}, 1, 1) <= '7' THEN 'again' ELSE 'kept' END AS outcome
+FROM odd WHERE reject_reason IS NOT NULL OR (conversation_id IS NOT NULL
+  AND conversation_id NOT IN (SELECT conv_id FROM conversations))""",
     "governance_decisions": "SELECT request_id, over_rate, block_reason FROM decisions",
     "blocked_call_events": """SELECT request_id,
   CAST(conversation_id AS VARCHAR) AS conversation_id, provider, model, created_at AS started_at,
@@ -455,21 +476,19 @@ FROM decisions WHERE block_reason IS NOT NULL""",
   SELECT true AS streamed, coalesce(control, 'success') AS status, false AS blocked FROM turns
   UNION ALL SELECT false, 'error', true FROM decisions WHERE block_reason IS NOT NULL)
 GROUP BY ALL""",
-    "message_history": """SELECT conversation_id, seq, role, content, status FROM messages
-QUALIFY row_number() OVER (PARTITION BY conversation_id ORDER BY seq DESC) <= 3""",
+    "message_history": """SELECT conversation_id, seq, role, content, status FROM told
+QUALIFY row_number() OVER (PARTITION BY conversation_id ORDER BY created_at DESC, seq DESC) <= 3""",
     "context_windows": """SELECT conversation_id, seq, n_messages, context FROM (
   SELECT conversation_id, seq, role,
     CAST(count(*) OVER w AS INTEGER) AS n_messages,
     string_agg(role || ': ' || content, chr(10)) OVER w AS context
-  FROM messages WINDOW w AS (PARTITION BY conversation_id ORDER BY seq
+  FROM told WINDOW w AS (PARTITION BY conversation_id ORDER BY created_at, seq
     ROWS BETWEEN 3 PRECEDING AND CURRENT ROW)) WHERE role = 'user'""",
     "prompt_sources": """SELECT conversation_id, seq, left(content, 200) AS prompt_preview
 FROM messages WHERE role = 'user'
 QUALIFY row_number() OVER (PARTITION BY conversation_id ORDER BY seq DESC) = 1""",
     "message_order": """SELECT conversation_id, seq, row_number() OVER (
-    PARTITION BY conversation_id ORDER BY created_at - CASE WHEN role = 'assistant'
-      THEN INTERVAL 40 SECOND ELSE INTERVAL 0 SECOND END, seq) - 1 AS position
-FROM messages""",
+    PARTITION BY conversation_id ORDER BY created_at, seq) - 1 AS position FROM told""",
     "conversation_table": "SELECT * FROM conversation_rows",
     "conversation_messages": """SELECT conversation_id, seq, role, content, title, user_id
 FROM messages JOIN conversation_rows USING (conversation_id)""",
@@ -524,6 +543,10 @@ WHERE c.event_id % 10 <> 9
   CAST(sum(coalesce(estimated_cost_usd, 0)) AS DECIMAL(30,8)) AS total_cost_usd
 FROM logs WHERE event_id IN (SELECT event_id FROM odd WHERE reject_reason IS NULL)
 GROUP BY ALL""",
+    "stored_window": f"""SELECT provider, status, count(*) AS n, CAST(sum(duration_ms) AS BIGINT) AS duration_ms, "copy"
+FROM logs, (VALUES ('stored'), ('compacted')) c("copy")
+WHERE event_id IN (SELECT event_id FROM odd WHERE reject_reason IS NULL)
+  AND started_at > TIMESTAMP '{AS_OF}' - INTERVAL 1 DAY GROUP BY ALL""",
     "streamed_dedup": "SELECT event_id, status FROM calls",
     "tracked_streams": """SELECT CAST(request_id AS VARCHAR) AS request_id, 'registered' AS change
 FROM spans UNION ALL SELECT CAST(request_id AS VARCHAR),

@@ -14,7 +14,7 @@ from callscope.operators import conversations as conv
 from callscope.operators import decode, enrich, governance, matching, percentiles, rollup
 from callscope.plans import logs as log_reports
 from callscope.plans import metrics
-from callscope.session import use_utc
+from callscope.session import scratch_dir, use_utc
 from callscope.sources.lookups import load_prices, load_registry, unpriced_models
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -157,6 +157,23 @@ def unknown_conversations(spark, sf):
     )
 
 
+@query
+def readmitted_events(spark, sf):
+    """Rejected payloads that pass once their conversation is there."""
+    known = v.conversation_rows(spark, sf).select(
+        v.uuid_of("conversation-", F.col("conversation_id")).alias("conversation_id")
+    )
+    checked = decode.check_conversations(_checked(spark, sf), known)
+    letters = checked.where(F.col("reject_reason").isNotNull()).select("offset", "payload", "reject_reason")
+    late = checked.where(F.col("reject_reason") == "conversation_id: unknown").select("conversation_id")
+    added = known.union(late.where(F.substring("conversation_id", 1, 1).isin(*"01234567")))
+    again, kept = decode.readmit(letters, added)
+    return (
+        again.select("offset", F.lit("again").alias("outcome"))
+        .union(kept.select("offset", F.lit("kept").alias("outcome")))
+    )
+
+
 @query
 def referential_split(spark, sf):
     """Calls with and without an existing conversation."""
@@ -563,7 +580,21 @@ def rate_limited(spark, sf):
 
 @query
 def token_budget(spark, sf):
-    return governance.flag_over_budget(v.messages(spark, sf), max_tokens=200)
+    return governance.flag_over_budget(v.told_messages(spark, sf), max_tokens=200)
+
+
+@query
+def budget_by_words(spark, sf):
+    """Decisions with another estimate, a token for every three characters, and a shorter history."""
+    return governance.govern(
+        v.turn_requests(spark, sf),
+        v.messages(spark, sf),
+        limit=1,
+        bucket_seconds=120,
+        max_tokens=200,
+        history=2,
+        estimate=lambda chars: F.floor(chars / 3).cast("long"),
+    ).select("request_id", "context_tokens", "block_reason")
 
 
 def _governed(spark, sf):
@@ -629,15 +660,22 @@ def merged_event_stream(spark, sf):
 @query
 def message_history(spark, sf):
     """The last three messages of every conversation."""
-    return conv.history(v.messages(spark, sf), 3).select(
+    return conv.history(v.told_messages(spark, sf), 3).select(
         "conversation_id", "seq", "role", "content", "status"
     )
 
 
+@query
+def one_conversation(spark, sf):
+    """The last four messages of one conversation, as its page shows them."""
+    rows = v.told_messages(spark, sf)
+    return conv.one_history(rows, 3, 4).select("conversation_id", "seq", "role", "content", "status")
+
+
 @query
 def context_windows(spark, sf):
     """Prompt contexts of up to three earlier messages, as text."""
-    built = conv.context_windows(v.messages(spark, sf), 3)
+    built = conv.context_windows(v.told_messages(spark, sf), 3)
     return built.select(
         "conversation_id",
         "seq",
@@ -658,11 +696,7 @@ def prompt_sources(spark, sf):
 @query
 def message_order(spark, sf):
     """Messages numbered by creation time when replies carry their stream's start."""
-    rows = v.messages(spark, sf)
-    started = F.when(
-        F.col("role") == "assistant", v.plus_seconds(F.col("created_at"), F.lit(-40))
-    ).otherwise(F.col("created_at"))
-    return conv.number_messages(rows.withColumn("created_at", started)).select(
+    return conv.number_messages(v.told_messages(spark, sf)).select(
         "conversation_id", "seq", "position"
     )
 
@@ -749,11 +783,11 @@ def conversation_updates(spark, sf):
 def evolved_columns(spark, sf):
     """Messages of an older layout without a status, read with its default."""
     rows = v.messages(spark, sf)
-    older = rows.where(F.col("seq") < 2).drop("status")
-    newer = rows.where(F.col("seq") >= 2)
-    merged = older.unionByName(newer, allowMissingColumns=True)
+    path = scratch_dir(spark, "evolved")
+    rows.where(F.col("seq") < 2).drop("status").write.parquet(path)
+    rows.where(F.col("seq") >= 2).write.mode("append").parquet(path)
     return (
-        conv.with_defaults(merged, {"status": "completed", "blocked_count": 0})
+        conv.read_evolved(spark, path, {"status": "completed", "blocked_count": 0})
         .groupBy("status")
         .agg(F.count(F.lit(1)).alias("n"), F.sum("blocked_count").alias("blocked_count"))
     )

@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 from callscope.catalog import views as v
 from callscope.catalog.queries import _stream_spans, query
+from callscope.functions import timing
 from callscope.session import STATE_STORE, scratch_dir
 from callscope.sources.streams import read_json_files
 from callscope.sources.tables import Warehouse
 from callscope.streaming.cancel import match_cancels_live
-from callscope.streaming.ingest import run_ingest, within_horizon
+from callscope.streaming.ingest import ingest_batch, run_ingest, within_horizon
 from callscope.streaming.state import limit_rate, token_bucket, track_streams
 
 # Arrival times of the triggers; the last one is past every timer.
@@ -59,20 +60,36 @@ def _last(row: DataFrame) -> DataFrame:
 
 @query
 def streamed_ingest(spark, sf):
-    """The ingest job over all payloads, delivered in three files' worth with repeats."""
+    """The ingest job over all payloads in three triggers, with repeats inside and across them."""
     folder = scratch_dir(spark, "ingest")
     sent = v.payloads(spark, sf)
-    again = sent.where(F.col("offset") % 50 == 0)
-    for part, df in enumerate((sent, again)):
-        df.select("payload").write.text(f"{folder}/in/part={part}")
+    even, again = F.col("offset") % 2 == 0, F.col("offset") % 50
+    for part, df in enumerate((sent.where(even), sent.where(~even | (again == 0)), sent.where(again < 2).union(sent.where(again == 1)))):
+        df.select("payload").coalesce(1).write.text(f"{folder}/in/part={part}")
     warehouse = Warehouse(spark, f"{folder}/tables")
     job = run_ingest(
-        read_json_files(spark, f"{folder}/in/*"), warehouse, f"{folder}/checkpoint"
+        read_json_files(spark, f"{folder}/in/*", files_per_batch=1), warehouse, f"{folder}/checkpoint"
     )
     job.awaitTermination()
     return warehouse.rollup()
 
 
+@query
+def stored_window(spark, sf):
+    """A day's window of the stored log and of its compacted copy, ingested in two batches."""
+    folder = scratch_dir(spark, "stored")
+    warehouse = Warehouse(spark, f"{folder}/tables")
+    sent = v.payloads(spark, sf)
+    came = timing.epoch_to_timestamp(F.col("started_at"))
+    for n, part in enumerate((sent.where("offset % 3 < 2"), sent.where("offset % 3 > 0"))):
+        ingest_batch(part.select("payload"), n, warehouse, created_at=came)
+    small = warehouse.compact_into(f"{folder}/compacted")
+    read = lambda tables, name: tables.logs("24h", v.AS_OF).groupBy("provider", "status").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("duration_ms").alias("duration_ms")
+    ).withColumn("copy", F.lit(name))
+    return read(warehouse, "stored").unionByName(read(small, "compacted"))
+
+
 @query
 def streamed_dedup(spark, sf):
     """A replayed stream with repeats dropped in state, in two triggers."""

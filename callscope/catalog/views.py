@@ -108,6 +108,14 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def told_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages whose replies carry their stream's start, so they come before what they answer."""
+    started = F.when(
+        F.col("role") == "assistant", plus_seconds(F.col("created_at"), F.lit(-40))
+    ).otherwise(F.col("created_at"))
+    return messages(spark, sf_dir).withColumn("created_at", started)
+
+
 def conversation_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per conversation, owned by ten users in turn."""
     from callscope.operators.conversations import conversation_table

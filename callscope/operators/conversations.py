@@ -15,30 +15,30 @@ from callscope.operators.keyed import (
 from callscope.schemas import DEFAULT_USER, HISTORY_WINDOW, READ_WINDOW
 
 
+# Messages are read by creation time, then in append order; replies carry their stream's start.
+READ_ORDER = ("created_at", "seq")
+
+
 def history(messages: DataFrame, limit: int = READ_WINDOW) -> DataFrame:
-    """The last `limit` messages of every conversation, in `seq` order inside it."""
-    return last_n_per_key(messages, ["conversation_id"], ["seq"], limit)
+    """The last `limit` messages of every conversation, in the order in which they were created."""
+    return last_n_per_key(messages, ["conversation_id"], list(READ_ORDER), limit)
 
 
 def one_history(messages: DataFrame, conversation_id, limit: int = READ_WINDOW) -> DataFrame:
     """The last messages of one conversation, oldest first."""
     newest = (
         messages.where(F.col("conversation_id") == F.lit(conversation_id))
-        .orderBy(F.col("seq").desc())
+        .orderBy(*[F.col(c).desc() for c in READ_ORDER])
         .limit(limit)
     )
-    return newest.orderBy("seq")
+    return newest.orderBy(*READ_ORDER)
 
 
 def context_windows(messages: DataFrame, history_size: int = HISTORY_WINDOW) -> DataFrame:
     """Per user turn, the prompt context: up to `history_size` earlier messages and the turn."""
-    frame = lookback_window("conversation_id", "seq", history_size)
-    cut = with_lookback(
-        messages.select("conversation_id", "seq", "role", "content"),
-        "conversation_id",
-        "seq",
-        history_size,
-    )
+    frame = lookback_window("conversation_id", "position", history_size)
+    told = number_messages(messages.select("conversation_id", *READ_ORDER, "role", "content"))
+    cut = with_lookback(told, "conversation_id", "position", history_size)
     return (
         cut.withColumn("context", F.collect_list(F.struct("role", "content")).over(frame))
         .where(~F.col("_carried") & (F.col("role") == "user"))
@@ -50,7 +50,8 @@ def prompt_sources(messages: DataFrame) -> DataFrame:
     """The last user message of every conversation: what a prompt preview is cut from."""
     user = messages.where(F.col("role") == "user")
     return user.groupBy("conversation_id").agg(
-        F.max("seq").alias("seq"), F.max_by("content", "seq").alias("content")
+        F.max_by("seq", F.struct(*READ_ORDER)).alias("seq"),
+        F.max_by("content", F.struct(*READ_ORDER)).alias("content"),
     )
 
 
@@ -64,7 +65,7 @@ def number_messages(messages: DataFrame, slot: str = "HOUR") -> DataFrame:
         messages,
         "conversation_id",
         F.date_trunc(slot, F.col("created_at")),
-        ["created_at", "seq"],
+        list(READ_ORDER),
     )
 
 

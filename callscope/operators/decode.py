@@ -209,22 +209,41 @@ def check_conversations(checked: DataFrame, conversations: DataFrame) -> DataFra
     """Reject events whose conversation does not exist; events without one pass.
 
     The conversations are first cut down to the ids that the events name, once each, so what
-    meets the events grows with the batch and not with the table.  Events without an id stay
-    out of the join, and a hot id is split by the adaptive skew join.
+    meets the events grows with the batch and not with the table.  Events without an id get a
+    key of their own that is spread by hash, and a hot id is split by the adaptive skew join.
     """
-    named = checked.where(F.col("conversation_id").isNotNull())
-    ids = named.select("conversation_id").distinct()
+    ids = checked.select("conversation_id").where(F.col("conversation_id").isNotNull()).distinct()
     known = (
         conversations.select("conversation_id")
         .join(ids, "conversation_id", "left_semi")
         .distinct()
         .select(F.col("conversation_id").alias("_known_id"))
     )
-    orphan = F.when(F.col("_known_id").isNull(), F.lit("conversation_id: unknown"))
-    joined = named.join(known, F.col("conversation_id") == F.col("_known_id"), "left").withColumn(
+    spread = F.concat(F.lit("\0"), F.xxhash64(*checked.columns[:2]).cast("string"))
+    key = F.coalesce(F.col("conversation_id").cast("string"), spread)
+    orphan = F.when(
+        F.col("conversation_id").isNotNull() & F.col("_known_id").isNull(),
+        F.lit("conversation_id: unknown"),
+    )
+    joined = checked.join(known, key == F.col("_known_id").cast("string"), "left").withColumn(
         "reject_reason", F.coalesce("reject_reason", orphan)
     )
-    return joined.select(*checked.columns).union(checked.where(F.col("conversation_id").isNull()))
+    return joined.select(*checked.columns)
+
+
+def readmit(letters: DataFrame, conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Dead letters (payload, reject_reason, ...) as (payloads to ingest again, letters that stay).
+
+    An event can arrive before its conversation is stored; such letters pass once it is there.
+    What fails for any other reason stays.
+    """
+    waiting = F.col("reject_reason") == "conversation_id: unknown"
+    extra = [c for c in letters.columns if c not in ("payload", "reject_reason")]
+    again = fit_to_log(decode_events(letters.where(waiting).select(*extra, "payload")))
+    checked = check_conversations(again, conversations)
+    passed = checked.where(F.col("reject_reason").isNull()).select(*extra, "payload")
+    failed = checked.where(F.col("reject_reason").isNotNull()).select(*extra, "payload", "reject_reason")
+    return passed, letters.where(~waiting).select(*extra, "payload", "reject_reason").union(failed)
 
 
 def to_log_rows(accepted: DataFrame, created_at: Column | None = None) -> DataFrame:

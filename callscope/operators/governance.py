@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from callscope.functions.identity import payload_uuid
 from callscope.functions.text import estimated_tokens, preview
+from callscope.operators.conversations import number_messages
 from callscope.operators.enrich import derive_timings
 from callscope.operators.keyed import lookback_window, nth_in_order, with_lookback
 from callscope.schemas import (
@@ -59,11 +60,12 @@ def flag_over_budget(
         "conversation_id",
         "seq",
         "role",
+        "created_at",
         F.length(F.coalesce("content", F.lit(""))).alias("_chars"),
     )
-    frame = lookback_window("conversation_id", "seq", history)
+    frame = lookback_window("conversation_id", "position", history)
     return (
-        with_lookback(thin, "conversation_id", "seq", history)
+        with_lookback(number_messages(thin), "conversation_id", "position", history)
         .withColumn("context_chars", F.sum("_chars").over(frame))
         .where(~F.col("_carried") & (F.col("role") == "user"))
         .withColumn("context_tokens", estimate(F.col("context_chars")))
@@ -83,11 +85,13 @@ def govern(
     limit: int = REQUESTS_PER_MINUTE,
     bucket_seconds: int = 60,
     max_tokens: int = MAX_INPUT_TOKENS,
+    history: int = HISTORY_WINDOW,
+    estimate: Callable[[Column], Column] = estimated_tokens,
 ) -> DataFrame:
     """Requests (one per user turn: conversation_id, seq, request_id, started_at, ...) with
     `block_reason`, null where admitted."""
     rated = flag_rate_limited(requests, limit, bucket_seconds)
-    budget = flag_over_budget(messages, max_tokens)
+    budget = flag_over_budget(messages, max_tokens, history, estimate)
     joined = rated.join(budget, ["conversation_id", "seq"], "left")
     return joined.withColumn(
         "block_reason",

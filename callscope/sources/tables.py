@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,10 +30,16 @@ def scan(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def _stored(spark: SparkSession, path: str, schema: T.StructType, *extra: str) -> DataFrame:
+def _folders(spark: SparkSession, pattern: str) -> list[str]:
+    """Paths that a pattern names; only the folders above them are listed."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sorted(status.getPath().toString() for status in system.globStatus(path) or [])
+
+
+def _stored(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """A batch-partitioned table; one that was never written reads as empty."""
-    dates = [T.StructField(name, T.DateType()) for name in extra]
-    full = T.StructType([*schema.fields, _BATCH, *dates])
+    full = T.StructType([*schema.fields, _BATCH])
     try:
         return spark.read.schema(full).parquet(path)
     except AnalysisException as problem:
@@ -43,10 +51,11 @@ def _stored(spark: SparkSession, path: str, schema: T.StructType, *extra: str) -
 class Warehouse:
     """Raw log, rollup, dead letters and batch counts under one root folder.
 
-    Every ingest batch owns one `batch=<run>-<n>` folder per table and rewrites it whole, so a
-    batch that runs again after a failure replaces its first attempt in every table.  Inside
-    its folder the log is split by ingest date and the rollup by hour date; reports prune by
-    those.  The rollup holds sums per batch and a read adds them up.
+    Every ingest batch owns the `batch=<run>-<n>` folders of its tables and rewrites them whole, so a
+    batch that runs again after a failure replaces its first attempt in every table.  The log lies
+    under its ingest dates and the rollup under its hour dates, batches inside; a windowed read
+    lists only the dates that it needs.  A batch's ingest time is stored before its rows, so that
+    a repeat writes to the same dates.  The rollup holds sums per batch and a read adds them up.
 
     `run` names one checkpoint's lifetime: its batch numbers start at 0, so a new checkpoint on
     the same tables needs a new run name.
@@ -63,38 +72,56 @@ class Warehouse:
     def batch_key(self, batch_id: int) -> str:
         return f"{self.run}-{batch_id}"
 
-    def write(self, table: str, df: DataFrame, batch_id: int, split_by: str | None = None) -> str:
-        """Replace the batch's folder of a table and return its path."""
-        target = f"{self.path(table)}/batch={self.batch_key(batch_id)}"
-        writer = df.write.mode("overwrite").option("partitionOverwriteMode", "static")
-        (writer.partitionBy(split_by) if split_by else writer).parquet(target)
-        return target
+    def write(self, table: str, df: DataFrame, batch_id: int, split_by: str | None = None) -> None:
+        """Replace the batch's folders of a table."""
+        key = self.batch_key(batch_id)
+        if split_by is None:
+            df.write.mode("overwrite").parquet(f"{self.path(table)}/batch={key}")
+            return
+        writer = df.withColumn("batch", F.lit(key)).write.mode("overwrite")
+        writer.option("partitionOverwriteMode", "dynamic").partitionBy(split_by, "batch").parquet(self.path(table))
+
+    def batch_time(self, batch_id: int) -> datetime:
+        """When the batch was first tried."""
+        path = f"{self.path('batch_times')}/batch={self.batch_key(batch_id)}"
+        if not _folders(self.spark, f"{path}/_SUCCESS"):
+            self.spark.range(1).select(F.current_timestamp().alias("at")).write.mode("overwrite").parquet(path)
+        return self.spark.read.schema("at timestamp").parquet(path).first()["at"]
+
+    def _dated(self, table: str, schema: T.StructType, split_by: str, since=None, batch: str | None = None) -> DataFrame:
+        """A table by date and batch; `since` (a date column) and `batch` restrict what is listed."""
+        full = T.StructType([*schema.fields, T.StructField(split_by, T.DateType()), _BATCH])
+        root = self.path(table)
+        paths = _folders(self.spark, f"{root}/{split_by}=*" + (f"/batch={batch}" if batch else ""))
+        if since is not None:
+            first = self.spark.range(1).select(since.cast("string")).first()[0]
+            paths = [p for p in paths if p.rsplit("=", 1)[1] >= first]
+        if not paths:
+            return self.spark.createDataFrame([], full)
+        return self.spark.read.option("basePath", root).schema(full).parquet(*paths)
 
     # Reads
 
     def logs(self, window: str | None = None, as_of=None) -> DataFrame:
         """The raw log; a window on arrival also prunes the ingest-date folders."""
-        table = _stored(
-            self.spark, self.path("inference_logs"), INFERENCE_LOG_SCHEMA, "ingest_date"
-        )
         if window is None:
-            return table
+            return self._dated("inference_logs", INFERENCE_LOG_SCHEMA, "ingest_date")
         start = window_start(window, as_of)
+        table = self._dated("inference_logs", INFERENCE_LOG_SCHEMA, "ingest_date", F.to_date(start))
         return table.where(
             (F.col("ingest_date") >= F.to_date(start)) & (F.col("created_at") > start)
         )
 
     def rollup(self, window: str | None = None, as_of=None) -> DataFrame:
         """The hourly rollup, batches added up; a window prunes the hour-date folders."""
-        table = _stored(
-            self.spark, self.path("aggregated_metrics"), ROLLUP_SCHEMA, "bucket_date"
-        )
-        if window is not None:
-            start = window_start(window, as_of)
-            table = table.where(
-                (F.col("bucket_date") >= F.to_date(start)) & (F.col("hour_bucket") > start)
-            )
-        return merge_rollups(table.select(*ROLLUP_SCHEMA.names))
+        return merge_rollups(self._hours("aggregated_metrics", ROLLUP_SCHEMA, window, as_of).select(*ROLLUP_SCHEMA.names))
+
+    def _hours(self, table: str, schema: T.StructType, window: str | None, as_of) -> DataFrame:
+        if window is None:
+            return self._dated(table, schema, "bucket_date")
+        start = window_start(window, as_of)
+        rows = self._dated(table, schema, "bucket_date", F.to_date(start))
+        return rows.where((F.col("bucket_date") >= F.to_date(start)) & (F.col("hour_bucket") > start))
 
     def sketches(self, window: str | None = None, as_of=None) -> DataFrame:
         """Latency sketches per hour, provider and model, batches merged; windowed like the
@@ -102,13 +129,7 @@ class Warehouse:
         schema = struct_of("hour_bucket timestamp, provider string, model string, n long").add(
             "sketch", T.BinaryType()
         )
-        table = _stored(self.spark, self.path("latency_sketches"), schema, "bucket_date")
-        if window is not None:
-            start = window_start(window, as_of)
-            table = table.where(
-                (F.col("bucket_date") >= F.to_date(start)) & (F.col("hour_bucket") > start)
-            )
-        return merge_sketches(table, ROLLUP_KEYS)
+        return merge_sketches(self._hours("latency_sketches", schema, window, as_of), ROLLUP_KEYS)
 
     def dead_letters(self) -> DataFrame:
         schema = struct_of("payload string, reject_reason string")
@@ -125,8 +146,9 @@ class Warehouse:
     def append_logs(self, rows: DataFrame, batch_id: int) -> DataFrame:
         """Store a batch's log rows and return them as stored."""
         dated = rows.withColumn("ingest_date", F.to_date("created_at"))
-        target = self.write("inference_logs", dated, batch_id, "ingest_date")
-        return self.spark.read.schema(INFERENCE_LOG_SCHEMA).parquet(target)
+        self.write("inference_logs", dated, batch_id, "ingest_date")
+        stored = self._dated("inference_logs", INFERENCE_LOG_SCHEMA, "ingest_date", batch=self.batch_key(batch_id))
+        return stored.select(*INFERENCE_LOG_SCHEMA.names)
 
     def add_to_rollup(self, stored_rows: DataFrame, batch_id: int) -> None:
         """Store the batch's share of the rollup, computed from its stored rows."""
@@ -151,13 +173,15 @@ class Warehouse:
         """
         target = Warehouse(self.spark, root, run=f"{self.run}-compacted")
         logs = self.logs().select(*INFERENCE_LOG_SCHEMA.names, "ingest_date")
-        target.write("inference_logs", logs, batch_id, "ingest_date")
+        target.write("inference_logs", logs.hint("rebalance", "ingest_date"), batch_id, "ingest_date")
         rollup = self.rollup().withColumn("bucket_date", F.to_date("hour_bucket"))
         target.write("aggregated_metrics", rollup, batch_id, "bucket_date")
         sketches = self.sketches().withColumn("bucket_date", F.to_date("hour_bucket"))
         target.write("latency_sketches", sketches, batch_id, "bucket_date")
         letters = self.dead_letters().select("payload", "reject_reason")
         target.write("dead_letters", letters, batch_id)
+        # Counts stay per batch: one row for each, under its own name.
+        self.batches().write.mode("overwrite").partitionBy("batch").parquet(target.path("ingest_batches"))
         return target
 
 

@@ -69,6 +69,8 @@ def ingest_batch(
     every table's batch folder is replaced whole, a repeated batch changes nothing.
     """
     spark = raw.sparkSession
+    if created_at is None:
+        created_at = F.lit(warehouse.batch_time(batch_id))
     # The payload's hash settles ties, so a repeated batch keeps the same copies.
     order = [F.col("arrival")] if "arrival" in raw.columns else []
     raw = raw.withColumn("arrival", F.struct(*order, F.xxhash64("payload").alias("tie")))
