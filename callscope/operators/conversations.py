@@ -64,7 +64,8 @@ def number_messages(messages: DataFrame, slot: str = "HOUR") -> DataFrame:
     return position_in_key(
         messages,
         "conversation_id",
-        F.date_trunc(slot, F.col("created_at")),
+        # Rows without a time come first, as in the order itself.
+        F.coalesce(F.date_trunc(slot, F.col("created_at")), F.lit("0001-01-01").cast("timestamp")),
         list(READ_ORDER),
     )
 

@@ -53,14 +53,14 @@ def flag_over_budget(
 ) -> DataFrame:
     """User turns with `context_chars`, `context_tokens` and `over_budget`.
 
-    The context is up to `history` earlier messages plus the turn itself.  Only lengths are
-    moved, not the texts.  `estimate` turns a character total into tokens.
+    The context is up to `history` earlier messages, by creation time where it is known, plus the
+    turn itself.  Only lengths are moved, not the texts.  `estimate` turns a character total into tokens.
     """
     thin = messages.select(
         "conversation_id",
         "seq",
         "role",
-        "created_at",
+        F.col("created_at") if "created_at" in messages.columns else F.lit(None).cast("timestamp").alias("created_at"),
         F.length(F.coalesce("content", F.lit(""))).alias("_chars"),
     )
     frame = lookback_window("conversation_id", "position", history)
