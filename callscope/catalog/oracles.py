@@ -86,6 +86,11 @@ messages AS (
 told AS (
   SELECT * REPLACE (created_at - CASE WHEN role = 'assistant' THEN INTERVAL 40 SECOND
     ELSE INTERVAL 0 SECOND END AS created_at) FROM messages),
+prompts AS (
+  SELECT conversation_id, seq, prompt FROM (
+    SELECT conversation_id, seq, role, last_value(CASE WHEN role = 'user' THEN content END IGNORE NULLS) OVER (
+      PARTITION BY conversation_id ORDER BY seq ROWS BETWEEN 20 PRECEDING AND CURRENT ROW) AS prompt
+    FROM messages) WHERE role = 'assistant'),
 opening AS (
   SELECT conversation_id, role, content FROM messages
   QUALIFY row_number() OVER (PARTITION BY conversation_id ORDER BY created_at, seq) = 1),
@@ -344,6 +349,21 @@ FROM chunks JOIN turns USING (request_id) GROUP BY ALL""",
     AS output_tokens,
   CASE WHEN conversation_id % 9 = 4 THEN 'upstream failed' END AS error_message
 FROM turns""",
+    "response_events": """SELECT 'e-' || request_id AS event_id, t.provider,
+  CASE WHEN conversation_id % 9 <> 4 AND conversation_id % 13 <> 5 AND t.provider = 'anthropic'
+    THEN 'served' ELSE 'asked' END AS model,
+  CASE WHEN conversation_id % 9 = 4 THEN 'error' ELSE 'success' END AS status, false AS streamed,
+  CAST(length(content) // 10 * 1000 AS INTEGER) AS duration_ms,
+  CASE WHEN conversation_id % 9 = 4 THEN NULL
+    WHEN conversation_id % 13 = 5 OR t.provider = 'llama' THEN 0 ELSE 50 + seq END AS tokens_in,
+  CASE WHEN conversation_id % 9 = 4 THEN NULL
+    WHEN conversation_id % 13 = 5 OR t.provider = 'llama' THEN 0 ELSE length(content) END AS tokens_out,
+  CASE WHEN conversation_id % 9 = 4 THEN 'upstream failed' END AS error_message,
+  left(coalesce(prompt, ''), 200) AS prompt_preview,
+  CASE WHEN conversation_id % 9 = 4 THEN '' WHEN conversation_id % 13 = 5 THEN 'No content returned'
+    ELSE left(content, 200) END AS response_preview
+FROM turns t JOIN prompts USING (conversation_id, seq)""",
+    "call_prompts": "SELECT * FROM prompts",
     "gemini_requests": """SELECT conversation_id, seq,
   CASE role WHEN 'assistant' THEN 'model' ELSE 'user' END AS role, content
 FROM messages WHERE role IN ('user', 'assistant')""",
@@ -474,6 +494,7 @@ FROM odd WHERE reject_reason IS NOT NULL OR (conversation_id IS NOT NULL
 FROM decisions WHERE block_reason IS NOT NULL""",
     "merged_event_stream": """SELECT streamed, status, blocked, count(*) AS n FROM (
   SELECT true AS streamed, coalesce(control, 'success') AS status, false AS blocked FROM turns
+  UNION ALL SELECT false, CASE WHEN conversation_id % 9 = 4 THEN 'error' ELSE 'success' END, false FROM turns
   UNION ALL SELECT false, 'error', true FROM decisions WHERE block_reason IS NOT NULL)
 GROUP BY ALL""",
     "message_history": """SELECT conversation_id, seq, role, content, status FROM told

@@ -310,6 +310,39 @@ def classified_responses(spark, sf):
     return ch.classify_responses(v.responses(spark, sf))
 
 
+def _response_requests(spark, sf):
+    """The calls behind the whole responses; each took a second per ten characters of reply."""
+    prompts = conv.call_prompts(v.messages(spark, sf))
+    turns = v.assistant_turns(spark, sf).join(prompts, ["conversation_id", "seq"])
+    began = timing.timestamp_to_epoch(F.col("created_at"))
+    return turns.select(
+        F.concat(F.lit("e-"), "request_id").alias("event_id"),
+        "request_id",
+        F.col("conversation_id").cast("string").alias("conversation_id"),
+        "provider",
+        F.lit("asked").alias("model"),
+        began.alias("started_at"),
+        (began + F.floor(F.length("content") / 10)).alias("completed_at"),
+        text.preview(F.coalesce("prompt", F.lit(""))).alias("prompt_preview"),
+    )
+
+
+@query
+def response_events(spark, sf):
+    """Events of calls that were answered in one piece."""
+    events = ch.response_events(_response_requests(spark, sf), v.responses(spark, sf))
+    return events.select(
+        "event_id", "provider", "model", "status", "streamed", "duration_ms", "tokens_in", "tokens_out",
+        "error_message", "prompt_preview", "response_preview",
+    )
+
+
+@query
+def call_prompts(spark, sf):
+    """What the prompt preview of every call is cut from."""
+    return conv.call_prompts(v.messages(spark, sf))
+
+
 @query
 def gemini_requests(spark, sf):
     """Conversations in Gemini's request vocabulary."""
@@ -647,8 +680,9 @@ def merged_event_stream(spark, sf):
     )
     calls = ch.assemble_events(turns, _stream_chunks(spark, sf))
     blocked = governance.blocked_events(_governed(spark, sf), limit=1, max_tokens=200)
+    whole = ch.response_events(_response_requests(spark, sf), v.responses(spark, sf))
     return (
-        governance.merge_event_streams(calls, blocked)
+        governance.merge_event_streams(calls, blocked, whole)
         .groupBy("streamed", "status", "blocked")
         .agg(F.count(F.lit(1)).alias("n"))
     )

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from callscope.functions.text import preview
 from callscope.operators.enrich import derive_timings
 from callscope.operators.keyed import SALTS
-from callscope.schemas import CHUNK_TYPES, PREVIEW_CHARS
+from callscope.schemas import CHUNK_TYPES, LOG_EVENT_SCHEMA, PREVIEW_CHARS
 
 _PREFIX = "data: "
 _CHUNK = "struct<type:string,content:string,input_tokens:int,output_tokens:int>"
@@ -317,6 +317,42 @@ def assemble_events(requests: DataFrame, chunks: DataFrame) -> DataFrame:
     return derive_timings(events)
 
 
+def response_events(requests: DataFrame, responses: DataFrame) -> DataFrame:
+    """One call event per request that was answered in one piece.
+
+    `requests` is as for `assemble_events`, with completed_at (epoch seconds) too; `responses`
+    is as for `classify_responses`, one row per request.
+    """
+    results = classify_responses(responses).select(
+        "request_id",
+        F.col("model").alias("_served"),
+        F.col("action_status").alias("_outcome"),
+        F.col("content").alias("_content"),
+        F.col("input_tokens").alias("tokens_in"),
+        F.col("output_tokens").alias("tokens_out"),
+        "error_message",
+    )
+    good = F.col("_outcome") == "SUCCESS"
+    given = {
+        "model": F.coalesce("_served", "model"),
+        "streamed": F.lit(False),
+        "stream_chunks": F.lit(0),
+        "status": F.when(good, F.lit("success")).otherwise(F.lit("error")),
+        "response_preview": F.coalesce(F.when(good, preview(F.col("_content"))), F.lit("")),
+        "blocked": F.lit(False),
+        "metadata": F.lit("{}"),
+    }
+    joined = requests.join(results, "request_id")
+    kept = {name: F.col(name) for name in joined.columns}
+    events = joined.select(
+        *[
+            given.get(f.name, kept.get(f.name, F.lit(None))).cast(f.dataType).alias(f.name)
+            for f in LOG_EVENT_SCHEMA.fields
+        ]
+    )
+    return derive_timings(events)
+
+
 def assistant_messages(chunks: DataFrame, segment: int = 4096) -> DataFrame:
     """The stored reply of every request: its tokens joined in order.
 

@@ -55,6 +55,23 @@ def prompt_sources(messages: DataFrame) -> DataFrame:
     )
 
 
+def call_prompts(messages: DataFrame, history_size: int = HISTORY_WINDOW) -> DataFrame:
+    """For every reply, the user message that its call ended with: what the preview is cut from.
+
+    A call sees up to `history_size` messages before its reply, in append order.
+    """
+    cut = with_lookback(
+        messages.select("conversation_id", "seq", "role", "content"), "conversation_id", "seq", history_size
+    )
+    said = F.last(F.when(F.col("role") == "user", F.col("content")), ignorenulls=True)
+    before = said.over(lookback_window("conversation_id", "seq", history_size))
+    return (
+        cut.withColumn("prompt", before)
+        .where(~F.col("_carried") & (F.col("role") == "assistant"))
+        .select("conversation_id", "seq", "prompt")
+    )
+
+
 def number_messages(messages: DataFrame, slot: str = "HOUR") -> DataFrame:
     """Message order: by creation time, then by append order (`seq`), numbered from 0.
 

@@ -150,6 +150,9 @@ def blocked_events(
     return derive_timings(blocked)
 
 
-def merge_event_streams(provider_events: DataFrame, blocked: DataFrame) -> DataFrame:
-    """Provider calls and blocked calls as one event stream."""
-    return provider_events.unionByName(blocked, allowMissingColumns=True)
+def merge_event_streams(provider_events: DataFrame, *others: DataFrame) -> DataFrame:
+    """Streamed calls, blocked calls and calls answered whole as one event stream."""
+    merged = provider_events
+    for other in others:
+        merged = merged.unionByName(other, allowMissingColumns=True)
+    return merged
