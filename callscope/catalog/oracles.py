@@ -326,11 +326,16 @@ FROM (SELECT *, epoch_us(started_at) / 1e6 AS s, epoch_us(completed_at) / 1e6 AS
 FROM logs""",
     "redacted_documents": f"""SELECT doc_id, redacted, redacted <> text AS pii_found
 FROM (SELECT doc_id, text, {redaction('text')} AS redacted FROM documents)""",
-    "enriched_calls": f"""SELECT event_id, redacted AS prompt_preview,
-  redacted <> prompt_preview AS pii_detected,
-  CASE WHEN redacted <> prompt_preview THEN '{{"pii_detected":true}}' ELSE '{{}}' END AS metadata,
+    "enriched_calls": f"""SELECT event_id, redacted AS prompt_preview, reply AS response_preview,
+  redacted <> prompt_preview OR reply <> response OR event_id % 17 = 0 AS pii_detected,
+  CASE WHEN redacted <> prompt_preview OR reply <> response
+    THEN CASE event_id % 17 WHEN 2 THEN '{{"k":1,"pii_detected":true}}' ELSE '{{"pii_detected":true}}' END
+    ELSE CASE event_id % 17 WHEN 0 THEN '{{"pii_detected":true}}' WHEN 1 THEN '{{"pii_detected":false}}'
+      WHEN 2 THEN '{{"k":1}}' ELSE '{{}}' END END AS metadata,
   CAST(estimated_cost_usd AS DOUBLE) AS cost_usd
-FROM (SELECT event_id, prompt_preview, {redaction('prompt_preview')} AS redacted FROM previews)
+FROM (SELECT *, {redaction('prompt_preview')} AS redacted, {redaction('response')} AS reply FROM (
+  SELECT event_id, coalesce(prompt_preview, '') AS prompt_preview, CASE WHEN event_id % 2 = 0 THEN 're: ' || coalesce(prompt_preview, '')
+    WHEN event_id % 7 = 0 THEN 'mail x.y@example.org' ELSE '' END AS response FROM previews))
 JOIN (SELECT event_id, estimated_cost_usd FROM logs) USING (event_id)""",
     "chunk_types": """SELECT provider, type, count(*) AS n
 FROM chunks JOIN turns USING (request_id) GROUP BY ALL""",
@@ -568,6 +573,12 @@ GROUP BY ALL""",
 FROM logs, (VALUES ('stored'), ('compacted')) c("copy")
 WHERE event_id IN (SELECT event_id FROM odd WHERE reject_reason IS NULL)
   AND started_at > TIMESTAMP '{AS_OF}' - INTERVAL 1 DAY GROUP BY ALL""",
+    "fanned_out": """SELECT sink, n FROM (
+  SELECT 'files' AS sink, count(*) AS n FROM calls UNION ALL SELECT 'json', count(*) FROM calls
+  UNION ALL SELECT 'recent', least(count(*), 200) FROM calls
+  UNION ALL SELECT 'failures', 2) ORDER BY 1""",
+    "served_tables": """SELECT provider, model, count(*) AS requests FROM logs
+WHERE event_id IN (SELECT event_id FROM odd WHERE reject_reason IS NULL) GROUP BY ALL""",
     "streamed_dedup": "SELECT event_id, status FROM calls",
     "tracked_streams": """SELECT CAST(request_id AS VARCHAR) AS request_id, 'registered' AS change
 FROM spans UNION ALL SELECT CAST(request_id AS VARCHAR),

@@ -257,8 +257,15 @@ def enriched_calls(spark, sf):
         "tokens_in",
         "tokens_out",
         F.coalesce("prompt_preview", F.lit("")).alias("prompt_preview"),
-        F.lit("").alias("response_preview"),
-        F.lit("{}").alias("metadata"),
+        F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("re: "), F.coalesce("prompt_preview", F.lit(""))))
+        .when(F.col("event_id") % 7 == 0, F.lit("mail x.y@example.org"))
+        .otherwise(F.lit(""))
+        .alias("response_preview"),
+        F.when(F.col("event_id") % 17 == 0, F.lit('{"pii_detected":true}'))
+        .when(F.col("event_id") % 17 == 1, F.lit('{"pii_detected":false}'))
+        .when(F.col("event_id") % 17 == 2, F.lit('{"k":1}'))
+        .otherwise(F.lit("{}"))
+        .alias("metadata"),
     )
     chain = [
         enrich.business_rules,
@@ -269,6 +276,7 @@ def enriched_calls(spark, sf):
     return done.select(
         "event_id",
         "prompt_preview",
+        "response_preview",
         "pii_detected",
         "metadata",
         F.col("estimated_cost_usd").cast("double").alias("cost_usd"),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +16,8 @@ from callscope.sources.streams import read_json_files
 from callscope.sources.tables import Warehouse
 from callscope.streaming.cancel import match_cancels_live
 from callscope.streaming.ingest import ingest_batch, run_ingest, within_horizon
+from callscope.streaming import serving
+from callscope.streaming.sinks import fan_out, json_sink, parquet_sink, recent_sink
 from callscope.streaming.state import limit_rate, token_bucket, track_streams
 
 # Arrival times of the triggers; the last one is past every timer.
@@ -90,6 +93,39 @@ def stored_window(spark, sf):
     return read(warehouse, "stored").unionByName(read(small, "compacted"))
 
 
+@query
+def served_tables(spark, sf):
+    """The dashboard's table by provider, as a refresh after an ingest batch leaves it."""
+    folder = scratch_dir(spark, "served")
+    warehouse = Warehouse(spark, f"{folder}/tables")
+    came = timing.epoch_to_timestamp(F.col("started_at"))
+    ingest_batch(v.payloads(spark, sf).select("payload"), 0, warehouse, created_at=came)
+    serving.refresh(f"{folder}/serve", ["24h", "30d"], v.AS_OF)(warehouse, 0)
+    complete = spark.read.parquet(f"{folder}/serve/_complete").select("refresh")
+    table = spark.read.parquet(f"{folder}/serve/by_provider/window=30d")
+    return table.join(complete, "refresh", "left_semi").select("provider", "model", "requests")
+
+
+@query
+def fanned_out(spark, sf):
+    """Rows that each sink holds after two batches, one sink failing in both."""
+    folder = scratch_dir(spark, "fan-out")
+
+    def broken(batch: DataFrame, batch_id: int) -> None:
+        raise RuntimeError("down")
+
+    sinks = {"broken": broken, "files": parquet_sink(f"{folder}/files"), "json": json_sink(f"{folder}/json"), "recent": recent_sink(f"{folder}/recent")}
+    write = fan_out(sinks, f"{folder}/report")
+    calls = v.inference_events(spark, sf).select("event_id", "status")
+    for n in range(2):
+        for _ in range(n + 1):  # a repeated batch changes nothing
+            write(calls.where(F.col("event_id") % 2 == n), n)
+    held = [spark.read.parquet(f"{folder}/files"), spark.read.json(f"{folder}/json"), spark.read.parquet(f"{folder}/recent/side=1")]
+    failures = spark.read.parquet(f"{folder}/report").where("not ok and sink = 'broken'")
+    out = [df.agg(F.lit(name).alias("sink"), F.count(F.lit(1)).alias("n")) for name, df in zip(("files", "json", "recent", "failures"), [*held, failures], strict=True)]
+    return reduce(DataFrame.union, out)
+
+
 @query
 def streamed_dedup(spark, sf):
     """A replayed stream with repeats dropped in state, in two triggers."""
