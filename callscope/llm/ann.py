@@ -201,7 +201,8 @@ def nearest(vectors: DataFrame, is_query, k: int = NEIGHBOURS, vec_id: str = "ve
     visits = vectors_of.join(asked.select("id").distinct(), "id", "left_semi").mapInArrow(_hash(math.sqrt(radius), probes), _ROWS)
     visits = _store(visits.join(data.select("cell").distinct(), "cell", "left_semi"), "visits")
     parts = lambda frame, name: frame.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias(name))
-    counts = parts(data, "blocks").join(parts(visits, "query_blocks"), "cell")
+    # Stored before the joins, so that a cell with very many rows is split there.
+    counts = _store(parts(data, "blocks").join(parts(visits, "query_blocks"), "cell"), "counts")
     spread = lambda frame, own, other, side: (
         frame.join(counts, "cell")
         .withColumn("own", F.pmod(F.xxhash64("id"), F.col(own)).cast("int"))
