@@ -53,8 +53,9 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts, declared = as_bytes(batch.column(0)), batch.column(1).to_pylist()
         for low, high in sized(texts):
+            some = list(zip(texts[low:high], declared[low:high], strict=True))
             for n, language in enumerate(LANGUAGES):
-                own = [t for t, d in zip(texts[low:high], declared[low:high], strict=True) if d == language]
+                own = [t for t, d in some if d == language]
                 if own:
                     counts[n] += np.bincount(trigrams(Words(own, lower=True)), minlength=counts.shape[1])
     yield in_parts(counts)

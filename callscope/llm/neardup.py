@@ -35,7 +35,7 @@ BANDS = 48
 BINS = ROWS * BANDS
 MIN_PERCENT = 85
 BLOCK = 512
-LANE_ROWS = 4000
+LANE_ROWS = 1500
 _LEAST = MIN_PERCENT // (100 - MIN_PERCENT) + 1  # smaller sets have no near neighbour but their equals
 
 

@@ -16,6 +16,7 @@ words are looked up in tables of about `CACHED_WORDS` and `CACHED_PARTS` entries
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -31,8 +32,8 @@ from callscope.llm.words import as_bytes, sized
 CAPACITY = 2048
 OPEN_SEQUENCES = 512
 VOCABULARY = "word_bpe_49k.json"
-CACHED_WORDS = 800_000
-CACHED_PARTS = 400_000
+CACHED_WORDS = 400_000
+CACHED_PARTS = 200_000
 # Fixed rules of the vocabulary file.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
@@ -45,7 +46,7 @@ PRE_TOKENIZER = {
 }
 _PARTS = regex.compile(PATTERN + r"|\n")
 #: Characters that composing leaves alone and that lower-case alike everywhere.
-_PLAIN = regex.compile(r"[!-~\u00a1-\u012f\u0131-\u024f]*\Z")
+_PLAIN = re.compile(r"[!-~\u00a1-\u012f\u0131-\u024f]*\Z")
 _END = b"\0\0\0\0"
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
@@ -102,13 +103,13 @@ class WordTokens:
         if len(self.parts) > CACHED_PARTS:
             self.parts.clear()
         known = self.known
-        new = {w for words in split for w in words if w not in known}
+        new = set().union(*split).difference(known)
         plain = [w for w in new if _PLAIN.match(w.decode()) and b"<|" not in w] if self.by_parts else []
         self._add_plain(plain)
         rest = [w for w in new if w not in known]
         got = self.library.encode_batch_fast([w.decode() for w in rest], add_special_tokens=False)
         known.update(zip(rest, (np.array(x.ids, "<u4").tobytes() for x in got), strict=True))
-        return [b"".join([known[w] for w in words]) for words in split]
+        return [b"".join(map(known.__getitem__, words)) for words in split]
 
 
 _loaded: dict[str, WordTokens] = {}

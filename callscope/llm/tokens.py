@@ -140,10 +140,11 @@ def token_counts(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", vo
         for batch in batches:
             texts = as_bytes(batch.column(1))
             for low, high in sized(texts):
-                part = [t.decode() for t in texts[low:high]]
+                some = texts[low:high]
+                part = [t.decode() for t in some]
                 ids = processor(vocabulary)[0].encode(part, num_threads=1)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(low, high - low), pa.array([len(t) for t in texts[low:high]], pa.int64()), pa.array([len(i) for i in ids], pa.int64())],
+                    [batch.column(0).slice(low, high - low), pa.array([len(t) for t in some], pa.int64()), pa.array([len(i) for i in ids], pa.int64())],
                     ["doc_id", "n_bytes", "n_tokens"],
                 )
 

@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 U64 = np.uint64
 _SPACE = np.zeros(256, bool)
@@ -93,18 +94,37 @@ def grams(hashes: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np.n
     return at, mix(total[at])
 
 
-def as_bytes(column: pa.Array) -> list[bytes]:
+class Column:
+    """A text column whose UTF-8 bytes are taken out slice by slice; null is empty."""
+
+    def __init__(self, column: pa.Array):
+        self.column = column.cast(pa.large_binary())
+
+    def __len__(self) -> int:
+        return len(self.column)
+
+    def __getitem__(self, rows: slice) -> list[bytes]:
+        return [x or b"" for x in self.column[rows].to_pylist()]
+
+    def __iter__(self) -> Iterator[bytes]:
+        return (x.as_py() or b"" for x in self.column)
+
+    def lengths(self) -> list[int]:
+        return pc.fill_null(pc.binary_length(self.column), 0).to_pylist()
+
+
+def as_bytes(column: pa.Array) -> Column:
     """UTF-8 bytes of each text, none for null."""
-    return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]
+    return Column(column)
 
 
-def sized(texts: list[bytes], limit: int = 2 << 20) -> Iterator[tuple[int, int]]:
+def sized(texts: Column, limit: int = 512 << 10) -> Iterator[tuple[int, int]]:
     """Ranges of at most `limit` bytes, or of one longer text."""
     low = total = 0
-    for i, text in enumerate(texts):
-        if i > low and total + len(text) > limit:
+    for i, length in enumerate(texts.lengths()):
+        if i > low and total + length > limit:
             yield low, i
             low, total = i, 0
-        total += len(text)
-    if texts:
+        total += length
+    if len(texts):
         yield low, len(texts)
