@@ -1,9 +1,10 @@
 """Nearest neighbours by inner product: multiprobe hashing with p-stable projections.
 
-Vectors are lifted by one component so that the largest inner product is the smallest Euclidean
-distance.  Each table hashes a vector to a cell of `WIDTH`-wide slots along `PROJECTIONS` random normal directions.
-A query visits its own cell and the cells next to it in the order of their estimated success, that is by the
-squared distance to the slots' edges.  Members of visited cells are ranked by their exact product, and the
+Vectors are dealt to bands of like norm, from the longest one down, and lifted by one component to their band's
+largest norm, so that within a band the largest inner product is the smallest Euclidean distance.  Without bands one
+long vector would press all others to a single pole, away from every query.  Each table hashes a vector to a cell of `WIDTH`-wide slots along `PROJECTIONS` random normal directions.
+In every band a query visits its own cell and the cells next to it in the order of their estimated success, that is by
+the squared distance to the slots' edges.  Members of visited cells are ranked by their exact product, and the
 tables' lists are merged.
 
 Equal vectors form a class: it is hashed once and keeps its `k + 1` smallest ids, which are all of its members
@@ -12,7 +13,8 @@ that can be among a query's first k.  Large cells are cut into blocks on both si
 Vectors that are null, zero, or hold a null or a non-finite component take no part, neither do rows without an id.
 Vectors of different lengths are never compared.  Repeated rows count once.
 
-`PROBES` of the cells near a query are visited per table.  The given vectors spread evenly over the
+`PROBES` of the cells near a query are visited per table and band.  A query that finds fewer than `k + 1` classes there
+goes through all the others in a further round of the same block joins, so it gets all that its table has.  The given vectors spread evenly over the
 sphere: a twentieth neighbour is at nine tenths of the distance of a random pair, so a recall of 0.9 takes
 coarse cells and most of those around a query; data with closer neighbours do with more projections.
 """
@@ -34,7 +36,9 @@ from callscope.session import scratch_dir
 TABLES = 4
 PROJECTIONS = 4
 WIDTH = 1.6
-PROBES = 20
+PROBES = 40
+#: Largest norm of a band over its smallest; single precision has fewer than 700 such bands.
+BAND = 1.5
 NEIGHBOURS = 20
 BLOCK = 2048
 SEED = 11
@@ -53,10 +57,10 @@ def places(vectors: np.ndarray, table: int) -> np.ndarray:
     return (vectors @ along + offset) / WIDTH
 
 
-def cell_keys(cells: np.ndarray, table: int, dim: int) -> np.ndarray:
-    """One key for each row of slot numbers."""
+def cell_keys(cells: np.ndarray, table: int, dim: int, bands: np.ndarray) -> np.ndarray:
+    """One key for each row of slot numbers and its band."""
     keys = (cells.astype(np.int64).view(U64) * FACTORS[: cells.shape[1]]).sum(axis=1, dtype=U64)
-    return mix(keys + mix(np.array([table * 1_000_003 + dim + 1], U64))).view(np.int64)
+    return mix(keys + mix(mix(np.array([table * 1_000_003 + dim + 1], U64)) + bands.astype(U64))).view(np.int64)
 
 
 def probe_order(inside: np.ndarray, probes: int) -> list[list[tuple[int, int]]]:
@@ -92,39 +96,47 @@ def _by_length(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
 
 
 _ROWS = "cell long, id long, vector array<float>"
-
-
-def _hash(radius: float, probes: int):
-    """Rows (cell, id, vector) of each vector: its own cells, or those that a query visits."""
+_SLICE = 256
+
+
+def _hash(radii: dict[int, float], probes: int):
+    """Rows (cell, id, vector) of each vector (id, vector, band): its own cells, or those that a query visits."""
+
+    def own(vectors: np.ndarray, bands: np.ndarray, table: int) -> np.ndarray:
+        share = (vectors / np.array([radii[b] for b in bands.tolist()])[:, None]).reshape(vectors.shape)
+        lifted = np.column_stack([share, np.sqrt(np.maximum(0.0, 1 - (share**2).sum(axis=1)))])
+        return cell_keys(np.floor(places(lifted, table)), table, vectors.shape[1], bands)
+
+    def near(vectors: np.ndarray, table: int) -> tuple[np.ndarray, np.ndarray]:
+        at = places(np.column_stack([vectors / np.sqrt((vectors**2).sum(axis=1))[:, None], np.zeros(len(vectors))]), table)
+        cells = np.floor(at)
+        visited, rows = [], []
+        for i, (cell, inside) in enumerate(zip(cells, at - cells, strict=True)):
+            order = probe_order(inside, probes)
+            around = np.repeat(cell[None, :], len(order), axis=0)
+            for n, steps in enumerate(order):
+                for direction, step in steps:
+                    around[n, direction] += step
+            visited.append(around)
+            rows.append(np.full(len(order), i))
+        return np.concatenate(visited), np.concatenate(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in _by_length(whole):
-                vectors = _matrix(batch.column(1))
-                norms = (vectors**2).sum(axis=1)
-                if probes:
-                    lifted = np.column_stack([vectors / np.sqrt(norms)[:, None], np.zeros(len(vectors))])
-                else:
-                    lifted = np.column_stack([vectors / radius, np.sqrt(np.maximum(0.0, 1 - norms / radius**2))])
-                keys, rows = [], []
-                for table in range(TABLES):
-                    at = places(lifted, table)
-                    cells = np.floor(at)
-                    if not probes:
-                        keys.append(cell_keys(cells, table, vectors.shape[1]))
-                        rows.append(np.arange(len(vectors)))
-                        continue
-                    for i, (cell, inside) in enumerate(zip(cells, at - cells, strict=True)):
-                        visited = np.repeat(cell[None, :], probes, axis=0)
-                        order = probe_order(inside, probes)
-                        for n, steps in enumerate(order):
-                            for direction, step in steps:
-                                visited[n, direction] += step
-                        keys.append(cell_keys(visited[: len(order)], table, vectors.shape[1]))
-                        rows.append(np.full(len(order), i))
-                if rows:
-                    take = pa.array(np.concatenate(rows))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), batch.column(0).take(take), batch.column(1).take(take)], ["cell", "id", "vector"])
+            for alike in _by_length(whole):
+                for batch in (alike.slice(start, _SLICE) for start in range(0, len(alike), _SLICE)):
+                    vectors = _matrix(batch.column(1))
+                    for table in range(TABLES):
+                        if not probes:
+                            keys = own(vectors, batch.column(2).to_numpy(), table)
+                            yield pa.RecordBatch.from_arrays([pa.array(keys), batch.column(0), batch.column(1)], ["cell", "id", "vector"])
+                            continue
+                        visited, rows = near(vectors, table)
+                        take = pa.array(rows)
+                        ids, arrays = batch.column(0).take(take), batch.column(1).take(take)
+                        for band in radii:
+                            keys = cell_keys(visited, table, vectors.shape[1], np.full(len(visited), band))
+                            yield pa.RecordBatch.from_arrays([pa.array(keys), ids, arrays], ["cell", "id", "vector"])
 
     return run
 
@@ -179,6 +191,28 @@ def _store(frame: DataFrame, name: str) -> DataFrame:
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
+_LISTS = "id long, near array<long>, scores array<double>"
+
+
+def _blockwise(data: DataFrame, visits: DataFrame, n: int, name: str) -> DataFrame:
+    """id, near, scores: a query's n best members of each block of the cells (cell, id, vector) that it visits."""
+    parts = lambda frame, name: frame.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias(name))
+    # Stored before the joins, so that a cell with very many rows is split there.
+    counts = _store(parts(data, "blocks").join(parts(visits, "query_blocks"), "cell"), name)
+    spread = lambda frame, own, other, side: (
+        frame.join(counts, "cell")
+        .withColumn("own", F.pmod(F.xxhash64("id"), F.col(own)).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
+        .select("cell", F.col("other" if side else "own").alias("block"), F.col("own" if side else "other").alias("query_block"), F.lit(side).alias("query"), "id", "vector")
+    )
+    return (
+        spread(data, "blocks", "query_blocks", False)
+        .union(spread(visits, "query_blocks", "blocks", True))
+        .groupBy("cell", "block", "query_block")
+        .applyInArrow(_rank_block(n), _LISTS)
+    )
+
+
 def nearest(vectors: DataFrame, is_query, k: int = NEIGHBOURS, vec_id: str = "vec_id", vector: str = "embedding", probes: int = PROBES) -> DataFrame:
     """query_id, rank, vec_id, score of the k nearest rows found for every row that `is_query` (a column) names."""
     sound = F.col("vector").isNotNull() & F.col("vec_id").isNotNull() & F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vector", lambda x: x != 0)
@@ -193,29 +227,24 @@ def nearest(vectors: DataFrame, is_query, k: int = NEIGHBOURS, vec_id: str = "ve
         rows.where("query").select("vec_id", "vector").distinct().join(classes.select("vector", "id"), "vector").select(F.col("vec_id").alias("query_id"), "id"), "asked"
     )
     length = F.aggregate("vector", F.lit(0.0), lambda a, x: a + x.cast("double") * x)
-    radius = classes.agg(F.max(length)).first()[0]
-    if radius is None:
+    longest = classes.agg(F.max(length)).first()[0]
+    if longest is None:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    vectors_of = classes.select("id", "vector")
-    data = _store(vectors_of.mapInArrow(_hash(math.sqrt(radius), 0), _ROWS), "cells")
-    visits = vectors_of.join(asked.select("id").distinct(), "id", "left_semi").mapInArrow(_hash(math.sqrt(radius), probes), _ROWS)
+    band = F.floor(F.log(F.lit(longest) / F.col("length")) / (2 * math.log(BAND))).cast("int")
+    banded = _store(classes.select("id", "vector", length.alias("length")).withColumn("band", band), "bands")
+    radii = {r["band"]: math.sqrt(r["longest"]) for r in banded.groupBy("band").agg(F.max("length").alias("longest")).collect()}
+    rows_of = banded.select("id", "vector", "band")
+    data = _store(rows_of.mapInArrow(_hash(radii, 0), _ROWS), "cells")
+    wanted = asked.select("id").distinct()
+    visits = rows_of.join(wanted, "id", "left_semi").mapInArrow(_hash(radii, probes), _ROWS)
     visits = _store(visits.join(data.select("cell").distinct(), "cell", "left_semi"), "visits")
-    parts = lambda frame, name: frame.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias(name))
-    # Stored before the joins, so that a cell with very many rows is split there.
-    counts = _store(parts(data, "blocks").join(parts(visits, "query_blocks"), "cell"), "counts")
-    spread = lambda frame, own, other, side: (
-        frame.join(counts, "cell")
-        .withColumn("own", F.pmod(F.xxhash64("id"), F.col(own)).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
-        .select("cell", F.col("other" if side else "own").alias("block"), F.col("own" if side else "other").alias("query_block"), F.lit(side).alias("query"), "id", "vector")
-    )
-    found = (
-        spread(data, "blocks", "query_blocks", False)
-        .union(spread(visits, "query_blocks", "blocks", True))
-        .groupBy("cell", "block", "query_block")
-        .applyInArrow(_rank_block(k + 1), "id long, near array<long>, scores array<double>")
-    )
-    merged = found.groupBy("id").applyInArrow(_merge(k + 1), "id long, near array<long>, scores array<double>")
+    merge = lambda found: found.groupBy("id").applyInArrow(_merge(k + 1), _LISTS)
+    merged = _store(merge(_blockwise(data, visits, k + 1, "counts")), "merged")
+    short = _store(wanted.join(merged.where(F.size("near") > k), "id", "left_anti"), "short")
+    if not short.isEmpty():
+        every = banded.select(F.size("vector").cast("long").alias("cell"), "id", "vector")
+        more = _blockwise(every, every.join(short, "id", "left_semi"), k + 1, "more-counts")
+        merged = merged.join(short, "id", "left_anti").union(merge(more))
     pairs = merged.select(F.col("id").alias("query_class"), F.explode(F.arrays_zip("near", "scores")).alias("x")).select("query_class", F.col("x.near").alias("id"), F.col("x.scores").alias("score"))
     lists = (
         pairs.join(classes.select("id", "members"), "id")

@@ -187,3 +187,35 @@ def test_probes_come_in_order_of_cost():
     order = ann.probe_order(inside, 27)
     cost = [sum(inside[i] ** 2 if s < 0 else (1 - inside[i]) ** 2 for i, s in steps) for steps in order]
     assert len(order) == len({tuple(sorted(o)) for o in order}) == 27 and np.all(np.diff(cost) >= -1e-12)
+
+
+def found_and_wanted(spark, vectors):
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in vectors.items()], "vec_id long, embedding array<float>")
+    got = {}
+    for r in ann.nearest(frame, frame["vec_id"] % 20 == 0).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    return got, brute_nearest(vectors, [q for q in vectors if q % 20 == 0], 20)
+
+
+def test_neighbours_among_uneven_norms(spark):
+    given = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").collect()
+    even = {r["vec_id"]: np.array(r["embedding"], np.float32) for r in given}
+    rng = np.random.default_rng(3)
+    for vectors in (
+        {i: v * np.float32(10 if i == 7 else 1) for i, v in even.items()},
+        {i: v * np.float32(rng.lognormal(0, 0.5)) for i, v in even.items()},
+        even,
+    ):
+        got, want = found_and_wanted(spark, vectors)
+        assert got.keys() == want.keys() and all(len(got[q]) == 20 for q in want)
+        assert sum(len({i for i, _ in got[q]} & {i for i, _ in want[q]}) for q in want) >= 0.93 * sum(map(len, want.values()))
+
+
+def test_neighbours_of_few_or_far_vectors_are_complete(spark):
+    """What the probes miss is completed: every query has min(20, n - 1) neighbours, and the right ones."""
+    rng = np.random.default_rng(4)
+    vectors = {i: (rng.normal(size=64) * 10.0 ** (i % 13 - 6)).astype(np.float32) for i in range(21)}
+    vectors |= {100 + i: rng.normal(size=5).astype(np.float32) for i in range(4)}
+    got, want = found_and_wanted(spark, vectors)
+    assert [len(got[q]) for q in (0, 20, 100)] == [20, 20, 3]
+    assert {q: [i for i, _ in x] for q, x in got.items()} == {q: [i for i, _ in x] for q, x in want.items()}
