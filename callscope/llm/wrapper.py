@@ -6,7 +6,11 @@
 3. Each page is aligned with its host's pivot by simple tree matching; over all pages of a host with different
    candidate texts, the share of pages whose node says the same as the pivot's is counted.
 4. Nodes that stay constant are template; the varying slots are content, unless they lie in an element that
-   HTML marks as something else than the article (navigation, forms, notices, adverts, comments and so on).
+   HTML marks as something else than the article (navigation, forms and so on).
+5. Class and id names (notices, adverts, comments and so on) decide only for elements that do not hold the article:
+   never around `main` or the page's only article, nor around the largest varying slot or most of the varying text.
+   A name that is a whole class or id stands against size where an article lies outside.
+6. If article elements hold at least half of what is left, only they are content.
 
 Pages with equal candidate texts count once, so copies of one article don't make it template, and a host
 needs `MIN_PAGES` different pages before anything counts as constant.
@@ -55,13 +59,16 @@ CLOSES_P = set(
 ENDED_BY = {"li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
 HOLDS = {"li": {"ul", "ol", "menu"}, "dd": {"dl"}, "dt": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "option": {"select"}}
 #: Words of class and id names.
-OTHER_PARTS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|banners?|promos?|promoted|sponsor(?:s|ed)?|cookies?|consent|gdpr|notices?|alerts?|popup|"
+OTHER_WORDS = (
+    r"(?:ads?|adverts?|advertisement|advertising|banners?|promos?|promoted|sponsor(?:s|ed)?|cookies?|consent|gdpr|notices?|alerts?|popup|"
     r"modal|overlay|menus?|nav|navbar|navigation|breadcrumbs?|sidebar|comments?|commentlist|disqus|repl(?:y|ies)|respond|shar(?:e|ing)|social|"
-    r"related|recommend(?:ed|ations)?|newsletter|subscribe|subscription|signup|login|search|pagination|pager|widgets?)(?:$|[\s_\d-])",
-    re.I,
+    r"related|recommend(?:ed|ations)?|newsletter|subscribe|subscription|signup|login|search|pagination|pager|widgets?)"
 )
-EDGE_PARTS = re.compile(r"(?:^|[\s_-])(?:header|masthead|footer|copyright|legal)(?:$|[\s_\d-])", re.I)
+EDGE_WORDS = r"(?:header|masthead|footer|copyright|legal)"
+OTHER_PARTS, EDGE_PARTS = (re.compile(rf"(?:^|[\s_-]){words}(?:$|[\s_\d-])", re.I) for words in (OTHER_WORDS, EDGE_WORDS))
+OTHER_NAME, EDGE_NAME = (re.compile(rf"(?:^|\s){words}(?:$|\s)", re.I) for words in (OTHER_WORDS, EDGE_WORDS))
+#: Names that say what else a page has.
+STATES = re.compile(r"(?:^|(?<=\s))(?:has|no|with|without)[_-]\S*", re.I)
 OTHER_ROLES = set("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?/][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S
@@ -70,12 +77,16 @@ _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\
 
 
 class Node:
-    """A block element: children in order, and own texts as (place on the page, text)."""
+    """A block element: children in order, and own texts as (place on the page, text).
 
-    __slots__ = ("label", "tag", "children", "texts", "skip", "article")
+    `named` is what `named_other` says of it; `articles` and `main` tell of the outermost article and main elements in it.
+    """
 
-    def __init__(self, label: str, tag: str, skip: bool, article: bool):
-        self.label, self.tag, self.skip, self.article = label, tag, skip, article
+    __slots__ = ("label", "tag", "children", "texts", "skip", "article", "named", "articles", "main")
+
+    def __init__(self, label: str, tag: str, skip: bool, article: bool, named: int = 0):
+        self.label, self.tag, self.skip, self.article, self.named = label, tag, skip, article, named
+        self.articles, self.main = 0, False
         self.children: list[Node] = []
         self.texts: list[tuple[int, str]] = []
 
@@ -85,23 +96,31 @@ def attributes(text: str) -> dict[str, str]:
 
 
 def marked_other(tag: str, attrs: dict[str, str], in_article: bool) -> bool:
-    """Whether the markup says that this is no part of an article."""
+    """Whether HTML itself says that this is no part of an article."""
     if tag in NOT_TEXT or (tag in ("header", "footer") and not (in_article and tag == "header")):
         return True
     if not attrs:
         return False
-    names = f"{attrs.get('class', '')} {attrs.get('id', '')}"
-    if OTHER_PARTS.search(names) or (not in_article and EDGE_PARTS.search(names)):
-        return tag not in ("html", "body")
     hidden = "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in attrs.get("style", "").replace(" ", "").lower()
     return hidden or attrs.get("role", "").lower() in OTHER_ROLES
 
 
-def parse(page: str) -> Node:
-    """The page's tree of blocks."""
+def named_other(tag: str, attrs: dict[str, str], in_article: bool) -> int:
+    """Whether class or id name something else than an article: 2 if one of them is such a word, 1 if it has one as a part."""
+    if not attrs or tag in ("html", "body"):
+        return 0
+    names = STATES.sub("", f"{attrs.get('class', '')} {attrs.get('id', '')}")
+    if OTHER_NAME.search(names) or (not in_article and EDGE_NAME.search(names)):
+        return 2
+    return int(bool(OTHER_PARTS.search(names) or (not in_article and EDGE_PARTS.search(names))))
+
+
+def parse(page: str, names: bool = True) -> Node:
+    """The page's tree of blocks.  Names of inline elements count unless more text lies in those than in all others."""
     root = Node("", "", False, False)
-    # Open elements: tag, block that texts go to, and whether an inline element is marked as no article.
-    stack: list[tuple[str, Node, bool]] = [("", root, False)]
+    # Open elements: tag, block that texts go to, whether an inline element is marked as no article, and how it is named.
+    stack: list[tuple[str, Node, bool, int]] = [("", root, False, 0)]
+    said = {True: 0, False: 0}
     run: list[str] = []
     deeper: dict[str, int] = {}
     places = 0
@@ -116,13 +135,18 @@ def parse(page: str) -> Node:
             places += 1
 
     def close(to: int) -> None:
-        if any(tag not in INLINE for tag, _, _ in stack[to:]):
+        if any(tag not in INLINE for tag, *_ in stack[to:]):
             flush()
         del stack[to:]
 
     def say(text: str) -> None:
+        inline = stack[-1][0] in INLINE
         if text and not stack[-1][2]:
-            run.append(text)
+            named = inline and stack[-1][3] > 0
+            if not stack[-1][1].skip:
+                said[named] += len(text.strip())
+            if not named:
+                run.append(text)
 
     while True:
         found = _TAG.search(page, at)
@@ -178,22 +202,30 @@ def parse(page: str) -> Node:
             deeper[tag] = deeper.get(tag, 0) + 1
             continue
         if tag in INLINE:
-            stack.append((tag, block, stack[-1][2] or (bool(attrs) and marked_other(tag, attrs, block.article))))
+            around = stack[-1][3] if stack[-1][0] in INLINE else 0
+            named = max(around, named_other(tag, attrs, block.article)) if names else 0
+            stack.append((tag, block, stack[-1][2] or (bool(attrs) and marked_other(tag, attrs, block.article)), named))
         else:
             flush()
             article = block.article or tag in ("article", "main") or attrs.get("role") == "main"
             skip = block.skip or stack[-1][2] or marked_other(tag, attrs, block.article)
-            names = " ".join(sorted(attrs.get("class", "").split())) if attrs else ""
-            node = Node(f"{tag}.{names}" if names else tag, tag, skip, article)
+            around = stack[-1][3] if stack[-1][0] in INLINE else 0
+            classes = " ".join(sorted(attrs.get("class", "").split())) if attrs else ""
+            node = Node(f"{tag}.{classes}" if classes else tag, tag, skip, article, max(around, named_other(tag, attrs, block.article)))
             block.children.append(node)
-            stack.append((tag, node, False))
+            stack.append((tag, node, False, 0))
+            if article and not block.article and not skip:
+                main = tag == "main" or attrs.get("role") == "main"
+                for holder in {id(open_node): open_node for _, open_node, _, _ in stack}.values():
+                    holder.articles += 1
+                    holder.main |= main
         if tag in RAW:
             end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
             run.append(page[at : end.start() if end else len(page)]) if tag in ("title", "textarea") else None
             at = end.end() if end else len(page)
             close(len(stack) - 1)
     flush()
-    return root
+    return parse(page, False) if said[True] > said[False] else root
 
 
 def fold(node: Node) -> Node:
@@ -214,6 +246,9 @@ def shape(node: Node) -> tuple:
 
 def join(node: Node, other: Node) -> None:
     node.texts += other.texts
+    node.named = min(node.named, other.named)
+    node.articles += other.articles
+    node.main |= other.main
     for mine, theirs in zip(node.children, other.children, strict=True):
         join(mine, theirs)
 
@@ -279,17 +314,48 @@ def alike(total: int, a: int, b: int) -> bool:
     return total >= MIN_MATCH * (a + b) / 2
 
 
-def candidates(root: Node) -> tuple[list[tuple[int, Node]], list[tuple[int, Node]]]:
-    """Numbered nodes whose texts may be content, and those among them that lie in an article element."""
-    some = [(n, node) for n, node in enumerate(walk(root)) if not node.skip and node.texts]
-    return some, [(n, node) for n, node in some if node.article]
+def candidates(root: Node, template: set[int] | frozenset[int] = frozenset()) -> list[tuple[int, Node]]:
+    """Numbered nodes whose texts are content, and constant ones beside them."""
+    slots: list[tuple[int, Node, tuple[Node, ...], int]] = []
+    numbers = iter(range(1 << 62))
+
+    def visit(node: Node, around: tuple[Node, ...]) -> None:
+        n = next(numbers)
+        around = (*around, node) if node.named else around
+        if node.texts and not node.skip:
+            slots.append((n, node, around, 0 if n in template else sum(len(t) for _, t in node.texts)))
+        for child in node.children:
+            visit(child, around)
+
+    visit(root, ())
+
+    def within(some: list, node: Node) -> int:
+        return sum(x[3] for x in some if any(a is node for a in x[2]))
+
+    def outside(node: Node) -> int:
+        return sum(x[3] for x in slots if x[1].article and not any(a is node for a in x[2]))
+
+    for strength in (2, 1):
+        total = sum(x[3] for x in slots)
+        largest = max(slots, key=lambda x: x[3])[2] if total else ()
+        named = {id(a): a for x in slots for a in x[2] if a.named == strength}
+        out = set()
+        for key, node in named.items():
+            if node.main or (node.articles and root.articles == 1):
+                continue
+            much = 2 * within(slots, node) > total or any(a is node for a in largest)
+            if not much or (strength == 2 and outside(node)):
+                out.add(key)
+        slots = [x for x in slots if not any(id(a) in out for a in x[2])]
+    inside = sum(x[3] for x in slots if x[1].article)
+    if inside and 2 * inside >= sum(x[3] for x in slots):
+        slots = [x for x in slots if x[1].article]
+    return [(n, node) for n, node, _, _ in slots]
 
 
 def content(root: Node, template: set[int]) -> str:
-    """Texts of the varying slots in page order; within article elements if the page has any."""
-    some, inside = candidates(root)
-    chosen = inside or some
-    texts = sorted(t for n, node in chosen if n not in template for t in node.texts)
+    """Texts of the varying slots in page order; within article elements if these hold the larger share."""
+    texts = sorted(t for n, node in candidates(root, template) if n not in template for t in node.texts)
     return "\n".join(t for _, t in texts)
 
 
@@ -312,8 +378,7 @@ def _outline(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for page in batch.column(2).to_pylist():
             root = fold(parse(page or ""))
             lines = json.dumps(outline(root), separators=(",", ":"))
-            some, inside = candidates(root)
-            rows.append((digest([repr(shape(root))]), digest([t for _, node in inside or some for _, t in node.texts]), lines))
+            rows.append((digest([repr(shape(root))]), digest([t for _, node in candidates(root) for _, t in node.texts]), lines))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1).cast(pa.int64()), *(pa.array([r[i] for r in rows], pa.string()) for i in range(3))], [f.split()[0] for f in _OUTLINES.split(", ")])
 
 

@@ -219,3 +219,24 @@ def test_neighbours_of_few_or_far_vectors_are_complete(spark):
     got, want = found_and_wanted(spark, vectors)
     assert [len(got[q]) for q in (0, 20, 100)] == [20, 20, 3]
     assert {q: [i for i, _ in x] for q, x in got.items()} == {q: [i for i, _ in x] for q, x in want.items()}
+
+
+def test_names_of_layouts_do_not_remove_the_article():
+    body = "<p>" + prose(1, 40) + "</p>"
+    text = prose(1, 40)
+    for names in ("layout has-sidebar", "no-sidebar", "site-content sidebar-right", "content comments-open", "legal-notices", "widget"):
+        for inner in (f"<article>{body}</article>", body):
+            page = f'<body><div class="{names}">{inner}<div class="sidebar">{prose(2, 20)}</div></div><div id="comments">{prose(3, 15)}</div></body>'
+            assert wrapper.extract_text(page, None, None) == text, (names, inner)
+    many = f'<article><p>{prose(1, 10)}</p></article><div id="comments"><article class="comment">{prose(2, 90)}</article></div>'
+    assert wrapper.extract_text(many, None, None) == prose(1, 10)
+    assert wrapper.extract_text(f'<p>on <span class="ad">buy</span> it<p><span class="text-widget">{prose(4, 30)}</span>', None, None) == f"on buy it\n{prose(4, 30)}"
+
+
+def test_article_elements_count_by_their_share(spark):
+    teasers = "".join(f"<article>teaser {i}</article>" for i in range(3))
+    page = f"<body><div class=top>{teasers}</div><div class=text><p>{prose(1, 60)}</p></div>"
+    assert prose(1, 60) in wrapper.extract_text(page, None, None)
+    rows = [(i, f"http://m.test/{i}", f"<body><main>Our motto</main><div><p>{prose(i, 30)}</p></div>", "e", "p") for i in range(8)]
+    got = {r["page_id"]: r["text"] for r in wrapper.extract(spark.createDataFrame(rows, PAGES)).collect()}
+    assert got == {i: prose(i, 30) for i in range(8)}
