@@ -162,9 +162,9 @@ def parse_record(content: bytes) -> tuple[dict[str, str], bytes, str | None]:
     return headers, payload, None
 
 
-def read_records(content: bytes) -> Iterator[Record]:
-    """The records of one archive, each from its own frame."""
-    data, at = memoryview(content), 0
+def read_records(archive: bytes) -> Iterator[Record]:
+    """The records of one archive, each from its own frame; one that can't be decoded is reported, and the next one follows."""
+    data, at = memoryview(archive), 0
     unpack = zstandard.ZstdDecompressor()
     while at < len(data):
         if len(data) - at < 8:
@@ -187,10 +187,16 @@ def read_records(content: bytes) -> Iterator[Record]:
             return
         try:
             end = frame_end(data, at)
-            headers, payload, error = parse_record(unpack.decompress(data[at:end]))
-        except (ValueError, IndexError, zstandard.ZstdError) as wrong:
+        except (ValueError, IndexError) as wrong:
             yield Record(at, {}, b"", str(wrong))
             return
+        try:
+            # Frames of streaming compressors do not state their content's size.
+            frame = unpack.decompressobj()
+            content = frame.decompress(data[at:end])
+            headers, payload, error = parse_record(content) if frame.eof else ({}, b"", "the frame is cut off")
+        except (ValueError, zstandard.ZstdError) as wrong:
+            headers, payload, error = {}, b"", str(wrong)
         yield Record(at, headers, payload, error)
         at = end
 

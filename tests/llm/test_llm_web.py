@@ -58,6 +58,16 @@ def test_damaged_archives_say_what_is_wrong():
     assert read(lead + frame + b"junkjunk")[-1][0] == "not a frame" and read(b"") == []
 
 
+def test_frames_without_size_and_beside_broken_ones_are_read():
+    good = warc.record("response", "1", "u", b"payload", "d", None)
+    stream = zstandard.ZstdCompressor().compressobj()
+    unsized = stream.compress(good) + stream.flush()
+    whole = zstandard.ZstdCompressor(write_checksum=True).compress(good)
+    broken = whole[:-1] + bytes([whole[-1] ^ 1])
+    got = [(bool(r.error), r.payload) for r in warc.read_records(unsized + broken + whole)]
+    assert got == [(False, b"payload"), (True, b""), (False, b"payload")]
+
+
 def test_articles_of_the_pages(spark, sf):
     """Every page shows a document: its title and lines are the article."""
     pages = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
