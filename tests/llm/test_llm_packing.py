@@ -127,6 +127,19 @@ def test_mixed_sources_come_near_their_targets(spark):
     assert all(abs(r["taken"] - r["target"]) < 0.03 * r["target"] for r in rows)
 
 
+def test_mixed_sources_of_uneven_documents_stay_within_the_draws_spread(spark):
+    """Each source is within four standard deviations of its target, which long documents make wide."""
+    docs = spark.range(3000).select(
+        F.col("id").alias("doc_id"), F.concat(F.lit("s"), F.col("id") % 4).alias("source"), F.repeat(F.lit("a "), F.when(F.col("id") % 100 < 4, 2000).otherwise(F.col("id").cast("int") % 37 + 1)).alias("text")
+    )
+    sized = mixing.sizes(docs)
+    part = F.col("rate") - F.floor("rate")
+    rows = mixing.mix(sized, sized).groupBy("source").agg(
+        F.sum(F.col("copies") * F.col("size")).alias("taken"), F.first("target").alias("target"), F.sqrt(F.sum(F.col("size") ** 2 * part * (1 - part))).alias("spread")
+    ).collect()
+    assert len(rows) == 4 and all(abs(r["taken"] - r["target"]) <= 4 * r["spread"] + 1e-6 for r in rows)
+
+
 def test_mixing_odd_rows(spark):
     docs = odd_documents(spark)
     mixed = mixing.mix(docs.withColumn("rate", F.lit("x")), mixing.sizes(docs))
