@@ -1,7 +1,7 @@
 """Language identification by Bayesian fusion of evidence.
 
 The posterior of a language is the product of
-* the text's likelihood under hashed byte trigrams, counted over every document that declares a language;
+* the text's likelihood under hashed byte trigrams, counted over every document that declares one of `LANGUAGES`;
 * the declared markup language and the address suffix, by how often each goes with a language;
 * the host's prior, smoothed towards its domain's, and that towards the whole corpus's.
 The last three come from grouped aggregation over all documents' text votes, a document's own vote
