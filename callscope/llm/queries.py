@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callscope.llm import ann, chat, langid, mixing, neardup, packing, quality, tokens, warc, wrapper
+from callscope.llm import ann, chat, langid, mixing, neardup, packing, quality, repeats, tokens, vectorcodes, warc, whiten, wrapper
 from callscope.session import scratch_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -182,3 +182,65 @@ def op9_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten.whiten(table(spark, sf_dir, "embeddings")).withColumn("deviation", F.col("deviation").cast("long"))
+
+
+@query
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectorcodes.compress(table(spark, sf_dir, "embeddings")).select(
+        "vec_id", "code", F.col("error").cast("long").alias("error"), F.col("label_error").cast("long").alias("label_error"), "codebooks_sha256"
+    )
+
+
+def _codes_sql(parts: int = vectorcodes.PARTS, entries: int = vectorcodes.ENTRIES, rounds: int = vectorcodes.ROUNDS) -> str:
+    """Every round as two tables: the parts with their nearest entry, and the entries' new places."""
+    steps = []
+    for k in range(rounds + 1):
+        steps.append(f"""
+a{k} AS MATERIALIZED (
+  SELECT p.row, p.part, any_value(p.y) AS y, min(list_sum(list_transform(list_zip(p.y, c.y), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) * {entries} + c.entry) AS best
+  FROM p JOIN c{k} c ON p.part = c.part GROUP BY p.row, p.part)""")
+        if k < rounds:
+            steps.append(f"""
+m{k} AS (
+  SELECT part, entry, list((s - ((s % n) + n) % n) // n ORDER BY i) AS y
+  FROM (SELECT part, best % {entries} AS entry, i, sum(y[i])::HUGEINT AS s, count(*) AS n FROM a{k}, range(1, 1 + (SELECT max(len(y)) FROM p)) r(i) GROUP BY ALL)
+  GROUP BY part, entry),
+c{k + 1} AS MATERIALIZED (SELECT c.part, c.entry, coalesce(m.y, c.y) AS y FROM c{k} c LEFT JOIN m{k} m ON m.part = c.part AND m.entry = c.entry)""")
+    return f"""
+WITH v AS (
+  SELECT row_number() OVER () AS row, vec_id, label, list_transform(embedding, lambda x: CAST(floor({vectorcodes.SCALE} * CAST(x AS DOUBLE)) AS HUGEINT)) AS x
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+p AS MATERIALIZED (SELECT row, vec_id, part, x[part * (len(x) // {parts}) + 1 : (part + 1) * (len(x) // {parts})] AS y FROM v, range({parts}) r(part)),
+c0 AS MATERIALIZED (
+  SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS entry, y
+  FROM p WHERE vec_id IN (SELECT vec_id FROM v ORDER BY vec_id LIMIT {entries})),{",".join(steps)},
+e AS (
+  SELECT row, string_agg(printf('%02x', best % {entries}), '' ORDER BY part) AS code, CAST(sum(best // {entries}) AS BIGINT) AS error FROM a{rounds} GROUP BY row),
+h AS (SELECT sha256(string_agg(array_to_string(y, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM c{rounds})
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM v JOIN e ON v.row = e.row, h
+"""
+
+
+ORACLES["op12_vector_codes"] = _codes_sql()
+
+
+@query
+def op13_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.without_repeats(table(spark, sf_dir, "documents")).drop("spans")
+
+
+ORACLES["op13_repeated_passages"] = r"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+g AS (SELECT row, i, array_to_string(ws[i : i + 34], ' ') AS win FROM (SELECT row, ws, unnest(range(1, len(ws) - 33)) AS i FROM d)),
+t AS (SELECT win FROM g GROUP BY win HAVING count(*) > 1),
+r AS (SELECT DISTINCT row, unnest(range(i, i + 35)) AS pos FROM g SEMI JOIN t ON g.win = t.win),
+w AS (SELECT row, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS pos FROM d),
+k AS (SELECT row, string_agg(word, ' ' ORDER BY pos) AS kept, count(*) AS n FROM w ANTI JOIN r ON w.row = r.row AND w.pos = r.pos GROUP BY row)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k ON d.row = k.row
+"""
