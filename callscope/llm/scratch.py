@@ -43,7 +43,10 @@ class Scratch:
     def drop(self, *tables: DataFrame) -> None:
         """Delete kept tables; everything that reads them must be stored by now."""
         for table in tables:
-            folder = table.inputFiles()[0].rsplit("/", 1)[0]
+            files = table.inputFiles()
+            if not files:
+                continue
+            folder = files[0].rsplit("/", 1)[0]
             path = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
             if not folder.split(":", 1)[-1].lstrip("/").startswith(self.root.split(":", 1)[-1].lstrip("/")):
                 raise ValueError(f"{folder} is no table of {self.root}")
