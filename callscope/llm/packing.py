@@ -69,24 +69,42 @@ class WordTokens:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.library = Tokenizer.from_file(public_tokenizers.path(vocabulary))
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
         self.parts: dict[str, bytes] = {}
         rules = json.loads(self.library.to_str())
         self.by_parts = rules["normalizer"] == NORMALIZER and rules["pre_tokenizer"] == PRE_TOKENIZER
         self.model = Tokenizer(self.library.model)
         self.model.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        self.comma = self.model.encode(",", add_special_tokens=False).ids[0]
         letters = {b: chr(b) for b in (*range(33, 127), *range(161, 173), *range(174, 256))}
         rest = [b for b in range(256) if b not in letters]
         self.letters = letters | {b: chr(256 + n) for n, b in enumerate(rest)}
 
+    def _spelled(self, part: str) -> str:
+        return part if part.isascii() else part.encode().decode("latin-1").translate(self.letters)
+
+    def _encode_parts(self, parts: list[str]) -> Iterator[bytes]:
+        """The ids of lower-case parts, each of which the library's pattern finds as a whole."""
+        for low in range(0, len(parts), 4096):
+            some = parts[low : low + 4096]
+            got = self.model.encode(" ".join(map(self._spelled, some)), add_special_tokens=False)
+            ids = np.array(got.ids, "<u4").tobytes()
+            at = (4 * np.searchsorted(np.array(got.word_ids), np.arange(len(some) + 1))).tolist()
+            yield from (ids[a:b] for a, b in zip(at, at[1:], strict=False))
+
+    def _add_letters(self, words: list[bytes], lower: list[str]) -> None:
+        """Plain words of letters alone are one part each, and need no table of parts; commas keep them apart."""
+        for low in range(0, len(words), 4096):
+            some = words[low : low + 4096]
+            got = self.model.encode_batch_fast([" , ".join([*map(self._spelled, lower[low : low + 4096]), ""])], add_special_tokens=False)[0]
+            flat = np.array(got.ids, "<u4")
+            ids, ends = flat.tobytes(), (4 * np.flatnonzero(flat == self.comma)).tolist()
+            self.known.update(zip(some, [ids[a:b] for a, b in zip([0, *(e + 4 for e in ends[:-1])], ends, strict=True)], strict=True))
+
     def _add_plain(self, words: list[bytes]) -> None:
         parts = _PARTS.findall(b"\n".join([*words, b""]).decode().lower())
         new = list({x for x in parts if x != "\n" and x not in self.parts})
-        for low in range(0, len(new), 4096):
-            some = new[low : low + 4096]
-            got = self.model.encode(" ".join(x.encode().decode("latin-1").translate(self.letters) for x in some), add_special_tokens=False)
-            ids = np.array(got.ids, "<u4").tobytes()
-            at = (4 * np.searchsorted(np.array(got.word_ids), np.arange(len(some) + 1))).tolist()
-            self.parts.update(zip(some, (ids[a:b] for a, b in zip(at, at[1:], strict=False)), strict=True))
+        self.parts.update(zip(new, self._encode_parts(new), strict=True))
         own: list[bytes] = []
         done = iter(words)
         for x in parts:
@@ -98,18 +116,33 @@ class WordTokens:
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         split = [t.split() for t in texts]
-        if len(self.known) > CACHED_WORDS:
-            self.known.clear()
+        # Two generations of words: what is still in use is carried over, so a full table costs no second encoding.
+        if len(self.known) > CACHED_WORDS // 2:
+            self.older, self.known = self.known, {}
         if len(self.parts) > CACHED_PARTS:
             self.parts.clear()
         known = self.known
         new = set().union(*split).difference(known)
-        plain = [w for w in new if _PLAIN.match(w.decode()) and b"<|" not in w] if self.by_parts else []
-        self._add_plain(plain)
-        rest = [w for w in new if w not in known]
+        if self.older:
+            again = new.intersection(self.older)
+            known.update(zip(again, map(self.older.__getitem__, again), strict=True))
+            new -= again
+        words = list(new)
+        if self.by_parts and words:
+            letters, spelled, plain = [], [], []
+            for word, x in zip(words, b"\n".join(words).decode().split("\n"), strict=True):
+                if x.isalpha():
+                    if x.isascii() or _PLAIN.match(x):
+                        letters.append(word)
+                        spelled.append(x)
+                elif _PLAIN.match(x) and "<|" not in x:
+                    plain.append(word)
+            self._add_letters(letters, "\n".join(spelled).lower().split("\n") if spelled else [])
+            self._add_plain(plain)
+        rest = [w for w in words if w not in known]
         got = self.library.encode_batch_fast([w.decode() for w in rest], add_special_tokens=False)
         known.update(zip(rest, (np.array(x.ids, "<u4").tobytes() for x in got), strict=True))
-        return [b"".join(map(known.__getitem__, words)) for words in split]
+        return [b"".join(map(known.__getitem__, own)) for own in split]
 
 
 _loaded: dict[str, WordTokens] = {}
