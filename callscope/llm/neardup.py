@@ -26,8 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from callscope.llm.scratch import Scratch
 from callscope.llm.words import FACTORS, U64, Words, as_bytes, grams, mix, sized
-from callscope.session import scratch_dir
 
 WIDTH = 5
 ROWS = 8
@@ -35,7 +35,9 @@ BANDS = 48
 BINS = ROWS * BANDS
 MIN_PERCENT = 85
 BLOCK = 512
-LANE_ROWS = 1500
+#: Shingles in a block and in a lane, at most about; a longer text is a block of its own.
+BLOCK_SHINGLES = 500_000
+LANE_SHINGLES = 1_000_000
 _LEAST = MIN_PERCENT // (100 - MIN_PERCENT) + 1  # smaller sets have no near neighbour but their equals
 
 
@@ -106,20 +108,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), sets], ["id", "hashes"])
 
 
-class _Store:
-    """Tables written to the shared scratch folder, which cuts lineage and outlives executors."""
-
-    def __init__(self, spark):
-        self.spark, self.root, self.made = spark, scratch_dir(spark, "neardup"), 0
-
-    def keep(self, frame: DataFrame) -> DataFrame:
-        self.made += 1
-        path = f"{self.root}/{self.made}"
-        frame.write.parquet(path)
-        return self.spark.read.schema(frame.schema).parquet(path)
-
-
-def _min_labels(store: _Store, links: DataFrame) -> DataFrame:
+def _min_labels(store: Scratch, links: DataFrame) -> DataFrame:
     """(id, root): the smallest id reachable over links (a, b), by large-star and small-star steps.
 
     Every step replaces edges by as many or fewer, and takes minima that combine before the shuffle.
@@ -137,7 +126,8 @@ def _min_labels(store: _Store, links: DataFrame) -> DataFrame:
         # Small star: hang the node and its smaller neighbours on the smallest of them.
         roots = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(roots, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        edges = store.keep(small.union(roots.select("a", F.col("m").alias("b"))).distinct())
+        before, edges = edges, store.keep(small.union(roots.select("a", F.col("m").alias("b"))).distinct())
+        store.drop(before)
         last, state = state, edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b")), F.bit_xor(F.xxhash64("b", "a"))).first()
         if state == last:
             return edges.select(F.col("a").alias("id"), F.col("b").alias("root"))
@@ -160,7 +150,7 @@ def _confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, n_shingles, component_id, kept and class_id (smallest id with an equal set) of each row."""
-    store = _Store(docs.sparkSession)
+    store = Scratch(docs.sparkSession, "neardup")
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     signed = store.keep(source.mapInArrow(_sign, _SIGNED))
     # Stored before the join, so that a set with very many copies is split there.
@@ -180,11 +170,14 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     )
     shared = keys.groupBy("key").agg(F.min("id").alias("head"), F.max("id").alias("tail")).where("head <> tail")
     members = store.keep(keys.join(shared, "key").select("key", "id", "head").distinct())
+    thin = store.keep(signed.where("doc_id is null or n_shingles = 0").select("doc_id", "n_shingles"))
+    store.drop(signed, classes)
     labels = _link(store, source, members)
+    store.drop(members)
     rooted = with_class.join(labels.withColumnRenamed("id", "class_id"), "class_id", "left").select(
         "doc_id", "n_shingles", "class_id", "low", "high", F.coalesce("root", "class_id").alias("component_id")
     )
-    alone = signed.where("doc_id is null or n_shingles = 0").select(
+    alone = thin.select(
         "doc_id", "n_shingles", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("component_id")
     )
     return (
@@ -194,7 +187,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     )
 
 
-def _link(store: _Store, source: DataFrame, members: DataFrame) -> DataFrame:
+def _link(store: Scratch, source: DataFrame, members: DataFrame) -> DataFrame:
     """(id, root) of every class that is linked with another one."""
     ids = members.select("id").distinct()
     sets = store.keep(
@@ -202,33 +195,42 @@ def _link(store: _Store, source: DataFrame, members: DataFrame) -> DataFrame:
         .select(F.col("doc_id").alias("id"), "text")
         .mapInArrow(_sets, "id long, hashes array<long>")
         .distinct()
+        .select("id", F.size("hashes").alias("size"), "hashes")
     )
     stars = members.where("id <> head").select(F.col("id").alias("a"), F.col("head").alias("b")).distinct()
     links = store.keep(_confirm(stars, sets))
     labels = _min_labels(store, links)
     more = store.keep(_compare_rest(store, members, labels, sets))
+    store.drop(sets)
     return labels if more.isEmpty() else _min_labels(store, links.union(more))
 
 
-def _compare_rest(store: _Store, members: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
+def _blocks(n, size):
+    return F.greatest(F.ceil(n / BLOCK), F.ceil(size / BLOCK_SHINGLES)).cast("int")
+
+
+def _compare_rest(store: Scratch, members: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
     """Links (a, b) between the components that still share a bucket.
 
     In each bucket the members outside its largest component are held against all others, in cells
-    of at most about `BLOCK` times `BLOCK` members that are dealt out evenly.  A cell gives its
+    of at most about `BLOCK` times `BLOCK` members, or fewer long ones, that are dealt out evenly.  A cell gives its
     links only, and those only as far as they join two components.
     """
-    placed = members.join(labels, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
-    by_root = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
-    mixed = (
+    sizes = sets.select("id", "size")
+    placed = store.keep(members.join(labels, "id", "left").join(sizes, "id").select("key", "id", "size", F.coalesce("root", "id").alias("root")))
+    by_root = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"))
+    most = F.max(F.struct("n", "root", "size")).alias("most")
+    # Stored before the join, so that a bucket with very many members is split there.
+    mixed = store.keep(
         by_root.groupBy("key")
-        .agg(F.max(F.struct("n", "root")).alias("most"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("roots"))
+        .agg(most, F.sum("n").alias("n"), F.sum("size").alias("size"), F.count(F.lit(1)).alias("roots"))
         .where("roots > 1")
-        .select("key", F.col("most.root").alias("main"), F.col("most.n").alias("n_main"), (F.col("n") - F.col("most.n")).alias("n_odd"))
-    )
-    blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
-    placed = placed.join(mixed, "key").withColumns(
-        {"odd": F.col("root") != F.col("main"), "n_main": blocks("n_main"), "n_odd": blocks("n_odd"), "h": F.xxhash64("id")}
+        .select(
+            "key", F.col("most.root").alias("main"), _blocks(F.col("most.n"), F.col("most.size")).alias("n_main"),
+            _blocks(F.col("n") - F.col("most.n"), F.col("size") - F.col("most.size")).alias("n_odd"),
+        )
     )
+    placed = placed.join(mixed, "key").withColumns({"odd": F.col("root") != F.col("main"), "h": F.xxhash64("id")})
     upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias("other")
     odd = placed.where("odd").select("key", "id", "root", "n_main", "n_odd", F.pmod("h", "n_odd").cast("int").alias("own"))
     main = placed.where("not odd").select("key", "id", "root", "n_odd", F.pmod("h", "n_main").cast("int").alias("own"))
@@ -244,7 +246,8 @@ def _compare_rest(store: _Store, members: DataFrame, labels: DataFrame, sets: Da
         )
     )
     rows = store.keep(rows)
-    lanes = max(1, rows.count() // LANE_ROWS)
+    shingles = rows.join(sizes, "id").agg(F.sum("size")).first()[0] or 0
+    lanes = max(1, shingles // LANE_SHINGLES)
     return (
         rows.withColumn("lane", F.pmod(F.xxhash64("cell"), F.lit(lanes)))
         .join(sets, "id")

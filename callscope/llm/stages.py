@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from callscope.llm import langid, mixing, neardup, packing
 from callscope.llm import quality as rules
 from callscope.llm.queries import trusted_ids
+from callscope.llm.scratch import Scratch
 from callscope.session import scratch_dir
 
 
@@ -42,14 +43,16 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies; repeated rows of a kept document go, rows without an id stay."""
-    path = scratch_dir(spark, "kept-ids")
-    found = neardup.near_duplicates(docs).where("kept and doc_id is not null")
-    found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_rows")).write.parquet(path)
-    kept = spark.read.parquet(path)
-    single = docs.join(kept.where("_rows = 1").select("doc_id"), "doc_id", "left_semi")
-    out = single.select(*docs.columns).union(docs.where("doc_id is null"))
-    repeated = kept.where("_rows > 1").select("doc_id")
+    """One document of each group of near copies; repeated rows of a kept document go, rows without an id stay.
+
+    Documents meet the ids that go, not those that stay: these are few, so they are sent to the
+    documents where they are small, and texts are not moved then.
+    """
+    scratch = Scratch(spark, "near-copies")
+    found = neardup.near_duplicates(docs).where("doc_id is not null").groupBy("doc_id").agg(F.count_if("kept").alias("_rows"))
+    other = scratch.keep(found.where("_rows <> 1"))
+    out = docs.join(other.select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    repeated = other.where("_rows > 1").select("doc_id")
     if not repeated.isEmpty():
         out = out.union(docs.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns))
     return out

@@ -49,7 +49,7 @@ def test_query_matches_brute_force(spark, sf):
 def test_chains_and_large_buckets(spark, monkeypatch, size):
     """Variants that are linked through others only, in buckets that a star leaves unfinished."""
     monkeypatch.setattr(neardup, "BLOCK", size)
-    monkeypatch.setattr(neardup, "LANE_ROWS", 50)
+    monkeypatch.setattr(neardup, "LANE_SHINGLES", 5000)
     rng = np.random.default_rng(3)
     base = prose(5, 120).split()
     rows = []
