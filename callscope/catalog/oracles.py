@@ -559,6 +559,9 @@ WHERE started_at <= TIMESTAMP '{AS_OF}' AND started_at > TIMESTAMP '{AS_OF}' - I
 FROM calls c JOIN spans s ON s.request_id = c.event_id
 WHERE c.event_id % 10 <> 9
   AND c.started_at + (c.event_id % 7) * INTERVAL 1 SECOND <= s.ended_at""",
+    "stored_detach": f"""SELECT provider, status, count(*) AS n,
+  count(*) FILTER (WHERE right({_uuid('conversation-', 'conversation_id')}, 1) >= '5') AS attached
+FROM logs WHERE event_id IN (SELECT event_id FROM odd WHERE reject_reason IS NULL) GROUP BY ALL""",
     "streamed_ingest": """SELECT date_trunc('hour', completed_at) AS hour_bucket, provider, model,
   count(*) AS request_count, CAST(sum(coalesce(duration_ms, 0)) AS BIGINT) AS total_latency_ms,
   count(*) FILTER (WHERE status = 'error') AS error_count,
@@ -615,6 +618,11 @@ bucket(n, request_id, conversation_id, at_ms, tokens, over_rate) AS (
   FROM bucket b JOIN turn t ON t.conversation_id = b.conversation_id AND t.n = b.n + 1)"""
 
 
+#: Stored tables give what the same changes give in memory.
+_SAME = {"stored_updates": "conversation_updates", "stored_creates": "create_missing", "stored_cascade": "cascade_delete"}
+
+
 def oracle_sql() -> dict[str, str]:
     extra = {"streamed_token_bucket": _BUCKET}
-    return {name: f"WITH RECURSIVE {_BASE}{extra.get(name, '')}\n{sql}" for name, sql in _QUERIES.items()}
+    every = {**_QUERIES, **{name: _QUERIES[other] for name, other in _SAME.items()}}
+    return {name: f"WITH RECURSIVE {_BASE}{extra.get(name, '')}\n{sql}" for name, sql in every.items()}

@@ -803,14 +803,13 @@ def append_messages(spark, sf):
     )
 
 
-@query
-def conversation_updates(spark, sf):
-    """Touches from calls, new titles and cancellations merged into the conversations."""
+def updates_from_calls(spark, sf):
+    """Touches from calls, new titles and cancellations."""
     calls = v.inference_events(spark, sf).where(F.col("conversation_id").isNotNull())
     retitled = F.col("event_id") % 5 == 0
-    updates = calls.select(
+    return calls.select(
         "conversation_id",
-        F.struct(F.col("created_at"), F.col("event_id")).alias("_order"),
+        "event_id",
         F.col("created_at").alias("changed_at"),
         F.when(
             retitled, F.concat(F.lit("call "), F.col("event_id").cast("string"))
@@ -818,7 +817,12 @@ def conversation_updates(spark, sf):
         F.when(F.col("status") == "cancelled", "cancelled").alias("status"),
         (F.col("event_id") % 2 == 0).alias("touch"),
     )
-    return conv.apply_updates(v.conversation_rows(spark, sf), updates.drop("_order"))
+
+
+@query
+def conversation_updates(spark, sf):
+    """Those changes merged into the conversations."""
+    return conv.apply_updates(v.conversation_rows(spark, sf), updates_from_calls(spark, sf).drop("event_id"))
 
 
 @query

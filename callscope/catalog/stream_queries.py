@@ -8,10 +8,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from callscope.catalog import queries as q
 from callscope.catalog import views as v
 from callscope.catalog.queries import _stream_spans, query
 from callscope.functions import timing
 from callscope.session import STATE_STORE, scratch_dir
+from callscope.sources.dimensions import ConversationStore
 from callscope.sources.streams import read_json_files
 from callscope.sources.tables import Warehouse
 from callscope.streaming.cancel import match_cancels_live
@@ -67,16 +69,75 @@ def streamed_ingest(spark, sf):
     folder = scratch_dir(spark, "ingest")
     sent = v.payloads(spark, sf)
     even, again = F.col("offset") % 2 == 0, F.col("offset") % 50
-    for part, df in enumerate((sent.where(even), sent.where(~even | (again == 0)), sent.where(again < 2).union(sent.where(again == 1)))):
-        df.select("payload").coalesce(1).write.text(f"{folder}/in/part={part}")
     warehouse = Warehouse(spark, f"{folder}/tables")
-    job = run_ingest(
-        read_json_files(spark, f"{folder}/in/*", files_per_batch=1), warehouse, f"{folder}/checkpoint"
-    )
-    job.awaitTermination()
+    for df in (sent.where(even), sent.where(~even | (again == 0)), sent.where(again < 2).union(sent.where(again == 1))):
+        df.select("payload").write.mode("append").text(f"{folder}/in")
+        run_ingest(read_json_files(spark, f"{folder}/in"), warehouse, f"{folder}/checkpoint").awaitTermination()
     return warehouse.rollup()
 
 
+def _stored_conversations(spark, sf, label: str) -> ConversationStore:
+    """Conversations and messages of the tables, stored; the messages in two batches."""
+    store = ConversationStore(spark, scratch_dir(spark, label), 16)
+    name = F.col("conversation_id").cast("string").alias("conversation_id")
+    heads, told = v.conversation_rows(spark, sf), v.messages(spark, sf)
+    store.put(heads.select(name, *heads.columns[1:]), ("load", 0))
+    for n in range(2):
+        store.append(told.where(F.col("seq") % 2 == n).select(name, *told.columns[1:]), ("load", n))
+    return store
+
+
+def _numbered(df: DataFrame) -> DataFrame:
+    return df.withColumn("conversation_id", F.col("conversation_id").cast("long"))
+
+
+@query
+def stored_updates(spark, sf):
+    """The changes of `conversation_updates` merged into the stored table, in two batches and one of them twice."""
+    store = _stored_conversations(spark, sf, "stored-updates")
+    updates = q.updates_from_calls(spark, sf).withColumn("conversation_id", F.col("conversation_id").cast("string"))
+    early = F.col("changed_at") < F.lit("2024-01-16").cast("timestamp")
+    for n, part in ((0, early), (1, ~early), (1, ~early)):
+        store.update(updates.where(part).drop("event_id"), ("updates", n))
+    return _numbered(store.conversations())
+
+
+@query
+def stored_creates(spark, sf):
+    """Conversations that a batch of calls created in the stored table."""
+    store = _stored_conversations(spark, sf, "stored-creates")
+    ids = v.inference_events(spark, sf).select(F.col("conversation_id").cast("string").alias("conversation_id"))
+    store.create(ids, F.lit(v.AS_OF).cast("timestamp"))
+    return _numbered(store.conversations())
+
+
+@query
+def stored_cascade(spark, sf):
+    """Stored messages after a quarter of the conversations is deleted, and how many conversations are left with them."""
+    store = _stored_conversations(spark, sf, "stored-cascade")
+    gone = v.conversation_rows(spark, sf).where("conversation_id % 4 = 1").select(F.col("conversation_id").cast("string").alias("conversation_id"))
+    store.delete(gone, batch=("delete", 0))
+    left = store.conversations().select("conversation_id")
+    return _numbered(store.messages().join(left, "conversation_id", "left_semi").select("conversation_id", "seq", "role", "status"))
+
+
+@query
+def stored_detach(spark, sf):
+    """The stored log after a third of its conversations is deleted: rows by whether they have a conversation."""
+    folder = scratch_dir(spark, "stored-detach")
+    warehouse = Warehouse(spark, f"{folder}/tables")
+    store = ConversationStore(spark, f"{folder}/conversations", 16)
+    came = timing.epoch_to_timestamp(F.col("started_at"))
+    sent = v.payloads(spark, sf)
+    for n in range(2):
+        ingest_batch(sent.where(F.col("offset") % 2 == n).select("payload"), n, warehouse, created_at=came)
+    named = warehouse.logs().select("conversation_id").where("conversation_id is not null").distinct()
+    gone = named.where(F.substring("conversation_id", -1, 1) < "5")
+    gone.write.parquet(f"{folder}/gone")
+    store.delete(spark.read.parquet(f"{folder}/gone"), warehouse, ("delete", 0))
+    return warehouse.logs().groupBy("provider", "status").agg(F.count(F.lit(1)).alias("n"), F.count("conversation_id").alias("attached"))
+
+
 @query
 def stored_window(spark, sf):
     """A day's window of the stored log and of its compacted copy, ingested in two batches."""

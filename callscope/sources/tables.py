@@ -13,6 +13,8 @@ from callscope.functions.timing import hour_bucket, window_start
 from callscope.operators.percentiles import latency_sketches, merge_sketches
 from callscope.operators.rollup import hourly_rollup, merge_rollups
 from callscope.schemas import INFERENCE_LOG_SCHEMA, ROLLUP_KEYS, ROLLUP_SCHEMA, struct_of
+from callscope.session import scratch_dir
+from callscope.sources.id_index import IdIndex
 
 _BATCH = T.StructField("batch", T.StringType())
 
@@ -81,6 +83,21 @@ class Warehouse:
         writer = df.withColumn("batch", F.lit(key)).write.mode("overwrite")
         writer.option("partitionOverwriteMode", "dynamic").partitionBy(split_by, "batch").parquet(self.path(table))
 
+    def event_ids(self) -> IdIndex:
+        """The index of the log's event ids."""
+        return IdIndex(self.spark, self.path("event_ids"))
+
+    def replace_folders(self, table: str, rows: DataFrame, split_by: str) -> None:
+        """Replace the folders (date and batch) that the rows name, which may have been read from these very folders.
+
+        The rows are stored aside first, so a job that dies while folders are replaced can be repeated from them.
+        """
+        aside = scratch_dir(self.spark, f"{table}-folders")
+        rows.write.parquet(aside)
+        stored = self.spark.read.schema(rows.schema).parquet(aside)
+        writer = stored.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        writer.partitionBy(split_by, "batch").parquet(self.path(table))
+
     def batch_time(self, batch_id: int) -> datetime:
         """When the batch was first tried."""
         path = f"{self.path('batch_times')}/batch={self.batch_key(batch_id)}"

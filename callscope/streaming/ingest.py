@@ -22,7 +22,7 @@ from callscope.operators.enrich import (
     price_stage,
     redact_previews,
 )
-from callscope.operators.matching import first_arrivals, unseen
+from callscope.operators.matching import first_arrivals
 from callscope.schemas import LOG_EVENT_SCHEMA
 from callscope.sources.lookups import load_prices
 from callscope.sources.tables import Warehouse
@@ -56,15 +56,14 @@ def ingest_batch(
     stages: Sequence[Stage] | None = None,
     conversations: DataFrame | None = None,
     created_at: Column | None = None,
-    horizon: str | None = None,
     sketches: bool = False,
 ) -> None:
     """Write one batch of payloads (`payload`, optionally `arrival`) to the warehouse.
 
     An event counts once however often it is delivered: copies inside the batch collapse to the
-    first arrival, and ids stored by other batches are left out.  `horizon` bounds how far back
-    stored ids are looked up, by ingest date; None means the whole log.  `sketches` also keeps
-    latency sketches per hour, provider and model.  The rollup's share is
+    first arrival, and ids stored by other batches are left out.  These are looked up in the index of
+    ids, in the buckets of the batch's own ids; the log is not read, unless it has no index
+    yet.  `sketches` also keeps latency sketches per hour, provider and model.  The rollup's share is
     computed from the rows as stored, so both tables always hold the same events, and since
     every table's batch folder is replaced whole, a repeated batch changes nothing.
     """
@@ -80,13 +79,15 @@ def ingest_batch(
         accepted, rejected = split_rejects(checked)
         warehouse.write("dead_letters", rejected.select("payload", "reject_reason"), batch_id)
 
-        others = warehouse.logs(horizon).where(
-            F.col("batch") != F.lit(warehouse.batch_key(batch_id))
-        )
-        new = unseen(first_arrivals(accepted, "arrival"), others)
+        key, index = warehouse.batch_key(batch_id), warehouse.event_ids()
+        if not index.exists():
+            index.build(warehouse.logs().where(F.col("batch") != F.lit(key)))
+        fresh = first_arrivals(accepted, "arrival")
+        new = fresh.join(index.among(accepted, key), "event_id", "left_anti")
         chain = standard_stages(spark) if stages is None else stages
         rows = to_log_rows(enrich(new.select(*LOG_EVENT_SCHEMA.names), chain), created_at)
         stored = warehouse.append_logs(rows, batch_id)
+        index.add(stored, key)
         warehouse.add_to_rollup(stored, batch_id)
         if sketches:
             warehouse.add_sketches(stored, batch_id)
@@ -113,7 +114,6 @@ def run_ingest(
     stages: Sequence[Stage] | None = None,
     every: str | None = None,
     after_batch: Callable[[Warehouse, int], None] | None = None,
-    horizon: str | None = None,
     created_at: Column | None = None,
     sketches: bool = False,
 ):
@@ -128,7 +128,7 @@ def run_ingest(
     def write(batch: DataFrame, batch_id: int) -> None:
         known = conversations() if conversations else None
         ingest_batch(
-            batch, batch_id, warehouse, stages, known, created_at, horizon, sketches
+            batch, batch_id, warehouse, stages, known, created_at, sketches
         )
         if after_batch:
             after_batch(warehouse, batch_id)
