@@ -618,11 +618,11 @@ bucket(n, request_id, conversation_id, at_ms, tokens, over_rate) AS (
   FROM bucket b JOIN turn t ON t.conversation_id = b.conversation_id AND t.n = b.n + 1)"""
 
 
-#: Stored tables give what the same changes give in memory.
-_SAME = {"stored_updates": "conversation_updates", "stored_creates": "create_missing", "stored_cascade": "cascade_delete"}
+#: Stored tables give what the same changes give in memory, and a batch job what its streamed form gives.
+_SAME = {"bucketed_calls": "streamed_token_bucket", "stored_updates": "conversation_updates", "stored_creates": "create_missing", "stored_cascade": "cascade_delete"}
 
 
 def oracle_sql() -> dict[str, str]:
-    extra = {"streamed_token_bucket": _BUCKET}
+    extra = {"streamed_token_bucket": _BUCKET, "bucketed_calls": _BUCKET}
     every = {**_QUERIES, **{name: _QUERIES[other] for name, other in _SAME.items()}}
     return {name: f"WITH RECURSIVE {_BASE}{extra.get(name, '')}\n{sql}" for name, sql in every.items()}

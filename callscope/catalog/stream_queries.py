@@ -12,6 +12,7 @@ from callscope.catalog import queries as q
 from callscope.catalog import views as v
 from callscope.catalog.queries import _stream_spans, query
 from callscope.functions import timing
+from callscope.operators import governance
 from callscope.session import STATE_STORE, scratch_dir
 from callscope.sources.dimensions import ConversationStore
 from callscope.sources.streams import read_json_files
@@ -240,6 +241,12 @@ def streamed_token_bucket(spark, sf):
     return decided.select("request_id", "conversation_id", "over_rate")
 
 
+@query
+def bucketed_calls(spark, sf):
+    """The same decisions from the whole table at once."""
+    return governance.flag_token_bucket(_requests(spark, sf).drop("_n"), 2, 1 / 256).select("request_id", "conversation_id", "over_rate")
+
+
 @query
 def streamed_cancels(spark, sf):
     """The first cancel in time of each stream: repeats, later ones, and streams open for a day."""

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from callscope.functions import timing
 from callscope.functions.identity import canonical_uuid, payload_uuid
+from callscope.operators.keyed import isolated_join
 from callscope.schemas import INFERENCE_LOG_SCHEMA, LOG_EVENT_SCHEMA, STATUSES
 
 # Spellings accepted for a boolean.
@@ -209,26 +210,14 @@ def check_conversations(checked: DataFrame, conversations: DataFrame) -> DataFra
     """Reject events whose conversation does not exist; events without one pass.
 
     The conversations are first cut down to the ids that the events name, once each, so what
-    meets the events grows with the batch and not with the table.  Events without an id get a
-    key of their own that is spread by hash, and a hot id is split by the adaptive skew join.
+    meets the events grows with the batch and not with the table.  Ids with many events are
+    looked up apart from the others, and events without an id are spread.
     """
     ids = checked.select("conversation_id").where(F.col("conversation_id").isNotNull()).distinct()
-    known = (
-        conversations.select("conversation_id")
-        .join(ids, "conversation_id", "left_semi")
-        .distinct()
-        .select(F.col("conversation_id").alias("_known_id"))
-    )
-    spread = F.concat(F.lit("\0"), F.xxhash64(*checked.columns[:2]).cast("string"))
-    key = F.coalesce(F.col("conversation_id").cast("string"), spread)
-    orphan = F.when(
-        F.col("conversation_id").isNotNull() & F.col("_known_id").isNull(),
-        F.lit("conversation_id: unknown"),
-    )
-    joined = checked.join(known, key == F.col("_known_id").cast("string"), "left").withColumn(
-        "reject_reason", F.coalesce("reject_reason", orphan)
-    )
-    return joined.select(*checked.columns)
+    known = conversations.select("conversation_id").join(ids, "conversation_id", "left_semi").distinct().withColumn("_known", F.lit(True))
+    joined = isolated_join(checked, known, "conversation_id", checked.columns[:2])
+    orphan = F.when(F.col("conversation_id").isNotNull() & F.col("_known").isNull(), F.lit("conversation_id: unknown"))
+    return joined.withColumn("reject_reason", F.coalesce("reject_reason", orphan)).select(*checked.columns)
 
 
 def readmit(letters: DataFrame, conversations: DataFrame) -> tuple[DataFrame, DataFrame]:

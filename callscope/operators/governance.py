@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from callscope.functions.identity import payload_uuid
 from callscope.functions.text import estimated_tokens, preview
 from callscope.operators.conversations import number_messages
 from callscope.operators.enrich import derive_timings
-from callscope.operators.keyed import lookback_window, nth_in_order, with_lookback
+from callscope.operators.keyed import SPREAD, lookback_window, nth_in_order, spread_join, with_lookback
 from callscope.schemas import (
     HISTORY_WINDOW,
     LOG_EVENT_SCHEMA,
@@ -36,15 +38,61 @@ def flag_rate_limited(
     """Add `over_rate`: true from request number limit + 1 on in a (key, bucket).
 
     Rejected requests count too, as the counter moves before any check.  The limit-th request of
-    a bucket is the cutoff, so a busy bucket is compared with one row instead of being sorted.
+    a bucket is the cutoff, so a busy bucket is compared with one row instead of being sorted, in many places.
     """
     bucketed = requests.withColumn("rate_bucket", rate_bucket(F.col(order[0]), bucket_seconds))
     cutoffs = nth_in_order(bucketed, [key, "rate_bucket"], order, limit, name="_cutoff")
-    marked = bucketed.join(cutoffs, [key, "rate_bucket"], "left")
+    marked = spread_join(bucketed, cutoffs, [key, "rate_bucket"], order, max(2, min(SPREAD, limit)))
     late = F.struct(*order) > F.col("_cutoff")
     return marked.withColumn("over_rate", F.coalesce(late, F.lit(False))).drop("_cutoff")
 
 
+def flag_token_bucket(
+    requests: DataFrame, capacity: int, per_minute: float, key: str = "conversation_id", order: tuple[str, str] = ("started_at", "request_id")
+) -> DataFrame:
+    """Add `over_rate` by a bucket per key that holds `capacity` tokens and refills by `per_minute` steadily.
+
+    Each decision depends on the one before, but not across a pause that refills the bucket for certain.  Time is
+    cut into slots as long as a refill; a slot without requests is such a pause.  The runs of used slots are
+    found on distinct slots, and are decided independently.  A run of no more requests than tokens is admitted
+    as it is; others are read in order of time, one level being all that is kept of a run.
+    Requests without a time are not decided: their flag is null.
+    """
+    rate = per_minute / 60.0
+    slot_ms = int(capacity / rate * 1000) + 1
+    timed = requests.withColumn("_at", F.unix_millis(order[0])).withColumn("_slot", F.floor(F.col("_at") / F.lit(slot_ms)))
+    known, unknown = timed.where(F.col("_at").isNotNull()), timed.where(F.col("_at").isNull())
+    used = known.groupBy(F.col(key).alias("_key"), F.col("_slot").alias("_used")).agg(F.count(F.lit(1)).alias("_n"))
+    by_slot = Window.partitionBy("_key").orderBy("_used")
+    first = F.coalesce(F.col("_used") - F.lag("_used").over(by_slot) > 1, F.lit(True))
+    runs = used.withColumn("_first", first).withColumn("_run", F.sum(F.col("_first").cast("long")).over(by_slot))
+    sizes = runs.withColumn("_n", F.sum("_n").over(Window.partitionBy("_key", "_run"))).select("_key", "_used", "_run", "_n")
+    placed = known.join(sizes, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_slot") == F.col("_used"))).drop("_key", "_used", "_slot")
+    busy = placed.where(F.col("_n") > capacity).repartition(key, "_run").sortWithinPartitions(key, "_run", "_at", order[1])
+    schema = T.StructType([*requests.schema.fields, T.StructField("over_rate", T.BooleanType())])
+    decided = busy.select(*requests.columns, "_at", "_run").mapInPandas(_decide_in_order(key, float(capacity), rate), schema)
+    flag = lambda rows, value: rows.select(*requests.columns, F.lit(value).cast("boolean").alias("over_rate"))
+    return decided.union(flag(placed.where(F.col("_n") <= capacity), False)).union(flag(unknown, None))
+
+
+def _decide_in_order(key: str, capacity: float, rate: float):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, tokens, last = None, capacity, 0
+        for batch in batches:
+            over = []
+            keys = batch[key].astype(object).where(batch[key].notna(), None)
+            for own, at in zip(zip(keys, batch["_run"], strict=True), batch["_at"], strict=True):
+                if own != now:
+                    now, tokens, last = own, capacity, at
+                tokens = min(capacity, tokens + (at - last) / 1000 * rate)
+                last = at
+                over.append(tokens < 1.0)
+                tokens -= 0.0 if over[-1] else 1.0
+            yield batch.drop(columns=["_at", "_run"]).assign(over_rate=over)
+
+    return run
+
+
 def flag_over_budget(
     messages: DataFrame,
     max_tokens: int = MAX_INPUT_TOKENS,

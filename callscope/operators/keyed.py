@@ -13,6 +13,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SALTS = 64
+#: Copies of a look-up row in `spread_join`, at most: a hot key's rows go to that many places.
+SPREAD = 32
+#: `isolated_join` takes a key as heavy from this part of all rows on, so there are no more heavy keys than this.
+HEAVY_SHARE = 1000
 SEGMENT_ROWS = 100_000
 
 
@@ -43,15 +47,49 @@ def nth_in_order(
     )
 
 
+def spread_join(rows: DataFrame, lookup: DataFrame, keys: Sequence[str], by: Sequence[str], copies: int = SPREAD, how: str = "left") -> DataFrame:
+    """Join with a thin look-up in which a key has one row, a key's rows spread over `copies` places.
+
+    A look-up that ends in a window or a grouping by the key is dealt out already, and the adaptive skew join
+    can't split what meets it.  Here its rows are copied for every place, and the columns `by` choose a row's
+    place.  For look-ups that have far fewer keys than there are rows.
+    """
+    placed = rows.withColumn("_place", F.pmod(F.xxhash64(*by), F.lit(copies)).cast("int"))
+    copied = lookup.withColumn("_place", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
+    return placed.join(copied, [*keys, "_place"], how).drop("_place")
+
+
+def isolated_join(rows: DataFrame, lookup: DataFrame, key: str, by: Sequence[str]) -> DataFrame:
+    """Left join with a look-up in which a key has one row at most, heavy keys apart from the others.
+
+    Keys with more than one in `HEAVY_SHARE` of all rows are counted first; there are at most that many, so their
+    look-up rows are broadcast.  Their rows, and those without a key, get a key of their own in the
+    shuffle with the rest of the look-up, so no key's rows meet in one task, whatever the look-up's size.
+    """
+    named = rows.where(F.col(key).isNotNull())
+    total = rows.agg(F.count(F.lit(1))).scalar()
+    heavy = named.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") * HEAVY_SHARE > total).select(key)
+    values = [c for c in lookup.columns if c != key]
+    found = F.struct(*[F.col(c) for c in values])
+    top = heavy.join(lookup.select(key, found.alias("_found")), key, "left").select(F.col(key).alias("_heavy"), F.col("_found").alias("_heavy_found"))
+    marked = rows.join(F.broadcast(top), F.col(key) == F.col("_heavy"), "left")
+    alone = F.col(key).isNull() | F.col("_heavy").isNotNull()
+    own = F.struct(alone.alias("alone"), F.when(~alone, F.col(key)).alias("key"), F.when(alone, F.xxhash64(*by)).alias("place"))
+    rest = lookup.select(F.struct(F.lit(False).alias("alone"), F.col(key).alias("key"), F.lit(None).cast("long").alias("place")).alias("_key"), found.alias("_found"))
+    joined = marked.withColumn("_own", own).join(rest, F.col("_own").eqNullSafe(F.col("_key")), "left")
+    got = F.coalesce("_found", "_heavy_found")
+    return joined.select(*rows.columns, *[got.getField(c).alias(c) for c in values])
+
+
 def last_n_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str], n: int) -> DataFrame:
     """The n latest rows of every key, found through a per-key cutoff instead of a full sort.
 
-    Only keys with at least n rows have a cutoff.  Full rows are never ranked, and a skewed
-    key's rows are split by the adaptive skew join.
+    Only keys with at least n rows have a cutoff.  Full rows are never ranked, and a hot
+    key's rows are spread over many places where they meet its cutoff.
     """
     keys = list(keys)
     cutoffs = nth_in_order(df, keys, order, n, descending=True, name="_cutoff")
-    kept = df.join(cutoffs, keys, "left")
+    kept = spread_join(df, cutoffs, keys, order, max(2, min(SPREAD, n)))
     late_enough = F.col("_cutoff").isNull() | (F.struct(*order) >= F.col("_cutoff"))
     return kept.where(late_enough).drop("_cutoff")
 
@@ -75,7 +113,7 @@ def with_lookback(
     )
     newest = Window.partitionBy(key, "_segment").orderBy(F.col(seq).desc())
     tails = (
-        own.join(long_keys, key, "left_semi")
+        spread_join(own, long_keys, [key], [key, seq], how="left_semi")
         .withColumn("_rn", F.row_number().over(newest))
         .where(F.col("_rn") <= n)
         .drop("_rn")
