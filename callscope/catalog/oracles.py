@@ -559,6 +559,9 @@ WHERE started_at <= TIMESTAMP '{AS_OF}' AND started_at > TIMESTAMP '{AS_OF}' - I
 FROM calls c JOIN spans s ON s.request_id = c.event_id
 WHERE c.event_id % 10 <> 9
   AND c.started_at + (c.event_id % 7) * INTERVAL 1 SECOND <= s.ended_at""",
+    "replayed_rate_limit": """SELECT CAST(event_id AS VARCHAR) AS request_id, row_number() OVER (
+    PARTITION BY user_id, epoch_us(started_at) // 86400000000
+    ORDER BY event_id % 2, epoch_us(started_at), CAST(event_id AS VARCHAR)) > 2 AS over_rate FROM calls""",
     "stored_detach": f"""SELECT provider, status, count(*) AS n,
   count(*) FILTER (WHERE right({_uuid('conversation-', 'conversation_id')}, 1) >= '5') AS attached
 FROM logs WHERE event_id IN (SELECT event_id FROM odd WHERE reject_reason IS NULL) GROUP BY ALL""",
@@ -619,7 +622,10 @@ bucket(n, request_id, conversation_id, at_ms, tokens, over_rate) AS (
 
 
 #: Stored tables give what the same changes give in memory, and a batch job what its streamed form gives.
-_SAME = {"bucketed_calls": "streamed_token_bucket", "stored_updates": "conversation_updates", "stored_creates": "create_missing", "stored_cascade": "cascade_delete"}
+_SAME = {
+    "bucketed_calls": "streamed_token_bucket", "replayed_streams": "tracked_streams", "replayed_cancels": "streamed_cancels",
+    "stored_updates": "conversation_updates", "stored_creates": "create_missing", "stored_cascade": "cascade_delete",
+}
 
 
 def oracle_sql() -> dict[str, str]:

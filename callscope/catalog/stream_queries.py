@@ -25,6 +25,8 @@ from callscope.streaming.state import limit_rate, token_bucket, track_streams
 
 # Arrival times of the triggers; the last one is past every timer.
 _ARRIVALS = ("2023-12-30 00:00:00", "2023-12-30 00:00:10", "2030-01-01 00:00:00")
+# The same, two months after the events.
+_REPLAYED = ("2024-03-30 00:00:00", "2024-03-30 00:00:10", "2030-01-01 00:00:00")
 # The stored events span a month, in no particular order.
 _ANY_ORDER = "60 days"
 
@@ -50,11 +52,11 @@ def _in_triggers(spark: SparkSession, parts: Sequence[DataFrame], label: str, jo
     return spark.read.schema(out.schema).parquet(f"{folder}/out")
 
 
-def _dealt(rows: DataFrame, trigger: Column, repeated: Column) -> list[DataFrame]:
+def _dealt(rows: DataFrame, trigger: Column, repeated: Column, arrivals: Sequence[str] = _ARRIVALS) -> list[DataFrame]:
     """Rows by trigger number (0 or 1) with their arrival; repeated ones come in both."""
     dealt = rows.withColumn("_trigger", trigger).withColumn("_again", repeated)
     parts = []
-    for n, at in enumerate(_ARRIVALS[:2]):
+    for n, at in enumerate(arrivals[:2]):
         own = (F.col("_trigger") == n) | (F.col("_again"))
         parts.append(dealt.where(own).drop("_trigger", "_again").withColumn("arrived_at", F.lit(at).cast("timestamp")))
     return parts
@@ -197,9 +199,7 @@ def streamed_dedup(spark, sf):
     return once.select("event_id", "status")
 
 
-@query
-def tracked_streams(spark, sf):
-    """Registry changes of every stream: repeats, ends before their starts, and streams that never end."""
+def _tracked(spark, sf, arrivals):
     starts, ends = _stream_spans(spark, sf)
     name = F.col("request_id").cast("string").alias("request_id")
     begun = starts.select(name, F.lit("start").alias("kind"), F.col("started_at").alias("at"), F.col("request_id").alias("_n"))
@@ -207,12 +207,24 @@ def tracked_streams(spark, sf):
     done = ends.where(F.col("request_id") % 3 != 0).select(name, F.lit("end").alias("kind"), F.col("ended_at").alias("at"), F.col("request_id").alias("_n"))
     ahead = (F.col("_n") % 5 == 1) == (F.col("kind") == "end")
     trigger = F.when(ahead | (F.col("_n") % 7 == 0), 0).otherwise(1)
-    parts = [p.drop("_n") for p in _dealt(begun.unionByName(done), trigger, F.col("_n") % 4 == 0)]
+    parts = [p.drop("_n") for p in _dealt(begun.unionByName(done), trigger, F.col("_n") % 4 == 0, arrivals)]
     flush = begun.limit(0).drop("_n").unionByName(spark.range(1).select(F.lit("flush").alias("request_id"), F.lit("start").alias("kind"), F.lit("2030-01-01").cast("timestamp").alias("at")))
     changes = _in_triggers(spark, [*parts, _last(flush)], "registry", track_streams)
     return changes.where("request_id <> 'flush'").select("request_id", "change")
 
 
+@query
+def tracked_streams(spark, sf):
+    """Registry changes of every stream: repeats, ends before their starts, and streams that never end."""
+    return _tracked(spark, sf, _ARRIVALS)
+
+
+@query
+def replayed_streams(spark, sf):
+    """The same changes from a replay two months later."""
+    return _tracked(spark, sf, _REPLAYED)
+
+
 def _requests(spark, sf) -> DataFrame:
     return v.inference_events(spark, sf).select(
         F.col("event_id").cast("string").alias("request_id"),
@@ -232,6 +244,13 @@ def streamed_rate_limit(spark, sf):
     )
 
 
+@query
+def replayed_rate_limit(spark, sf):
+    """Every call's decision in a replay two months later: first come, first admitted, by time within a trigger."""
+    parts = [p.drop("_n") for p in _dealt(_requests(spark, sf), F.col("_n"), F.lit(False), _REPLAYED)]
+    return _in_triggers(spark, parts, "rate", lambda s: limit_rate(s, 2, 86_400)).select("request_id", "over_rate")
+
+
 @query
 def streamed_token_bucket(spark, sf):
     """Every call's decision by a bucket of two tokens that refills once in four hours."""
@@ -247,9 +266,7 @@ def bucketed_calls(spark, sf):
     return governance.flag_token_bucket(_requests(spark, sf).drop("_n"), 2, 1 / 256).select("request_id", "conversation_id", "over_rate")
 
 
-@query
-def streamed_cancels(spark, sf):
-    """The first cancel in time of each stream: repeats, later ones, and streams open for a day."""
+def _cancelled(spark, sf, arrivals):
     starts, ends = _stream_spans(spark, sf)
     asked = v.inference_events(spark, sf).select(
         F.col("event_id").cast("string").alias("request_id"),
@@ -259,9 +276,21 @@ def streamed_cancels(spark, sf):
     later = asked.where("_n = 0").withColumn("cancel_ts", v.plus_seconds(F.col("cancel_ts"), F.lit(7200)))
     spans = starts.join(ends, "request_id").select(F.col("request_id").cast("string").alias("request_id"), "started_at", "ended_at", (F.col("request_id") % 3).alias("_n"))
     rows = later.unionByName(asked).unionByName(spans, allowMissingColumns=True)
-    parts = _dealt(rows, F.when(F.col("cancel_ts").isNull(), (F.col("_n") + 1) % 2).otherwise(F.col("_n") % 2), F.col("_n") == 2)
+    parts = _dealt(rows, F.when(F.col("cancel_ts").isNull(), (F.col("_n") + 1) % 2).otherwise(F.col("_n") % 2), F.col("_n") == 2, arrivals)
     flush = spark.range(1).select(F.lit("flush").alias("request_id"), F.lit("2030-01-01").cast("timestamp").alias("cancel_ts"))
     empty = rows.drop("_n").limit(0)
     split = lambda s: match_cancels_live(s.where("cancel_ts is not null"), s.where("cancel_ts is null"))
     found = _in_triggers(spark, [*(p.drop("_n") for p in parts), _last(empty.unionByName(flush, allowMissingColumns=True))], "cancels", split)
     return found.select("request_id", "cancel_ts")
+
+
+@query
+def streamed_cancels(spark, sf):
+    """The first cancel in time of each stream: repeats, later ones, and streams open for a day."""
+    return _cancelled(spark, sf, _ARRIVALS)
+
+
+@query
+def replayed_cancels(spark, sf):
+    """The same cancels from a replay two months later."""
+    return _cancelled(spark, sf, _REPLAYED)

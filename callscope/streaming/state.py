@@ -5,6 +5,9 @@ clock of the timers is the arrival (`arrived_at`, or the time of the micro-batch
 runs late, so no row is dropped before it reaches its processor, however old its event is.  An
 own `arrived_at` must not decrease from one micro-batch to the next.
 
+Timers never run ahead of a replay: what a key needs to remember is kept for its time after the event or after its
+arrival, whichever is later.  So events that come long after they happened meet the same state as live ones.
+
 A key's rows of a micro-batch reach the processor as an iterator of Arrow batches.  Results don't
 depend on where these are cut.
 """
@@ -29,7 +32,7 @@ def arriving(events: DataFrame) -> DataFrame:
     """Rows with `arrived_at` as the watermark column."""
     if "arrived_at" not in events.columns:
         events = events.withColumn("arrived_at", F.current_timestamp())
-    return events.withWatermark("arrived_at", "1 second")
+    return events.withColumn("arrived_ms", F.unix_millis("arrived_at")).withWatermark("arrived_at", "1 second")
 
 
 def _timers(rows: DataFrame, processor: StatefulProcessor, output: str) -> DataFrame:
@@ -51,37 +54,40 @@ class _LiveStream(StatefulProcessor):
 
     def init(self, handle) -> None:
         self._handle = handle
-        self._state = handle.getValueState("stream", "started_ms long, ended_ms long, open boolean")
+        self._state = handle.getValueState("stream", "started_ms long, ended_ms long, open boolean, due_ms long")
 
     def _row(self, request_id, change, ms) -> pd.DataFrame:
         return pd.DataFrame({"request_id": [request_id], "change": [change], "at_ms": [ms]})
 
     def handleInputRows(self, key, rows, timerValues):
-        started, ended, is_open = self._state.get() if self._state.exists() else (_NEVER, _NEVER, False)
+        started, ended, is_open, due = self._state.get() if self._state.exists() else (_NEVER, _NEVER, False, _NEVER)
         starts, ends = [], [] if ended == _NEVER else [ended]
+        now = _NEVER
         for batch in rows:
+            now = max(now, int(batch["arrived_ms"].max()))
             starts += batch.loc[batch["kind"] == "start", "at_ms"].nsmallest(1).tolist()
             ends += batch.loc[batch["kind"] == "end", "at_ms"].nsmallest(1).tolist()
         if started == _NEVER and starts:
             started, is_open = int(min(starts)), True
-            self._handle.registerTimer(started + self._keep_ms)
+            due = max(started, now) + self._keep_ms
+            self._handle.registerTimer(due)
             yield self._row(key[0], "registered", started)
         if ends and ended == _NEVER and started == _NEVER:
-            self._handle.registerTimer(int(min(ends)) + self._keep_ms)
+            due = max(int(min(ends)), now) + self._keep_ms
+            self._handle.registerTimer(due)
         ended = int(min(ends)) if ends else _NEVER
         if is_open and ended != _NEVER:
             # An end that comes after the time to live finds the stream already gone.
             expiry = started + self._ttl_ms
             is_open = False
             yield self._row(key[0], "expired" if ended > expiry else "ended", min(ended, expiry))
-        self._state.update((started, ended, is_open))
+        self._state.update((started, ended, is_open, due))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         if not self._state.exists():
             return
-        started, ended, is_open = self._state.get()
-        fired = int(expiredTimerInfo.getExpiryTimeInMs())
-        if fired < (ended if started == _NEVER else started) + self._keep_ms:
+        started, _, is_open, due = self._state.get()
+        if int(expiredTimerInfo.getExpiryTimeInMs()) < due:
             return
         self._state.clear()
         if is_open:
@@ -118,23 +124,29 @@ class _FirstCancel(StatefulProcessor):
 
     def init(self, handle) -> None:
         self._handle = handle
-        self._span = handle.getValueState("span", "started_us long, ended_us long")
+        self._span = handle.getValueState("span", "started_us long, ended_us long, due_ms long")
         self._asked = handle.getListState("asked", "at_us long")
+        self._asked_due = handle.getValueState("asked_due", "due_ms long")
 
     def handleInputRows(self, key, rows, timerValues):
         asked = {row[0] for row in self._asked.get()} if self._asked.exists() else set()
         span = self._span.get() if self._span.exists() else None
+        now = _NEVER
         for batch in rows:
+            now = max(now, int(batch["arrived_ms"].max()))
             spans = batch[batch["kind"] == "span"]
             if span is None and len(spans):
-                span = int(spans["started_us"].min()), int(spans["ended_us"].min())
+                ended = int(spans["ended_us"].min())
+                span = int(spans["started_us"].min()), ended, max(ended // 1000, now) + self._lateness_ms
                 self._span.update(span)
-                self._handle.registerTimer(span[1] // 1000 + self._lateness_ms)
+                self._handle.registerTimer(span[2])
             asked |= {int(x) for x in batch.loc[batch["kind"] == "cancel", "at_us"].unique()}
         if span is not None:
             asked = set(sorted(x for x in asked if span[0] <= x <= span[1])[:1])
         elif asked:
-            self._handle.registerTimer(max(asked) // 1000 + self._wait_ms)
+            due = max(max(asked) // 1000, now) + self._wait_ms
+            self._asked_due.update((due,))
+            self._handle.registerTimer(due)
         self._asked.put([(x,) for x in asked]) if asked else self._asked.clear()
         return iter(())
 
@@ -142,13 +154,15 @@ class _FirstCancel(StatefulProcessor):
         fired = int(expiredTimerInfo.getExpiryTimeInMs())
         asked = [row[0] for row in self._asked.get()] if self._asked.exists() else []
         if self._span.exists():
-            if fired >= self._span.get()[1] // 1000 + self._lateness_ms:
+            if fired >= self._span.get()[2]:
                 self._span.clear()
                 self._asked.clear()
+                self._asked_due.clear()
                 if asked:
                     yield pd.DataFrame({"request_id": [key[0]], "cancel_us": [min(asked)]})
-        elif asked and fired >= max(asked) // 1000 + self._wait_ms:
+        elif asked and fired >= self._asked_due.get()[0]:
             self._asked.clear()
+            self._asked_due.clear()
 
     def close(self) -> None:
         pass
@@ -181,24 +195,27 @@ class _RateCounter(StatefulProcessor):
 
     def init(self, handle) -> None:
         self._handle = handle
-        self._seen = handle.getValueState("seen", "n long")
+        self._seen = handle.getValueState("seen", "n long, due_ms long")
 
     def handleInputRows(self, key, rows, timerValues):
-        fresh = not self._seen.exists()
-        seen = 0 if fresh else self._seen.get()[0]
+        seen, due = self._seen.get() if self._seen.exists() else (0, _NEVER)
+        now = _NEVER
         free = max(self._limit - seen, 0)
         held = None
         for batch in rows:
             seen += len(batch)
+            now = max(now, int(batch["arrived_ms"].max()))
             batch = batch[["request_id", "at_us"]]
             held = (batch if held is None else pd.concat([held, batch])).sort_values(["at_us", "request_id"])
             yield self._decided(key, held.iloc[free:], True)
             held = held.iloc[:free]
         if held is not None:
             yield self._decided(key, held, False)
-        self._seen.update((seen,))
-        if fresh:
-            self._handle.registerTimer((int(key[1]) + 1) * self._bucket_ms + self._lateness_ms)
+        later = max((int(key[1]) + 1) * self._bucket_ms, now) + self._lateness_ms
+        if later > due:
+            due = later
+            self._handle.registerTimer(due)
+        self._seen.update((seen, due))
 
     def _decided(self, key, rows, over: bool) -> pd.DataFrame:
         return pd.DataFrame(
@@ -206,7 +223,8 @@ class _RateCounter(StatefulProcessor):
         )
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        self._seen.clear()
+        if self._seen.exists() and int(expiredTimerInfo.getExpiryTimeInMs()) >= self._seen.get()[1]:
+            self._seen.clear()
         return iter(())
 
     def close(self) -> None:
@@ -252,15 +270,15 @@ class _TokenBucket(StatefulProcessor):
 
     def init(self, handle) -> None:
         self._handle = handle
-        self._level = handle.getValueState("level", "tokens double, at_ms long")
+        self._level = handle.getValueState("level", "tokens double, at_ms long, due_ms long")
         self._waiting = handle.getListState("waiting", "at_ms long, request_id string")
 
     def _due(self, at: int) -> int:
         """When a request is decided, in whole seconds, so that many share a timer."""
         return -(-(at + self._lateness_ms) // 1000) * 1000
 
-    def _decide(self, key, requests: list[tuple[int, str]]) -> Iterator[pd.DataFrame]:
-        tokens, last = self._level.get() if self._level.exists() else (self._capacity, None)
+    def _decide(self, key, requests: list[tuple[int, str]], now: int) -> Iterator[pd.DataFrame]:
+        tokens, last, _ = self._level.get() if self._level.exists() else (self._capacity, None, _NEVER)
         over = []
         for at, _ in requests:
             gained = 0.0 if last is None else max(at - last, 0) / 1000 * self._rate
@@ -269,14 +287,17 @@ class _TokenBucket(StatefulProcessor):
             over.append(tokens < 1.0)
             tokens -= 0.0 if over[-1] else 1.0
         if requests:
-            self._level.update((float(tokens), int(last)))
-            self._handle.registerTimer(self._due(int(last) + self._refill_ms))
+            due = self._due(max(int(last), now) + self._refill_ms)
+            self._level.update((float(tokens), int(last), due))
+            self._handle.registerTimer(due)
             yield pd.DataFrame({"request_id": [r for _, r in requests], "conversation_id": key[0], "over_rate": over})
 
     def handleInputRows(self, key, rows, timerValues):
         now = int(timerValues.getCurrentWatermarkInMs())
         late: list[tuple[int, str]] = []
+        arrived = _NEVER
         for batch in rows:
+            arrived = max(arrived, int(batch["arrived_ms"].max()))
             here = list(zip(batch["at_ms"].tolist(), batch["request_id"].tolist(), strict=True))
             late += [r for r in here if self._due(r[0]) <= now]
             wait = [r for r in here if self._due(r[0]) > now]
@@ -284,7 +305,7 @@ class _TokenBucket(StatefulProcessor):
                 self._handle.registerTimer(due)
             if wait:
                 self._waiting.appendList(wait)
-        yield from self._decide(key, sorted(late))
+        yield from self._decide(key, sorted(late), arrived)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         fired = int(expiredTimerInfo.getExpiryTimeInMs())
@@ -293,8 +314,8 @@ class _TokenBucket(StatefulProcessor):
         if ready:
             rest = [r for r in waiting if self._due(r[0]) > fired]
             self._waiting.put(rest) if rest else self._waiting.clear()
-            yield from self._decide(key, ready)
-        elif self._level.exists() and not waiting and fired >= self._due(self._level.get()[1] + self._refill_ms):
+            yield from self._decide(key, ready, fired)
+        elif self._level.exists() and not waiting and fired >= self._level.get()[2]:
             self._level.clear()  # full again, which is how a new key starts
 
     def close(self) -> None:
