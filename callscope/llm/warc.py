@@ -47,8 +47,10 @@ RECORDS = (
 
 def dictionary(payloads: DataFrame, payload: str) -> bytes:
     """Trained on a bounded sample, the heads of `SAMPLES` payloads; none if they are too few or too alike."""
-    heads = payloads.select(F.substring(payload, 1, SAMPLE_CHARS).alias("head")).where("length(head) > 0")
-    rows = heads.distinct().orderBy(F.xxhash64("head"), "head").limit(SAMPLES).collect()
+    heads = payloads.select(F.substring(payload, 1, SAMPLE_CHARS).alias("head")).where("length(head) > 0").withColumn("hash", F.xxhash64("head"))
+    # The sample's bound is found on hashes alone, so tasks hand over no heads but those that are taken.
+    bound = heads.select("hash").distinct().orderBy("hash").limit(SAMPLES).agg(F.max("hash")).first()[0]
+    rows = [] if bound is None else heads.where(F.col("hash") <= bound).distinct().orderBy("hash", "head").collect()
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, [r["head"].encode() for r in rows]).as_bytes()
     except zstandard.ZstdError:
