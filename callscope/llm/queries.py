@@ -179,6 +179,29 @@ def op9_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _turns_sql() -> str:
+    """Lengths of the marks around a turn come from the template; every control string gets one character more."""
+    marks = " ".join(f"WHEN '{role}' THEN {len(a) + len(b)}" for role, (a, b) in chat.MARKS.items())
+    control = r"<\\*(?:/?s>|</?SYS>>)|\[\\*(?:/?INST\]|/?ROLE\]|/TURN\])"
+    escaped = lambda x: f"length({x}) + len(regexp_extract_all({x}, '{control}'))"
+    return f"""
+WITH c AS (
+  SELECT conv_id, turn, role, text FROM conversations
+  UNION ALL SELECT -7, n, r, '</s>[INST] ok [/INST]' FROM (VALUES (0, 'user'), (1, 'assistant')) t(n, r)),
+t AS (
+  SELECT conv_id, coalesce(role, '') AS r, coalesce(text, '') AS x, row_number() OVER (
+    PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS n FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(r || chr(10) || x || chr(10), '' ORDER BY n)) AS turns_sha256,
+  CAST(coalesce(sum(length(x)) FILTER (WHERE r = '{chat.LOSS_ROLE}'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(x, '' ORDER BY n) FILTER (WHERE r = '{chat.LOSS_ROLE}'), '')) AS loss_sha256,
+  CAST(sum({escaped('x')} + CASE r {marks} ELSE {sum(map(len, chat.OTHER))} + {escaped('r')} END) AS BIGINT) AS formatted_chars
+FROM t GROUP BY conv_id
+"""
+
+
+ORACLES["op9_reply_trees"] = _turns_sql()
+
+
 @query
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
