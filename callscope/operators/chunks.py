@@ -122,7 +122,9 @@ def _gemini() -> Column:
     finished = _get("$.candidates[0].finishReason", "string").isin("STOP", "MAX_TOKENS")
     tokens_in = _get("$.usageMetadata.promptTokenCount", "int")
     tokens_out = _get("$.usageMetadata.candidatesTokenCount", "int")
-    usage = tokens_in.isNotNull() | tokens_out.isNotNull()
+    told = F.to_json(_get("$.usageMetadata", "variant"))
+    # Any usage that isn't empty counts, also one with neither of the two counts.
+    usage = told.isNotNull() & ~told.isin("{}", "null")
     ends = F.coalesce(finished, F.lit(False))
     # One line may carry text, usage and the end at once, in this order.
     return _some(

@@ -142,3 +142,11 @@ def test_responses(spark):
     assert (got["a"].content, got["a"].input_tokens, got["a"].output_tokens) == ("hey", 3, 0)
     assert got["b"].content == "No content returned" and got["b"].action_status == "SUCCESS"
     assert got["c"].action_status == "ERROR" and got["c"].error_message == "slow down"
+
+
+def test_gemini_usage_without_either_count(spark):
+    """Usage that isn't empty is a chunk of its own, whatever it holds; empty or null usage is none."""
+    lines = ['{"usageMetadata":{"totalTokenCount":9}}', '{"usageMetadata":{}}', '{"usageMetadata":null}', '{"usageMetadata":{"promptTokenCount":null}}']
+    rows = [("g", "gemini", n, T0, f"data: {line}") for n, line in enumerate(lines)]
+    found = ch.normalise_lines(spark.createDataFrame(rows, SCHEMA)).orderBy("seq").collect()
+    assert [(r.seq, r.type, r.input_tokens, r.output_tokens) for r in found] == [(0, "metadata", None, None), (3, "metadata", None, None)]
