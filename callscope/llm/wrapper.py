@@ -16,7 +16,8 @@ Pages with equal candidate texts count once, so copies of one article don't make
 needs `MIN_PAGES` different pages before anything counts as constant.
 
 A null page is empty and gives an empty text; a page without a host, or whose tree matches its pivot badly, is
-judged by its own markup alone.  Repeated rows are extracted once each.
+judged by its own markup alone.  Repeated rows are extracted once each.  Pages of many thousand blocks are
+aligned like others: see `match` for what that takes.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ import re
 from collections.abc import Iterator
 from hashlib import blake2b
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -38,6 +40,8 @@ CONSTANT = 0.8
 MIN_MATCH = 0.3
 #: Blocks nested deeper than this become part of the one at this depth.
 MAX_DEPTH = 200
+#: Sums of one alignment that are kept at a time.
+CELLS = 1 << 21
 #: Wrappers of up to this many bytes in all are broadcast; more are joined to the pages by host.
 BROADCAST_BYTES = 8 << 20
 
@@ -71,7 +75,7 @@ OTHER_NAME, EDGE_NAME = (re.compile(rf"(?:^|\s){words}(?:$|\s)", re.I) for words
 STATES = re.compile(r"(?:^|(?<=\s))(?:has|no|with|without)[_-]\S*", re.I)
 OTHER_ROLES = set("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 _TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?/][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S
+    r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?/][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>", re.S
 )
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 
@@ -82,11 +86,11 @@ class Node:
     `named` is what `named_other` says of it; `articles` and `main` tell of the outermost article and main elements in it.
     """
 
-    __slots__ = ("label", "tag", "children", "texts", "skip", "article", "named", "articles", "main")
+    __slots__ = ("label", "tag", "children", "texts", "skip", "article", "named", "articles", "main", "form")
 
     def __init__(self, label: str, tag: str, skip: bool, article: bool, named: int = 0):
         self.label, self.tag, self.skip, self.article, self.named = label, tag, skip, article, named
-        self.articles, self.main = 0, False
+        self.articles, self.main, self.form = 0, False, -1
         self.children: list[Node] = []
         self.texts: list[tuple[int, str]] = []
 
@@ -228,15 +232,18 @@ def parse(page: str, names: bool = True) -> Node:
     return parse(page, False) if said[True] > said[False] else root
 
 
-def fold(node: Node) -> Node:
-    """Runs of siblings with equal label, and equal labels below, become one node."""
+def fold(node: Node, forms: dict[tuple, int] | None = None) -> Node:
+    """Runs of siblings with equal label, and equal labels below, become one node.  Equal trees of labels have one `form`."""
+    forms = {} if forms is None else forms
     kept: list[Node] = []
-    for child in map(fold, node.children):
-        if kept and shape(kept[-1]) == shape(child):
+    for child in node.children:
+        fold(child, forms)
+        if kept and kept[-1].form == child.form:
             join(kept[-1], child)
         else:
             kept.append(child)
     node.children = kept
+    node.form = forms.setdefault((node.label, *(c.form for c in kept)), len(forms))
     return node
 
 
@@ -269,45 +276,137 @@ def outline(node: Node) -> list:
     return [node.label, digest([t for _, t in node.texts]) if node.texts else "", [outline(c) for c in node.children]]
 
 
-def match(a: list, b: list) -> tuple[int, list[tuple[int, int]]]:
-    """Simple tree matching of two outlines: size of the largest match, and its pairs of node numbers."""
-    sizes: dict[int, int] = {}
-
-    def size(x: list) -> int:
-        if id(x) not in sizes:
-            sizes[id(x)] = 1 + sum(map(size, x[2]))
-        return sizes[id(x)]
-
-    def best(x: list, y: list, nx: int, ny: int) -> tuple[int, list[tuple[int, int]]]:
-        if x[0] != y[0]:
-            return 0, []
-        left, right = x[2], y[2]
-        starts_x, starts_y = [nx + 1], [ny + 1]
-        for c in left:
-            starts_x.append(starts_x[-1] + size(c))
-        for c in right:
-            starts_y.append(starts_y[-1] + size(c))
-        rows = [[0] * (len(right) + 1) for _ in range(len(left) + 1)]
-        found: dict[tuple[int, int], list[tuple[int, int]]] = {}
-        weights: dict[tuple[int, int], int] = {}
-        for i, c in enumerate(left, 1):
-            for j, d in enumerate(right, 1):
-                w, pairs = best(c, d, starts_x[i - 1], starts_y[j - 1]) if c[0] == d[0] else (0, [])
-                if w:
-                    found[i, j], weights[i, j] = pairs, w
-                rows[i][j] = max(rows[i - 1][j], rows[i][j - 1], rows[i - 1][j - 1] + w)
-        pairs, i, j = [(nx, ny)], len(left), len(right)
+class Forms:
+    """Trees of labels by number, and the sizes of the largest matches of two of them."""
+
+    def __init__(self):
+        self.numbers: dict[tuple, int] = {}
+        self.labels: list[str] = []
+        self.below: list[list[int]] = []
+        self.sizes: list[int] = []
+        self.known: dict[tuple[int, int], int] = {}
+
+    def read(self, x: list, number: Iterator[int]) -> tuple[int, int, list]:
+        """An outline as (form, node number, children)."""
+        mine = next(number)
+        children = [self.read(c, number) for c in x[2]]
+        forms = [c[0] for c in children]
+        form = self.numbers.setdefault((x[0], *forms), len(self.numbers))
+        if form == len(self.labels):
+            self.labels.append(x[0])
+            self.below.append(forms)
+            self.sizes.append(1 + sum(self.sizes[f] for f in forms))
+        return form, mine, children
+
+    def weight(self, f: int, g: int) -> int:
+        if f == g:
+            return self.sizes[f]
+        if self.labels[f] != self.labels[g]:
+            return 0
+        if not (self.below[f] and self.below[g]):
+            return 1
+        if (f, g) not in self.known:
+            xs, ys = self.below[f], self.below[g]
+            start, end = ends(xs, ys)
+            same = sum(self.sizes[x] for x in xs[:start]) + sum(self.sizes[x] for x in xs[len(xs) - end :])
+            xs, ys = xs[start : len(xs) - end], ys[start : len(ys) - end]
+            self.known[f, g] = 1 + same + (int(self.table(xs, ys).last(xs, ys)[-1]) if xs and ys else 0)
+        return self.known[f, g]
+
+    def table(self, xs: list[int], ys: list[int]) -> Weights:
+        kinds = sorted(set(ys))
+        return Weights({x: np.array([self.weight(x, y) for y in kinds], np.int32) for x in set(xs)}, {y: i for i, y in enumerate(kinds)})
+
+
+def ends(xs: list[int], ys: list[int]) -> tuple[int, int]:
+    """Lengths of the equal start and end of two lists.  Matching these loses nothing, as no node can match more than itself."""
+    most = min(len(xs), len(ys))
+    end = next((i for i in range(most) if xs[-1 - i] != ys[-1 - i]), most)
+    start = next((i for i in range(most - end) if xs[i] != ys[i]), most - end)
+    return start, end
+
+
+class Weights:
+    """Alignment of two lists of siblings with the largest sum of weights."""
+
+    def __init__(self, table: dict[int, np.ndarray], kinds: dict[int, int]):
+        self.table, self.kinds = table, kinds
+        self.ones = all(w.max() <= 1 for w in table.values())
+
+    def codes(self, ys: list[int]) -> np.ndarray:
+        return np.fromiter((self.kinds[y] for y in ys), np.int64, len(ys))
+
+    def rows(self, xs: list[int], ys: list[int]) -> Iterator[np.ndarray]:
+        """After each of xs, the best sum for every start of ys."""
+        codes, row = self.codes(ys), np.zeros(len(ys) + 1, np.int32)
+        for x in xs:
+            new = row.copy()
+            np.maximum(row[1:], row[:-1] + self.table[x][codes], out=new[1:])
+            row = np.maximum.accumulate(new, out=new)
+            yield row
+
+    def last(self, xs: list[int], ys: list[int]) -> np.ndarray:
+        """The last of `rows`.  Weights of 0 and 1 are steps: one bit for each of ys, cleared where the row rises."""
+        if not self.ones or len(ys) < 64:
+            row = np.zeros(len(ys) + 1, np.int32)
+            for row in self.rows(xs, ys):  # noqa: B007 - the last one counts
+                pass
+            return row
+        codes, masks = self.codes(ys), {}
+        for x, weights in self.table.items():
+            masks[x] = int.from_bytes(np.packbits(weights[codes].astype(bool), bitorder="little").tobytes(), "little")
+        every = (1 << len(ys)) - 1
+        flat = every
+        for x in xs:
+            hit = flat & masks[x]
+            flat = ((flat + hit) | (flat - hit)) & every
+        bits = np.unpackbits(np.frombuffer(flat.to_bytes((len(ys) + 7) // 8, "little"), np.uint8), bitorder="little")[: len(ys)]
+        return np.concatenate(([0], np.cumsum(1 - bits.astype(np.int32)))).astype(np.int32)
+
+    def align(self, xs: list[int], ys: list[int], at: tuple[int, int]) -> Iterator[tuple[int, int]]:
+        """Places that are matched.  Lists too long for a table of all sums are cut where two halves add up best."""
+        if len(xs) > 1 and len(xs) * len(ys) > CELLS:
+            half = len(xs) // 2
+            sums = self.last(xs[:half], ys) + self.last(xs[half:][::-1], ys[::-1])[::-1]
+            cut = int(sums.argmax())
+            yield from self.align(xs[:half], ys[:cut], at)
+            yield from self.align(xs[half:], ys[cut:], (at[0] + half, at[1] + cut))
+            return
+        rows = [np.zeros(len(ys) + 1, np.int32), *self.rows(xs, ys)]
+        i, j = len(xs), len(ys)
         while i and j:
-            if (i, j) in found and rows[i][j] == rows[i - 1][j - 1] + weights[i, j]:
-                pairs += found[i, j]
+            w = self.table[xs[i - 1]][self.kinds[ys[j - 1]]]
+            if w and rows[i][j] == rows[i - 1][j - 1] + w:
                 i, j = i - 1, j - 1
+                yield at[0] + i, at[1] + j
             elif rows[i][j] == rows[i - 1][j]:
                 i -= 1
             else:
                 j -= 1
-        return rows[len(left)][len(right)] + 1, pairs
 
-    return best(a, b, 0, 0)
+
+def match(a: list, b: list) -> tuple[int, list[tuple[int, int]]]:
+    """Simple tree matching of two outlines: size of the largest match, and its pairs of node numbers.
+
+    Two trees of labels are compared once however often they occur, equal starts and ends of two lists of siblings
+    are matched at once, and what lies between takes memory in proportion to the lists, not to their product.
+    """
+    forms = Forms()
+    x, y = (forms.read(tree, iter(range(1 << 62))) for tree in (a, b))
+    total = forms.weight(x[0], y[0])
+    pairs: list[tuple[int, int]] = []
+    open_pairs = [(x, y)] if total else []
+    while open_pairs:
+        (_, nx, left), (_, ny, right) = open_pairs.pop()
+        pairs.append((nx, ny))
+        xs, ys = [c[0] for c in left], [c[0] for c in right]
+        start, end = ends(xs, ys)
+        open_pairs += zip(left[:start], right[:start], strict=True)
+        open_pairs += zip(left[len(xs) - end :], right[len(ys) - end :], strict=True)
+        xs, ys = xs[start : len(xs) - end], ys[start : len(ys) - end]
+        if xs and ys:
+            open_pairs += ((left[i], right[j]) for i, j in forms.table(xs, ys).align(xs, ys, (start, start)))
+    return total, pairs
 
 
 def alike(total: int, a: int, b: int) -> bool:
@@ -329,22 +428,23 @@ def candidates(root: Node, template: set[int] | frozenset[int] = frozenset()) ->
 
     visit(root, ())
 
-    def within(some: list, node: Node) -> int:
-        return sum(x[3] for x in some if any(a is node for a in x[2]))
-
-    def outside(node: Node) -> int:
-        return sum(x[3] for x in slots if x[1].article and not any(a is node for a in x[2]))
-
     for strength in (2, 1):
         total = sum(x[3] for x in slots)
-        largest = max(slots, key=lambda x: x[3])[2] if total else ()
+        in_articles = sum(x[3] for x in slots if x[1].article)
+        largest = {id(a) for a in max(slots, key=lambda x: x[3])[2]} if total else set()
         named = {id(a): a for x in slots for a in x[2] if a.named == strength}
+        # Texts below each named element: all, and those in articles.
+        within, articles = dict.fromkeys(named, 0), dict.fromkeys(named, 0)
+        for _, node, around, size in slots:
+            for key in {id(a) for a in around} & named.keys():
+                within[key] += size
+                articles[key] += size if node.article else 0
         out = set()
         for key, node in named.items():
             if node.main or (node.articles and root.articles == 1):
                 continue
-            much = 2 * within(slots, node) > total or any(a is node for a in largest)
-            if not much or (strength == 2 and outside(node)):
+            much = 2 * within[key] > total or key in largest
+            if not much or (strength == 2 and in_articles > articles[key]):
                 out.add(key)
         slots = [x for x in slots if not any(id(a) in out for a in x[2])]
     inside = sum(x[3] for x in slots if x[1].article)
