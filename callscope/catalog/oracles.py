@@ -583,6 +583,8 @@ WHERE event_id IN (SELECT event_id FROM odd WHERE reject_reason IS NULL)
   SELECT 'files' AS sink, count(*) AS n FROM calls UNION ALL SELECT 'json', count(*) FROM calls
   UNION ALL SELECT 'recent', least(count(*), 200) FROM calls
   UNION ALL SELECT 'failures', 2) ORDER BY 1""",
+    "fanned_out_recovered": """SELECT sink, status, count(*) AS n
+FROM calls, (VALUES ('late'), ('steady')) AS sinks(sink) GROUP BY ALL""",
     "served_tables": """SELECT provider, model, count(*) AS requests FROM logs
 WHERE event_id IN (SELECT event_id FROM odd WHERE reject_reason IS NULL) GROUP BY ALL""",
     "streamed_dedup": "SELECT event_id, status FROM calls",

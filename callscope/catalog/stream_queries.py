@@ -190,6 +190,25 @@ def fanned_out(spark, sf):
     return reduce(DataFrame.union, out)
 
 
+@query
+def fanned_out_recovered(spark, sf):
+    """Rows by status that two sinks hold after three batches, one of them down until the last."""
+    folder = scratch_dir(spark, "fan-out-recovered")
+    late = parquet_sink(f"{folder}/late")
+
+    def down_at_first(batch: DataFrame, batch_id: int) -> None:
+        if newest < 2:
+            raise RuntimeError("down")
+        late(batch, batch_id)
+
+    write = fan_out({"late": down_at_first, "steady": parquet_sink(f"{folder}/steady")}, backlog=f"{folder}/backlog")
+    calls = v.inference_events(spark, sf).select("event_id", "status")
+    for newest in range(3):
+        write(calls.where(F.pmod("event_id", F.lit(3)) == newest), newest)
+    held = [spark.read.parquet(f"{folder}/{sink}").select(F.lit(sink).alias("sink"), "status") for sink in ("late", "steady")]
+    return reduce(DataFrame.union, held).groupBy("sink", "status").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query
 def streamed_dedup(spark, sf):
     """A replayed stream with repeats dropped in state, in two triggers."""

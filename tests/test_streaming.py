@@ -182,6 +182,41 @@ def test_fan_out_isolates_failures(spark, tmp_path):
     assert report.where("not ok").select("error").distinct().collect()[0][0] == "down"
 
 
+def test_sink_that_recovers_gets_what_it_missed(spark, tmp_path):
+    down, seen = {0, 1, 3}, []
+    files = parquet_sink(f"{tmp_path}/late")
+
+    def unsteady(batch, batch_id):
+        seen.append(batch_id)
+        if trigger in down:
+            raise RuntimeError("down")
+        files(batch, batch_id)
+
+    sinks = {"late": unsteady, "steady": parquet_sink(f"{tmp_path}/steady"), "recent": recent_sink(f"{tmp_path}/r", 3)}
+    sink = fan_out(sinks, f"{tmp_path}/report", f"{tmp_path}/backlog")
+
+    def batch(n):
+        return spark.range(n * 10, n * 10 + 5).withColumnRenamed("id", "event_id")
+
+    for trigger in range(3):
+        sink(batch(trigger), trigger)
+    # Batch 1 waits behind batch 0; both come before batch 2.
+    assert seen == [0, 0, 0, 1, 2]
+    assert not list((tmp_path / "backlog" / "rows").glob("batch=*"))
+    trigger = 3
+    sink(batch(3), 3)
+    assert [p.name for p in (tmp_path / "backlog" / "rows").glob("batch=*")] == ["batch=3"]
+    # The batch is repeated after a crash: taken as it comes, and nothing waits any more.
+    trigger = 4
+    sink(batch(3), 3)
+    assert seen[5:] == [3, 3]
+    assert not list((tmp_path / "backlog").glob("*/batch=*")) and not list((tmp_path / "backlog").glob("missed/*/batch=*"))
+    late, steady = (sorted(r.event_id for r in spark.read.parquet(f"{tmp_path}/{n}").collect()) for n in ("late", "steady"))
+    assert late == steady == [n * 10 + i for n in range(4) for i in range(5)]
+    report = spark.read.parquet(f"{tmp_path}/report").where("sink = 'late' and ok").select("batch_id")
+    assert sorted(r.batch_id for r in report.collect()) == [0, 1, 2, 3]
+
+
 def _at(seconds):
     return datetime(2024, 1, 1) + timedelta(seconds=seconds)
 
