@@ -35,12 +35,17 @@ def one_history(messages: DataFrame, conversation_id, limit: int = READ_WINDOW)
 
 
 def context_windows(messages: DataFrame, history_size: int = HISTORY_WINDOW) -> DataFrame:
-    """Per user turn, the prompt context: up to `history_size` earlier messages and the turn."""
+    """Per user turn, the prompt context: up to `history_size` earlier messages and the turn.
+
+    Numbering and look-back move thin rows; texts are fetched once, for the window.
+    """
     frame = lookback_window("conversation_id", "position", history_size)
-    told = number_messages(messages.select("conversation_id", *READ_ORDER, "role", "content"))
-    cut = with_lookback(told, "conversation_id", "position", history_size)
+    order = number_messages(messages.select("conversation_id", *READ_ORDER, "role"))
+    cut = with_lookback(order, "conversation_id", "position", history_size)
+    texts = messages.select("conversation_id", "seq", "content")
     return (
-        cut.withColumn("context", F.collect_list(F.struct("role", "content")).over(frame))
+        cut.join(texts, ["conversation_id", "seq"])
+        .withColumn("context", F.collect_list(F.struct("role", "content")).over(frame))
         .where(~F.col("_carried") & (F.col("role") == "user"))
         .select("conversation_id", "seq", "context")
     )
@@ -72,19 +77,12 @@ def call_prompts(messages: DataFrame, history_size: int = HISTORY_WINDOW) -> Dat
     )
 
 
-def number_messages(messages: DataFrame, slot: str = "HOUR") -> DataFrame:
-    """Message order: by creation time, then by append order (`seq`), numbered from 0.
+def number_messages(messages: DataFrame) -> DataFrame:
+    """Message order: by creation time, then by append order (`seq`), numbered from 0; rows without a time come first.
 
-    Replies carry their stream's start time, so this is the order a reader sees.  Rows are
-    numbered per `slot` of time; a finer one spreads a busier conversation.
+    Replies carry their stream's start time, so this is the order a reader sees.
     """
-    return position_in_key(
-        messages,
-        "conversation_id",
-        # Rows without a time come first, as in the order itself.
-        F.coalesce(F.date_trunc(slot, F.col("created_at")), F.lit("0001-01-01").cast("timestamp")),
-        list(READ_ORDER),
-    )
+    return position_in_key(messages, "conversation_id", READ_ORDER)
 
 
 def conversation_table(messages: DataFrame, user_id: Column | None = None) -> DataFrame:

@@ -9,8 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from callscope.session import scratch_dir
 
 SALTS = 64
 #: Copies of a look-up row in `spread_join`, at most: a hot key's rows go to that many places.
@@ -18,6 +21,7 @@ SPREAD = 32
 #: `isolated_join` takes a key as heavy from this part of all rows on, so there are no more heavy keys than this.
 HEAVY_SHARE = 1000
 SEGMENT_ROWS = 100_000
+_PLACE = [T.StructField("_row", T.LongType()), T.StructField("_task", T.LongType())]
 
 
 def nth_in_order(
@@ -135,25 +139,22 @@ def lookback_window(key: str, seq: str, n: int):
     return Window.partitionBy(key, "_segment").orderBy(seq).rowsBetween(-n, 0)
 
 
-def position_in_key(
-    df: DataFrame, key: str, slot: Column, order: Sequence[str], name: str = "position"
-) -> DataFrame:
-    """Dense 0-based position of every row in its key, counted slot by slot.
+def position_in_key(df: DataFrame, key: str, order: Sequence[str], name: str = "position") -> DataFrame:
+    """Dense 0-based position of every row in its key, in the order of the columns `order`; rows without a key are a key.
 
-    `slot` is a coarse, order-preserving part of the order (an hour of a timestamp, say).  Rows
-    are numbered inside (key, slot) and shifted by the rows in earlier slots, so a hot key
-    spreads over its slots.
+    Rows are dealt out by sampled ranges of (key, order), so a hot key takes as many tasks as its rows need, however
+    close in time they are.  Each task numbers its sorted rows; a key's first number and count in every
+    task, at most one row for each task, then give the rows that lie before.  The numbered rows are
+    stored in between, as ranges drawn again would differ.  Rows that agree in key and order get positions in any order.
     """
-    slotted = df.withColumn("_slot", slot)
-    counts = slotted.groupBy(key, "_slot").agg(F.count(F.lit(1)).alias("_n"))
-    earlier = Window.partitionBy(key).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
-    shifts = counts.select(
-        key, "_slot", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_shift")
-    )
-    inside = Window.partitionBy(key, "_slot").orderBy(*order)
-    numbered = slotted.withColumn("_rn", F.row_number().over(inside))
-    return (
-        numbered.join(shifts, [key, "_slot"])
-        .withColumn(name, (F.col("_shift") + F.col("_rn") - 1).cast("long"))
-        .drop("_slot", "_shift", "_rn")
-    )
+    spark = df.sparkSession
+    path = scratch_dir(spark, "positions")
+    dealt = df.repartitionByRange(F.col(key), *[F.col(c) for c in order]).sortWithinPartitions(key, *order)
+    # The upper bits of such an id are the task, the lower ones the row in it.
+    dealt.withColumn("_row", F.monotonically_increasing_id()).withColumn("_task", F.shiftright("_row", 33)).write.parquet(path)
+    stored = spark.read.schema(T.StructType([*df.schema.fields, *_PLACE])).parquet(path)
+    shares = stored.groupBy(F.col(key).alias("_key"), F.col("_task").alias("_in")).agg(F.min("_row").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy("_key").orderBy("_in").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = shares.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
+    met = stored.join(shifts, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_task") == F.col("_in")))
+    return met.select(*df.columns, (F.col("_row") - F.col("_first") + F.col("_before")).alias(name))

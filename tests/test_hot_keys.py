@@ -8,7 +8,7 @@ from datetime import datetime, timedelta, timezone
 import pytest
 from pyspark.sql import functions as F
 
-from callscope.operators import keyed
+from callscope.operators import conversations, keyed
 from callscope.operators.decode import check_conversations
 from callscope.operators.governance import flag_rate_limited, flag_token_bucket
 
@@ -55,6 +55,20 @@ def test_last_rows_spread_a_hot_key(shuffled):
     assert largest_share(kept) < 0.2
 
 
+def test_positions_spread_a_hot_key_of_one_second(shuffled):
+    """All rows have one time, so only the append order tells the tasks apart."""
+    rows = hot(shuffled).withColumn("created_at", F.when(F.col("seq") % 9 > 0, F.timestamp_seconds(F.lit(60)))).drop("started_at", "request_id")
+    rows = rows.withColumn("conversation_id", F.when(F.col("seq") != 35, F.col("conversation_id"))).repartition(6)
+    numbered = conversations.number_messages(rows)
+    assert largest_share(numbered) < 0.2
+    got = {(r["conversation_id"], r["seq"]): r["position"] for r in numbered.collect()}
+    want, met = {}, {}
+    for key, _, seq in sorted(((r["conversation_id"], r["created_at"] is not None, r["seq"]) for r in rows.collect()), key=lambda r: r[1:]):
+        want[key, seq] = met[key] = met.get(key, -1) + 1
+    assert got == want and len(got) == ROWS
+    assert conversations.number_messages(rows.limit(0)).count() == 0
+
+
 def test_references_spread_a_hot_id(shuffled):
     checked = hot(shuffled).select("request_id", "conversation_id", F.lit(None).cast("string").alias("reject_reason"))
     checked = checked.withColumn("conversation_id", F.when(F.col("request_id").cast("int") % 7 > 0, F.col("conversation_id")))
