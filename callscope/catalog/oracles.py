@@ -197,17 +197,21 @@ def _percentile(column: str, p: float) -> str:
     return f"round_even(quantile_cont({column}, {p}), 2)"
 
 
-def _percentiles(window: str) -> str:
+def _percentiles(window: str, at: str = "created_at", more: str = "", label: str = "") -> str:
     cells = ", ".join(
         f"{_percentile(col, p)} AS {m}_{name}"
         for m, col in (("dur", "duration_ms"), ("ttft", "ttft_ms"))
         for name, p in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99))
     )
-    return f"""SELECT {cells},
+    return f"""SELECT {label}{cells},
   round_even(CAST(sum(tokens_per_second) AS DOUBLE) / count(tokens_per_second), 2) AS avg_tps,
   count(*) AS sample_size
-FROM logs WHERE created_at > TIMESTAMP '{AS_OF}' - INTERVAL {window}
-  AND status = 'success' AND duration_ms IS NOT NULL"""
+FROM logs WHERE {at} > TIMESTAMP '{AS_OF}' - INTERVAL {window}
+  AND status = 'success' AND duration_ms IS NOT NULL{more}"""
+
+# Calls whose payload is stored, which arrived when they began.
+_STORED = " AND event_id IN (SELECT event_id FROM odd WHERE reject_reason IS NULL)"
+
 
 
 _ACTIVE = f"""(SELECT count(*) FROM spans WHERE started_at <= TIMESTAMP '{AS_OF}'
@@ -585,6 +589,11 @@ WHERE event_id IN (SELECT event_id FROM odd WHERE reject_reason IS NULL)
   UNION ALL SELECT 'failures', 2) ORDER BY 1""",
     "fanned_out_recovered": """SELECT sink, status, count(*) AS n
 FROM calls, (VALUES ('late'), ('steady')) AS sinks(sink) GROUP BY ALL""",
+    "served_percentiles": " UNION ALL ".join(
+        _percentiles(window, "started_at", _STORED, f"""'{label}' AS "window", """) for label, window in (("100m", "100 MINUTE"), ("24h", "24 HOUR"), ("30d", "30 DAY"))
+    ),
+    "compacted_dates": """SELECT provider, status, CAST(started_at AS DATE) AS day, count(*) AS n, CAST(sum(duration_ms) AS BIGINT) AS duration_ms
+FROM logs WHERE event_id IN (SELECT event_id FROM odd WHERE reject_reason IS NULL) GROUP BY ALL""",
     "served_tables": """SELECT provider, model, count(*) AS requests FROM logs
 WHERE event_id IN (SELECT event_id FROM odd WHERE reject_reason IS NULL) GROUP BY ALL""",
     "streamed_dedup": "SELECT event_id, status FROM calls",

@@ -13,12 +13,13 @@ from callscope.catalog import views as v
 from callscope.catalog.queries import _stream_spans, query
 from callscope.functions import timing
 from callscope.operators import governance
+from callscope.operators.enrich import derive_timings
 from callscope.session import STATE_STORE, scratch_dir
 from callscope.sources.dimensions import ConversationStore
 from callscope.sources.streams import read_json_files
 from callscope.sources.tables import Warehouse
 from callscope.streaming.cancel import match_cancels_live
-from callscope.streaming.ingest import ingest_batch, run_ingest, within_horizon
+from callscope.streaming.ingest import ingest_batch, run_ingest, standard_stages, within_horizon
 from callscope.streaming import serving
 from callscope.streaming.sinks import fan_out, json_sink, parquet_sink, recent_sink
 from callscope.streaming.state import limit_rate, token_bucket, track_streams
@@ -170,6 +171,33 @@ def served_tables(spark, sf):
     return table.join(complete, "refresh", "left_semi").select("provider", "model", "requests")
 
 
+@query
+def served_percentiles(spark, sf):
+    """The percentiles of three windows as a refresh leaves them, from the histograms that two batches stored."""
+    folder = scratch_dir(spark, "served-percentiles")
+    warehouse = Warehouse(spark, f"{folder}/tables")
+    came, sent = timing.epoch_to_timestamp(F.col("started_at")), v.payloads(spark, sf)
+    stages = [*standard_stages(spark), derive_timings]  # payloads carry no output rate
+    for n in range(2):
+        ingest_batch(sent.where(F.col("offset") % 2 == n).select("payload"), n, warehouse, stages, created_at=came)
+    serving.refresh(f"{folder}/serve", ["100m", "24h", "30d"], v.AS_OF)(warehouse, 1)
+    return spark.read.parquet(f"{folder}/serve/percentiles").drop("refresh")
+
+
+@query
+def compacted_dates(spark, sf):
+    """The stored log by day after three batches: the first two compacted before the third, which comes to the same dates."""
+    warehouse = Warehouse(spark, scratch_dir(spark, "compacted-dates"))
+    came, sent = timing.epoch_to_timestamp(F.col("started_at")), v.payloads(spark, sf)
+    for n in range(4):  # the last one repeats the third's payloads and lets it be settled
+        ingest_batch(sent.where(F.col("offset") % 3 == min(n, 2)).select("payload"), n, warehouse, created_at=came)
+        if n == 2:
+            warehouse.compact_closed("2024-01-20", ["inference_logs"])
+    warehouse.drop_covered("inference_logs")
+    by_day = warehouse.logs().groupBy("provider", "status", F.to_date("started_at").alias("day"))
+    return by_day.agg(F.count(F.lit(1)).alias("n"), F.sum("duration_ms").alias("duration_ms"))
+
+
 @query
 def fanned_out(spark, sf):
     """Rows that each sink holds after two batches, one sink failing in both."""

@@ -5,11 +5,19 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from callscope.functions.timing import hour_bucket
+
 # Width of a histogram bucket.  An int has at most 65 536 buckets of 65 536 values each.
 _BUCKET_BITS = 16
+#: The measure by which arrivals are counted.
+ARRIVAL = "arrival"
+
+
+def _bucket() -> Column:
+    return F.coalesce(F.shiftright("v", _BUCKET_BITS), F.lit(0).cast("long"))
 
 
 def value_histogram(df: DataFrame, value: str, groups: Sequence[str]) -> DataFrame:
@@ -19,13 +27,12 @@ def value_histogram(df: DataFrame, value: str, groups: Sequence[str]) -> DataFra
     column `b` is never null, so that consumers' joins add no filter of their own and all of them
     read one shuffled histogram.
     """
-    bucket = F.coalesce(F.shiftright("v", _BUCKET_BITS), F.lit(0).cast("long"))
     present = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in (value, *groups)])
     return (
         df.where(present)
         .groupBy(*groups, F.col(value).cast("long").alias("v"))
         .agg(F.count(F.lit(1)).alias("n"))
-        .withColumn("b", bucket)
+        .withColumn("b", _bucket())
     )
 
 
@@ -85,6 +92,38 @@ def exact_percentiles(
     return histogram_percentiles(value_histogram(df, value, groups), fractions, groups)
 
 
+def _sampled() -> Column:
+    return (F.col("status") == "success") & F.col("duration_ms").isNotNull()
+
+
+#: Whole-number columns of the percentile report; output rates in hundredths.
+_MEASURES = {"dur": "duration_ms", "ttft": "ttft_ms", "rate": "tokens_per_second * 100"}
+
+
+def measured(logs: DataFrame) -> DataFrame:
+    """What the percentile report counts of successful calls with a duration: measure (`dur`, `ttft`, `rate`), x."""
+    cells = [F.struct(F.lit(name).alias("measure"), F.expr(value).cast("long").alias("x")) for name, value in _MEASURES.items()]
+    return logs.where(_sampled()).select(F.explode(F.array(*cells)).alias("m")).select("m.measure", "m.x")
+
+
+def hourly_values(logs: DataFrame, *keep: str) -> DataFrame:
+    """Mergeable exact histograms per hour of arrival: `keep`, arrival_hour, measure, v, n.
+
+    Besides the report's measures every row counts as one `ARRIVAL`, whose value is 0.
+    """
+    cells = [F.struct(F.lit(ARRIVAL).alias("measure"), F.lit(0).cast("long").alias("x"))]
+    for name, value in _MEASURES.items():
+        cells.append(F.struct(F.lit(name).alias("measure"), F.when(_sampled(), F.expr(value).cast("long")).alias("x")))
+    hour = hour_bucket(F.col("created_at")).alias("arrival_hour")
+    stacked = logs.select(*keep, hour, F.explode(F.array(*cells)).alias("m")).select(*keep, "arrival_hour", "m.measure", "m.x")
+    return value_histogram(stacked, "x", [*keep, "arrival_hour", "measure"]).drop("b")
+
+
+def merge_values(shares: DataFrame, groups: Sequence[str]) -> DataFrame:
+    """Add histograms up over a coarser group: groups, v, n, b."""
+    return shares.groupBy(*groups, "v").agg(F.sum("n").alias("n")).withColumn("b", _bucket())
+
+
 def latency_sketches(logs: DataFrame, keys: Sequence[str], k: int = 200) -> DataFrame:
     """One mergeable quantile sketch of the latency per key: a few KB whatever the row count."""
     return (

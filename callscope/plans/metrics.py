@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from callscope.functions.timing import in_window
-from callscope.operators.percentiles import histogram_percentiles, value_histogram
+from callscope.operators.percentiles import histogram_percentiles, measured, value_histogram
 
 PERCENTILES = {"p50": 0.50, "p95": 0.95, "p99": 0.99}
 
@@ -149,29 +149,18 @@ def by_provider(rollup: DataFrame, window: str, as_of=None) -> DataFrame:
 def percentiles(logs: DataFrame, window: str, as_of=None) -> DataFrame:
     """One row: latency and first-token percentiles, mean output rate, sample size.
 
-    The population is successful calls with a duration that arrived in the window.  All figures
-    come from one histogram: output rates enter it in hundredths, so their mean is exact.  An
+    The population is successful calls with a duration that arrived in the window.  An
     empty population gives nulls.
     """
-    sample = log_window(logs, window, as_of).where(
-        (F.col("status") == "success") & F.col("duration_ms").isNotNull()
-    )
-    stacked = {
-        "dur": F.col("duration_ms"),
-        "ttft": F.col("ttft_ms"),
-        "rate": F.col("tokens_per_second") * 100,
-    }
-    measures = sample.select(
-        F.explode(
-            F.array(
-                *[
-                    F.struct(F.lit(name).alias("measure"), value.cast("long").alias("x"))
-                    for name, value in stacked.items()
-                ]
-            )
-        ).alias("m")
-    ).select("m.measure", "m.x")
-    hist = value_histogram(measures, "x", ["measure"])
+    sample = measured(log_window(logs, window, as_of))
+    return percentiles_of(value_histogram(sample, "x", ["measure"]))
+
+
+def percentiles_of(hist: DataFrame) -> DataFrame:
+    """The same row from a histogram by measure, such as the stored ones add up to.
+
+    All figures come from it: output rates enter it in hundredths, so their mean is exact.
+    """
     cells = histogram_percentiles(hist, list(PERCENTILES.values()), ["measure"])
     totals = hist.groupBy("measure").agg(
         (F.sum(F.col("v") * F.col("n")) / 100 / F.sum("n")).alias("value"),

@@ -22,6 +22,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from callscope.sources.files import put_once
+
 BUCKETS = 64
 #: Fresh pieces that a reader puts up with before they are folded into the buckets.
 FRESH = 32
@@ -79,13 +81,8 @@ class BucketedTable:
 
     def _put(self, manifest: Manifest) -> Manifest:
         """Move a complete manifest into place; a file is never seen half written and never replaced."""
-        system = self._system()
-        target, part = self._path("manifests", f"{manifest.version:012d}.json"), self._path("manifests", f".{uuid.uuid4().hex}")
-        out = system.create(part, False)
-        out.write(bytearray(json.dumps({"buckets": manifest.buckets, "fresh": manifest.fresh, "applied": manifest.applied}).encode()))
-        out.close()
-        if system.exists(target) or not system.rename(part, target):
-            system.delete(part, False)
+        held = json.dumps({"buckets": manifest.buckets, "fresh": manifest.fresh, "applied": manifest.applied})
+        if not put_once(self.spark, f"{self.root}/manifests/{manifest.version:012d}.json", held):
             raise LostRace(f"{self.root} already has version {manifest.version}")
         return manifest
 

@@ -89,6 +89,7 @@ def ingest_batch(
         stored = warehouse.append_logs(rows, batch_id)
         index.add(stored, key)
         warehouse.add_to_rollup(stored, batch_id)
+        warehouse.add_values(stored, batch_id)
         if sketches:
             warehouse.add_sketches(stored, batch_id)
 
