@@ -13,7 +13,6 @@ from callscope.catalog import views as v
 from callscope.catalog.queries import _stream_spans, query
 from callscope.functions import timing
 from callscope.operators import governance
-from callscope.operators.enrich import derive_timings
 from callscope.session import STATE_STORE, scratch_dir
 from callscope.sources.dimensions import ConversationStore
 from callscope.sources.streams import read_json_files
@@ -177,7 +176,9 @@ def served_percentiles(spark, sf):
     folder = scratch_dir(spark, "served-percentiles")
     warehouse = Warehouse(spark, f"{folder}/tables")
     came, sent = timing.epoch_to_timestamp(F.col("started_at")), v.payloads(spark, sf)
-    stages = [*standard_stages(spark), derive_timings]  # payloads carry no output rate
+    # Payloads carry no output rate; their durations are kept as they came.
+    rate = lambda rows: rows.withColumn("tokens_per_second", timing.tokens_per_second(F.col("tokens_out"), F.col("duration_ms")))
+    stages = [*standard_stages(spark), rate]
     for n in range(2):
         ingest_batch(sent.where(F.col("offset") % 2 == n).select("payload"), n, warehouse, stages, created_at=came)
     serving.refresh(f"{folder}/serve", ["100m", "24h", "30d"], v.AS_OF)(warehouse, 1)
