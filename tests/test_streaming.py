@@ -352,3 +352,16 @@ def test_overview_of_an_empty_window(spark, tmp_path):
     assert row.total_requests == 0 and row.success_rate == 0.0 and row.avg_latency_ms == 0.0
     p = metrics.percentiles(warehouse.logs(), "1h", "2024-01-01 10:30:00").collect()[0]
     assert p.dur_p50 is None and p.sample_size == 0
+
+
+def test_state_is_kept_by_slot(spark, tmp_path):
+    """The store holds a table and a timer for each slot, however many keys there are, and a null key is one of them."""
+    rows = [(f"r{n}", "start", _at(n)) for n in range(500)] + [(f"r{n}", "end", _at(n + 9)) for n in range(0, 500, 2)] + [(None, "start", _at(3))]
+    frame = spark.createDataFrame(rows, _CHANGE).withColumn("arrived_at", F.lit(_at(0)))
+    frame.write.parquet(f"{tmp_path}/in")
+    changes = track_streams(spark.readStream.schema(frame.schema).parquet(f"{tmp_path}/in"), slots=4)
+    job = changes.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/ck").trigger(availableNow=True).start()
+    job.awaitTermination(120)
+    assert 0 < max(p["stateOperators"][0]["numRowsTotal"] for p in job.recentProgress) <= 3 * 4
+    got = {(r.request_id, r.change) for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    assert got == {(f"r{n}", "registered") for n in range(500)} | {(f"r{n}", "ended") for n in range(0, 500, 2)} | {(None, "registered")}
