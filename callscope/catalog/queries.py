@@ -151,7 +151,8 @@ def unknown_conversations(spark, sf):
     known = v.conversation_rows(spark, sf).select(
         v.uuid_of("conversation-", F.col("conversation_id")).alias("conversation_id")
     )
-    checked = decode.check_conversations(_checked(spark, sf), known)
+    decoded = decode.stored_once(_checked(spark, sf).select("offset", "conversation_id", "reject_reason"), "unknown")
+    checked = decode.check_conversations(decoded, known)
     return checked.where(F.col("reject_reason") == "conversation_id: unknown").select(
         "offset", "conversation_id"
     )
@@ -163,11 +164,11 @@ def readmitted_events(spark, sf):
     known = v.conversation_rows(spark, sf).select(
         v.uuid_of("conversation-", F.col("conversation_id")).alias("conversation_id")
     )
-    checked = decode.check_conversations(_checked(spark, sf), known)
-    letters = checked.where(F.col("reject_reason").isNotNull()).select("offset", "payload", "reject_reason")
+    decoded = decode.stored_once(_checked(spark, sf).select("offset", "payload", "conversation_id", "reject_reason"), "letters")
+    checked = decode.stored_once(decode.check_conversations(decoded, known).where(F.col("reject_reason").isNotNull()), "rejected")
     late = checked.where(F.col("reject_reason") == "conversation_id: unknown").select("conversation_id")
     added = known.union(late.where(F.substring("conversation_id", 1, 1).isin(*"01234567")))
-    again, kept = decode.readmit(letters, added)
+    again, kept = decode.readmit(checked.select("offset", "payload", "reject_reason"), added)
     return (
         again.select("offset", F.lit("again").alias("outcome"))
         .union(kept.select("offset", F.lit("kept").alias("outcome")))

@@ -17,6 +17,7 @@ from callscope.functions import timing
 from callscope.functions.identity import canonical_uuid, payload_uuid
 from callscope.operators.keyed import isolated_join
 from callscope.schemas import INFERENCE_LOG_SCHEMA, LOG_EVENT_SCHEMA, STATUSES
+from callscope.session import scratch_dir
 
 # Spellings accepted for a boolean.
 _TRUE_WORDS = ("1", "true", "t", "yes", "y", "on")
@@ -206,9 +207,18 @@ def split_rejects(checked: DataFrame) -> tuple[DataFrame, DataFrame]:
     return accepted, rejected
 
 
+def stored_once(rows: DataFrame, label: str) -> DataFrame:
+    """The rows, written to a scratch folder and read from there, so that several passes over them don't decode again."""
+    path = scratch_dir(rows.sparkSession, label)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def check_conversations(checked: DataFrame, conversations: DataFrame) -> DataFrame:
     """Reject events whose conversation does not exist; events without one pass.
 
+    Goes over `checked` several times, so decoded rows should be cached or stored (`stored_once`).
+
     The conversations are first cut down to the ids that the events name, once each, so what
     meets the events grows with the batch and not with the table.  Ids with many events are
     looked up apart from the others, and events without an id are spread.
@@ -224,12 +234,15 @@ def readmit(letters: DataFrame, conversations: DataFrame) -> tuple[DataFrame, Da
     """Dead letters (payload, reject_reason, ...) as (payloads to ingest again, letters that stay).
 
     An event can arrive before its conversation is stored; such letters pass once it is there.
-    What fails for any other reason stays.
+    What fails for any other reason stays.  Letters are decoded once and stored in between.
     """
     waiting = F.col("reject_reason") == "conversation_id: unknown"
     extra = [c for c in letters.columns if c not in ("payload", "reject_reason")]
     again = fit_to_log(decode_events(letters.where(waiting).select(*extra, "payload")))
-    checked = check_conversations(again, conversations)
+    names = [f"_c{n}" for n in range(len(extra))]
+    again = again.select(*[F.col(c).alias(n) for c, n in zip(extra, names, strict=True)], "payload", "conversation_id", "reject_reason")
+    checked = check_conversations(stored_once(again, "readmitted"), conversations)
+    checked = checked.select(*[F.col(n).alias(c) for n, c in zip(names, extra, strict=True)], "payload", "reject_reason")
     passed = checked.where(F.col("reject_reason").isNull()).select(*extra, "payload")
     failed = checked.where(F.col("reject_reason").isNotNull()).select(*extra, "payload", "reject_reason")
     return passed, letters.where(~waiting).select(*extra, "payload", "reject_reason").union(failed)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from uuid import UUID
 
 import pytest
 from pyspark.sql import functions as F
@@ -113,3 +114,20 @@ def test_split_is_complete_and_rows_fit_the_log(spark):
 @pytest.mark.parametrize("name", ["duration_ms", "completed_at", "error_message"])
 def test_optional_fields_may_be_null(spark, name):
     assert check(spark, with_(**{name: None}))[0].reject_reason is None
+
+
+def test_letters_are_decoded_once(spark, tmp_path, monkeypatch):
+    """The rows that are looked up come from storage: no plan after it parses a payload."""
+    from callscope.operators import decode
+
+    rows = [(n, json.dumps({"request_id": str(UUID(int=n)), "provider": "p", "model": "m", "started_at": 1.0, "conversation_id": str(UUID(int=n % 3))}), "conversation_id: unknown") for n in range(9)]
+    letters = spark.createDataFrame([*rows, (9, "{broken", "payload: not JSON")], "offset long, payload string, reject_reason string")
+    known = spark.createDataFrame([(str(UUID(int=1)),)], "conversation_id string")
+    looked_up = []
+    plain = decode.check_conversations
+    monkeypatch.setattr(decode, "check_conversations", lambda rows, ids: looked_up.append(rows) or plain(rows, ids))
+    again, kept = decode.readmit(letters, known)
+    assert "from_json" not in looked_up[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert again.columns == ["offset", "payload"] and kept.columns == ["offset", "payload", "reject_reason"]
+    assert sorted(r.offset for r in again.collect()) == [1, 4, 7]
+    assert sorted((r.offset, r.reject_reason) for r in kept.collect()) == [(n, "conversation_id: unknown") for n in (0, 2, 3, 5, 6, 8)] + [(9, "payload: not JSON")]
