@@ -400,7 +400,6 @@ class _TokenBucket(_Slot):
         now = int(timerValues.getCurrentWatermarkInMs())
         come = pd.concat(list(rows), ignore_index=True)
         come["now"] = come.groupby("conversation_id", dropna=False, sort=False)["arrived_ms"].transform("max")
-        come = come[come["at_ms"].notna()].reset_index(drop=True)
         come = come.assign(at_ms=come["at_ms"].astype("int64"), waits=True, tokens=np.nan)
         come["due_ms"] = self._due(come["at_ms"])
         late = (come["due_ms"] <= now).to_numpy()
@@ -432,10 +431,10 @@ def token_bucket(
     """Smooth alternative to fixed buckets: bursts up to `capacity`, then `per_minute` steadily.
 
     Each decision depends on the one before, so a conversation is one sequence; only the
-    requests of the last `lateness_seconds` and the level are kept.
+    requests of the last `lateness_seconds` and the level are kept.  A request without a time has that of its arrival.
     """
     return _by_slot(
-        arriving(requests), ["conversation_id"], ["request_id", F.unix_millis("started_at").alias("at_ms")], slots,
+        arriving(requests), ["conversation_id"], ["request_id", F.coalesce(F.unix_millis("started_at"), "arrived_ms").alias("at_ms")], slots,
         _TokenBucket(float(capacity), per_minute / 60.0, lateness_seconds),
         "request_id string, conversation_id string, over_rate boolean",
     )
