@@ -13,7 +13,7 @@ from callscope.catalog import views as v
 from callscope.catalog.queries import _stream_spans, query
 from callscope.functions import timing
 from callscope.operators import governance
-from callscope.session import STATE_STORE, scratch_dir
+from callscope.session import STATE_STORE, scratch_dir, short_methods
 from callscope.sources.dimensions import ConversationStore
 from callscope.sources.streams import read_json_files
 from callscope.sources.tables import Warehouse
@@ -74,7 +74,8 @@ def streamed_ingest(spark, sf):
     even, again = F.col("offset") % 2 == 0, F.col("offset") % 50
     warehouse = Warehouse(spark, f"{folder}/tables")
     for df in (sent.where(even), sent.where(~even | (again == 0)), sent.where(again < 2).union(sent.where(again == 1))):
-        df.select("payload").write.mode("append").text(f"{folder}/in")
+        with short_methods(spark):
+            df.select("payload").write.mode("append").text(f"{folder}/in")
         run_ingest(read_json_files(spark, f"{folder}/in"), warehouse, f"{folder}/checkpoint").awaitTermination()
     return warehouse.rollup()
 

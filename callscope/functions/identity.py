@@ -12,7 +12,8 @@ _OTHER_SPELLING = rf"^(?:[0-9a-f]{{32}}|\{{{_HYPHENATED}\}}|urn:uuid:{_HYPHENATE
 
 def dashed(hex32: Column) -> Column:
     """32 hex digits in the 8-4-4-4-12 form."""
-    return F.regexp_replace(hex32, r"^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")
+    parts = [F.substring(hex32, start, length) for start, length in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]
+    return F.concat(parts[0], *[piece for part in parts[1:] for piece in (F.lit("-"), part)])
 
 
 def canonical_uuid(text: Column) -> Column:

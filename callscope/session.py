@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import cache
 
 from pyspark.sql import SparkSession
@@ -40,6 +42,22 @@ def use_utc(spark: SparkSession) -> SparkSession:
     return spark
 
 
+@contextmanager
+def short_methods(spark: SparkSession) -> Iterator[None]:
+    """Jobs started inside run plans in methods that Java compiles to machine code.
+
+    It interprets methods of more than 8000 bytes for good.  A stage over many columns, fused into one method, is longer
+    and several times slower; with this limit Spark runs such a stage operator by operator.
+    """
+    limit = "spark.sql.codegen.hugeMethodLimit"
+    before = spark.conf.get(limit)
+    spark.conf.set(limit, "8000")
+    try:
+        yield
+    finally:
+        spark.conf.set(limit, before)
+
+
 def scratch_dir(spark: SparkSession, label: str) -> str:
     """A fresh folder under the cluster's `spark.checkpoint.dir`, or the context's checkpoint folder.
 

@@ -39,6 +39,8 @@ class IdIndex:
         """The index's rows in the buckets of the ids, without those that the batch itself has left."""
         held = self.table.manifest()
         own = self.table.labelled(batch, held) if batch else []
+        if not held.pieces() - set(own):  # nothing to look up, so the ids need not be read
+            return self.table.read([], Manifest())
         return self.table.read(self.table.touched(ids), held, own)
 
     def among(self, ids: DataFrame, batch: str = "") -> DataFrame:

@@ -24,6 +24,8 @@ from callscope.operators.enrich import (
 )
 from callscope.operators.matching import first_arrivals
 from callscope.schemas import LOG_EVENT_SCHEMA
+from callscope.session import scratch_dir, short_methods
+from callscope.sources.files import hadoop_path
 from callscope.sources.lookups import load_prices
 from callscope.sources.tables import Warehouse
 
@@ -66,16 +68,28 @@ def ingest_batch(
     yet.  `sketches` also keeps latency sketches per hour, provider and model.  The rollup's share is
     computed from the rows as stored, so both tables always hold the same events, and since
     every table's batch folder is replaced whole, a repeated batch changes nothing.
+
+    Decoded events lie in a scratch folder while the batch runs, so passes over them read the columns that they need.
     """
+    with short_methods(raw.sparkSession):
+        _ingest(raw, batch_id, warehouse, stages, conversations, created_at, sketches)
+
+
+def _ingest(raw, batch_id, warehouse, stages, conversations, created_at, sketches) -> None:
     spark = raw.sparkSession
     if created_at is None:
         created_at = F.lit(warehouse.batch_time(batch_id))
     # The payload's hash settles ties, so a repeated batch keeps the same copies.
     order = [F.col("arrival")] if "arrival" in raw.columns else []
     raw = raw.withColumn("arrival", F.struct(*order, F.xxhash64("payload").alias("tie")))
-    decoded = check_payloads(raw, prices=load_prices(spark) if stages is None else None).persist()
-    checked = decoded if conversations is None else check_conversations(decoded, conversations)
+    decoded = check_payloads(raw, prices=load_prices(spark) if stages is None else None)
+    if conversations is None:  # nothing is rejected later, so good events are done with their payload
+        decoded = decoded.withColumn("payload", F.when(F.col("reject_reason").isNotNull(), F.col("payload")))
+    aside = scratch_dir(spark, "decoded")
     try:
+        decoded.write.parquet(aside)
+        decoded = spark.read.schema(decoded.schema).parquet(aside)
+        checked = decoded if conversations is None else check_conversations(decoded, conversations)
         accepted, rejected = split_rejects(checked)
         warehouse.write("dead_letters", rejected.select("payload", "reject_reason"), batch_id)
 
@@ -104,7 +118,8 @@ def ingest_batch(
         )
         warehouse.write("ingest_batches", counts, batch_id)
     finally:
-        decoded.unpersist()
+        path, system = hadoop_path(spark, aside)
+        system.delete(path, True)
 
 
 def run_ingest(

@@ -12,9 +12,11 @@ from pyspark.sql import functions as F
 from callscope.operators.percentiles import sketch_quantiles
 from callscope.operators.rollup import hourly_rollup
 from callscope.plans import metrics
+from callscope.session import scratch_dir, short_methods
 from callscope.sources import streams
+from callscope.sources.files import hadoop_path
 from callscope.sources.tables import Warehouse, rebuild_rollup
-from callscope.streaming import serving
+from callscope.streaming import ingest, serving
 from callscope.streaming.cancel import match_cancels_live
 from callscope.streaming.ingest import ingest_batch, run_ingest, watermarked_rollup, within_horizon
 from callscope.streaming.sinks import fan_out, json_sink, parquet_sink, recent_sink
@@ -365,3 +367,41 @@ def test_state_is_kept_by_slot(spark, tmp_path):
     assert 0 < max(p["stateOperators"][0]["numRowsTotal"] for p in job.recentProgress) <= 3 * 4
     got = {(r.request_id, r.change) for r in spark.read.parquet(f"{tmp_path}/out").collect()}
     assert got == {(f"r{n}", "registered") for n in range(500)} | {(f"r{n}", "ended") for n in range(0, 500, 2)} | {(None, "registered")}
+
+
+def test_batch_keeps_decoded_rows_aside_without_good_payloads(spark, tmp_path, monkeypatch):
+    aside, seen = [], {}
+
+    def named(spark, label):
+        aside.append(scratch_dir(spark, label))
+        return aside[-1]
+
+    def look(rows):
+        decoded = spark.read.parquet(aside[-1])
+        seen["payloads"] = {r["reject_reason"] is None: r["payload"] for r in decoded.collect()}
+        seen["limit"] = spark.conf.get("spark.sql.codegen.hugeMethodLimit")
+        return rows
+
+    monkeypatch.setattr(ingest, "scratch_dir", named, raising=False)
+    limit = spark.conf.get("spark.sql.codegen.hugeMethodLimit")
+    sent = spark.createDataFrame([(json.dumps(event(1)),), ("broken",)], "payload string")
+    warehouse = Warehouse(spark, str(tmp_path / "tables"))
+    ingest_batch(sent, 0, warehouse, [look, *ingest.standard_stages(spark)], created_at=F.lit("2024-01-01").cast("timestamp"))
+    assert seen == {"payloads": {True: None, False: "broken"}, "limit": "8000"}
+    assert [r["payload"] for r in warehouse.dead_letters().collect()] == ["broken"]
+    assert warehouse.logs().count() == 1
+    left = [p for p in aside if _exists(spark, p)]
+    assert not left and spark.conf.get("spark.sql.codegen.hugeMethodLimit") == limit
+
+
+def _exists(spark, path):
+    found, system = hadoop_path(spark, path)
+    return system.exists(found)
+
+
+def test_short_methods_end_with_an_error(spark):
+    limit = spark.conf.get("spark.sql.codegen.hugeMethodLimit")
+    with pytest.raises(ValueError), short_methods(spark):
+        assert spark.conf.get("spark.sql.codegen.hugeMethodLimit") == "8000"
+        raise ValueError
+    assert spark.conf.get("spark.sql.codegen.hugeMethodLimit") == limit
