@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from threading import Barrier
 from uuid import UUID
 
 import pytest
@@ -189,3 +190,24 @@ def test_cascade_survives_a_crash_between_tables(spark, tmp_path, monkeypatch):
     log = tables.logs().collect()
     assert len(log) == 6 and sorted(r.conversation_id or "" for r in log) == ["", names[1], names[1], names[2], names[2], names[3]]
     assert tables.rollup().agg(F.sum("request_count")).first()[0] == 6
+
+
+def test_dates_are_compacted_side_by_side(spark, tmp_path, monkeypatch):
+    warehouse = Warehouse(spark, str(tmp_path / "tables"))
+    for day in ("01", "02", "03"):
+        (tmp_path / f"tables/inference_logs/ingest_date=2024-01-{day}/batch=main-0").mkdir(parents=True)
+    met, taken = Barrier(2, timeout=20), []
+
+    def compact(table, day):
+        met.wait()  # breaks unless two dates are there at once
+        taken.append(day)
+
+    monkeypatch.setattr(warehouse, "compact_date", compact)
+    warehouse.compact_closed("2024-01-03", ["inference_logs"])
+    assert sorted(taken) == ["2024-01-01", "2024-01-02"]
+
+
+def test_empty_index_does_not_read_the_ids(spark, tmp_path, monkeypatch):
+    index = IdIndex(spark, str(tmp_path / "ids"))
+    monkeypatch.setattr(index.table, "touched", lambda ids: pytest.fail("ids were read"))
+    assert index.among(spark.createDataFrame([("a",)], "event_id string")).count() == 0
