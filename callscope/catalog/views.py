@@ -36,6 +36,8 @@ def plus_seconds(ts: Column, seconds: Column) -> Column:
 def inference_events(spark: SparkSession, sf_dir: str, previews: bool = False) -> DataFrame:
     """One call per `events` row."""
     events = table(spark, sf_dir, "events")
+    if previews:  # few or uneven row groups would leave cores idle while wide rows are made of narrow ones
+        events = events.repartition("event_id", "ts")
     registry = load_registry(spark).select(
         (F.col("provider_pos") * 3 + F.col("pos")).alias("_pos"), "provider", "model"
     )

@@ -8,6 +8,7 @@ from datetime import datetime, timedelta, timezone
 import pytest
 from pyspark.sql import functions as F
 
+from callscope.catalog import views
 from callscope.operators import conversations, keyed
 from callscope.operators.decode import check_conversations
 from callscope.operators.governance import flag_rate_limited, flag_token_bucket
@@ -105,3 +106,17 @@ def test_token_bucket_in_batch(spark, per_minute):
     assert got == plain_bucket(rows, 3, per_minute)
     assert {True, False} == set(got.values())
     assert flag_token_bucket(frame.drop("_n").limit(0), 3, per_minute).count() == 0
+
+
+def test_payloads_of_one_file_are_made_by_all_tasks(spark, tmp_path):
+    events = spark.range(0, 2000, 1, 1).selectExpr("id event_id", "timestamp_seconds(1704067200 + id) ts", "id user_id", "'view' event_type", "1.5D value", "'{\"k\": 1}' props")
+    events.write.parquet(str(tmp_path / "events.parquet"))
+    spark.range(0, 10, 1, 1).selectExpr("id doc_id", "'text' text").write.parquet(str(tmp_path / "documents.parquet"))
+    conf = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(conf)
+    spark.conf.set(conf, "false")
+    try:
+        made = views.payloads(spark, str(tmp_path)).groupBy(F.spark_partition_id().alias("p")).count().collect()
+    finally:
+        spark.conf.set(conf, before)
+    assert sum(r["count"] for r in made) == 2000 and max(r["count"] for r in made) < 1500
