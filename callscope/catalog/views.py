@@ -37,7 +37,9 @@ def inference_events(spark: SparkSession, sf_dir: str, previews: bool = False) -
     """One call per `events` row."""
     events = table(spark, sf_dir, "events")
     if previews:  # few or uneven row groups would leave cores idle while wide rows are made of narrow ones
-        events = events.repartition("event_id", "ts")
+        # A number of its own, as partitions put together by their few bytes are too few for that work.
+        tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        events = events.repartition(tasks, "event_id", "ts")
     registry = load_registry(spark).select(
         (F.col("provider_pos") * 3 + F.col("pos")).alias("_pos"), "provider", "model"
     )
