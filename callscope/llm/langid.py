@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from callscope.llm.batches import map_texts
 from callscope.llm.counts import SCHEMA, in_parts, summed
 from callscope.llm.words import Words, as_bytes, sized
 from callscope.session import scratch_dir
@@ -89,7 +90,7 @@ def language_code(field: str | Column) -> Column:
 
 def train(docs: DataFrame, text: str = "text", declared: str = "lang") -> np.ndarray:
     """Log probabilities of the trigram buckets, from all documents with a known declared language."""
-    parts = docs.select(F.col(text).alias("text"), language_code(declared).alias("declared")).mapInArrow(_count, SCHEMA)
+    parts = map_texts(docs.select(F.col(text).alias("text"), language_code(declared).alias("declared")), _count, SCHEMA)
     return log_probabilities(summed(parts, len(LANGUAGES), 1 << BUCKET_BITS))
 
 
@@ -108,7 +109,7 @@ def with_likelihoods(docs: DataFrame, table: np.ndarray, text: str, keep: list[s
                 kept = [batch.column(i + 1).slice(low, high - low) for i in range(len(fields))]
                 yield pa.RecordBatch.from_arrays([*kept, pa.array(list(scores)), votes, pa.array(n)], [*keep, "_likelihoods", "_vote", "_words"])
 
-    return docs.select(F.col(text).alias("_text"), *(F.col(f"`{name}`") for name in keep)).mapInArrow(run, schema)
+    return map_texts(docs.select(F.col(text).alias("_text"), *(F.col(f"`{name}`") for name in keep)), run, schema)
 
 
 def _votes(seen: DataFrame, *by: Column) -> DataFrame:

@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from callscope.llm.batches import map_texts
 from callscope.llm.scratch import Scratch
 from callscope.llm.words import FACTORS, U64, Words, as_bytes, grams, mix, sized
 
@@ -152,7 +153,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     """doc_id, n_shingles, component_id, kept and class_id (smallest id with an equal set) of each row."""
     store = Scratch(docs.sparkSession, "neardup")
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    signed = store.keep(source.mapInArrow(_sign, _SIGNED))
+    signed = store.keep(map_texts(source, _sign, _SIGNED))
     # Stored before the join, so that a set with very many copies is split there.
     classes = store.keep(
         signed.where("doc_id is not null and n_shingles > 0").groupBy("low", "high", "n_shingles").agg(F.min("doc_id").alias("class_id"))
@@ -190,10 +191,9 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
 def _link(store: Scratch, source: DataFrame, members: DataFrame) -> DataFrame:
     """(id, root) of every class that is linked with another one."""
     ids = members.select("id").distinct()
+    texts = source.join(ids, source["doc_id"] == ids["id"], "left_semi").select(F.col("doc_id").alias("id"), "text")
     sets = store.keep(
-        source.join(ids, source["doc_id"] == ids["id"], "left_semi")
-        .select(F.col("doc_id").alias("id"), "text")
-        .mapInArrow(_sets, "id long, hashes array<long>")
+        map_texts(texts, _sets, "id long, hashes array<long>")
         .distinct()
         .select("id", F.size("hashes").alias("size"), "hashes")
     )

@@ -27,6 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from callscope.llm.batches import map_texts, worker_table
 from callscope.llm.words import as_bytes, sized
 
 CAPACITY = 2048
@@ -160,14 +161,9 @@ class WordTokens:
         return [b"".join(map(known.__getitem__, own)) for own in split]
 
 
-_loaded: dict[str, WordTokens] = {}
-
-
 def word_tokens(vocabulary: str = VOCABULARY) -> WordTokens:
     """One table per Python worker."""
-    if vocabulary not in _loaded:
-        _loaded[vocabulary] = WordTokens(vocabulary)
-    return _loaded[vocabulary]
+    return worker_table(vocabulary, lambda: WordTokens(vocabulary))
 
 
 class Packer:
@@ -226,7 +222,7 @@ def pack(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", vocabulary
                 kinds = [pa.int64(), pa.int32(), *[pa.int64()] * 5, pa.list_(pa.int32())][: 7 + with_ids]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds)], [f.split()[0] for f in PIECES.split(", ")] + ["ids"] * with_ids)
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, PIECES + ", ids array<int>" * with_ids)
+    return map_texts(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), run, PIECES + ", ids array<int>" * with_ids, vocabulary)
 
 
 def sequences(pieces: DataFrame) -> DataFrame:

@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from callscope.llm.batches import map_texts
 from callscope.llm.counts import SCHEMA, in_parts, summed
 from callscope.llm.words import U64, Words, as_bytes, grams, mix, sized, span_hashes
 
@@ -106,7 +107,7 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, text: str = "text", doc_id:
     marked = docs.select(F.col(text).alias("text"), F.col(doc_id).alias("id")).join(
         F.broadcast(ids.select(F.col(doc_id).alias("id"), F.lit(True).alias("trusted"))), "id", "left"
     )
-    parts = marked.select("text", F.coalesce("trusted", F.lit(False)).alias("trusted")).mapInArrow(_count, SCHEMA)
+    parts = map_texts(marked.select("text", F.coalesce("trusted", F.lit(False)).alias("trusted")), _count, SCHEMA)
     return ratios(*summed(parts, 2, 1 << BUCKET_BITS).astype(float))
 
 
@@ -156,4 +157,4 @@ def quality_rules(
                     [*kept, *(pa.array(got[name]) for name in names)], [*(f.name for f in fields), *names]
                 )
 
-    return docs.select(F.col(text).alias("_text"), *(F.col(f"`{f.name}`") for f in fields)).mapInArrow(run, schema)
+    return map_texts(docs.select(F.col(text).alias("_text"), *(F.col(f"`{f.name}`") for f in fields)), run, schema)
